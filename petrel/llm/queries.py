@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_list
+from .sentencepiece_codec import encode
 from .simhash import simhash_groups
 from .url_filters import judge_pages
 
@@ -22,10 +24,20 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    counts = [F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
+    return out.select("doc_id", *counts, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), ids=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,4 +63,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_exact_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier)}
