@@ -13,6 +13,7 @@ from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_list
 from .sentencepiece_codec import encode
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 from .url_filters import judge_pages
 
 
@@ -38,6 +39,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,4 +68,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_suffix_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier)}
