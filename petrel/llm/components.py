@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     whole = maps[-1]
     for earlier in reversed(maps[:-1]):
-        whole = earlier.join(whole.withColumnsRenamed({"node": "rep", "rep": "final"}), "rep", "left").select(
+        whole = earlier.join(whole.select(F.col("node").alias("rep"), F.col("rep").alias("final")), "rep", "left").select(
             "node", F.coalesce("final", "rep").alias("rep")
         )
     return whole.withColumnRenamed("rep", "component")
