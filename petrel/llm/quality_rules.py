@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -39,7 +41,16 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words covered by windows of 8 that occur twice or more, from the windows' hashes."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW_WORDS), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW_WORDS)))
+
+    def doubled(hs: Column, span: int) -> Column:
+        """Hashes of 2 x span words from those of span words."""
+        if span == WINDOW_WORDS:
+            return hs
+        m = n - 2 * span + 1
+        wider = _bind(hs, lambda x: F.zip_with(F.slice(x, 1, m), F.slice(x, span + 1, m), lambda a, b: F.xxhash64(a, b)))
+        return doubled(wider, 2 * span)
+
+    hashes = doubled(F.transform(words, lambda w: F.xxhash64(w)), 1)
 
     def covered(hs: Column) -> Column:
         keyed = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -60,16 +71,17 @@ def _repeat_words(words: Column) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base counts of every document (null text: no word)."""
     t = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split("_t", GAP), lambda w: w != "")
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
+    # both arrays are bound, or the optimiser would split the text anew for each window of it
+    of_words = _bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
+    of_lines = _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     rows = docs.select("doc_id", "lang", "source", t.alias("_t"))
-    rows = rows.withColumn("_w", F.filter(F.split("_t", GAP), lambda w: w != ""))
-    rows = rows.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
     return rows.select(
-        "doc_id", "lang", "source", F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", GAP, "")).cast("long").alias("word_chars"),
+        "doc_id", "lang", "source", F.length(F.regexp_replace("_t", GAP, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"), _repeat_words(F.col("_w")).alias("n_repeat_words"),
-    )
+        F.explode(F.array(F.struct(of_words.alias("w"), of_lines.alias("l")))).alias("x"),
+    ).select("doc_id", "lang", "source", "word_chars", "n_symbols", "x.w.*", "x.l.*")
 
 
 def measures(rows: DataFrame) -> DataFrame:
@@ -119,8 +131,8 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     A text whose group, language and corpus have no sketch (none passes the base rules)
     is kept only if it passes them, which then no text does.  Empty table: no rows.
     """
-    rows = measures(features(docs))
-    sketch = sketches(measures(features(docs)))
+    rows, _ = scratch.save(measures(features(docs)), "measures")  # a few numbers per document; texts are read once
+    sketch = sketches(rows)
     names = [f"f_{m}" for m in MEASURES]
     by_group = _fences(sketch, "lang", "source").where(F.col("docs") >= min_group).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.struct(*names).alias("g"))
     by_lang = _fences(sketch, "lang").where(F.col("docs") >= min_group).select(F.col("lang").alias("ll"), F.struct(*names).alias("l"))
