@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that carry no search meaning.
 STOP_WORDS = ("the", "and", "for", "with", "what", "does", "how", "where", "which", "that", "this", "from", "are", "was", "why", "when", "who", "is", "in", "of", "to")
@@ -204,7 +205,7 @@ def _redact(text: str) -> str:
     return _PREFIXED.sub(REDACTED, _ASSIGNMENT.sub(assignment, _JWT.sub(REDACTED, text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact(text: pd.Series) -> pd.Series:
     """Credentials masked; order of the rules matters and repeating them changes nothing."""
     return text.map(lambda t: None if t is None else _redact(t))
@@ -220,7 +221,7 @@ def _redact_value(value: object, key: str | None = None) -> object:
     return [_redact_value(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_json(text: pd.Series) -> pd.Series:
     """JSON with strings redacted, and whatever stands under a secret-like key; addresses survive."""
 
@@ -260,7 +261,7 @@ def _chunks(text: str, size: int, overlap: int) -> list[str]:
 def chunk_text(text: Column, size: int = 700, overlap: int = 120) -> Column:
     """Paragraphs, or else lines, packed into chunks that overlap."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def split(values: pd.Series) -> pd.Series:
         return values.map(lambda t: _chunks(t or "", size, overlap))
 
@@ -278,7 +279,7 @@ def _salvage(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def salvage_json(text: pd.Series) -> pd.Series:
     """The first JSON object or array inside prose, in canonical form; null if none."""
     return text.map(lambda t: None if t is None else _salvage(t))

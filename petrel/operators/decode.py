@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from petrel.functions import isa
 from petrel.functions import text as T
@@ -132,7 +133,7 @@ def boot_target(image: bytes) -> int | None:
 
 
 def boot_targets(dumps: DataFrame) -> DataFrame:
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def find(content: pd.Series) -> pd.Series:
         return content.map(lambda c: boot_target(bytes(c)) if c is not None else None).astype("Int32")
 
@@ -189,7 +190,7 @@ def recursive(decoded: DataFrame, byte_rows: DataFrame, entries: DataFrame, most
     need a target beyond $0400.  The walk is per image, so a group has 65,536 rows at most.
     """
     seeds = entries.groupBy("dump_id").agg(F.collect_list("entry").alias("seeds"))
-    images = byte_rows.groupBy("dump_id").agg(F.array_sort(F.collect_list(F.struct("addr", "b"))).alias("bytes")).join(seeds, "dump_id")
+    images = byte_rows.groupBy("dump_id").agg(F.array_sort(F.collect_list(F.struct("addr", "b"))).alias("bytes")).join(seeds, "dump_id").withColumnRenamed("dump_id", "image_id")
 
     def walk(key: tuple, code: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
         if image.empty:
@@ -205,7 +206,7 @@ def recursive(decoded: DataFrame, byte_rows: DataFrame, entries: DataFrame, most
         out = [(str(key[0]), i, *r) for i, r in enumerate(_trace(rows, words, max(cells) + 1, start, most))]
         return pd.DataFrame(out, columns=["dump_id", "ord", "addr", "mnemonic", "op_str", "size"])
 
-    return decoded.groupBy("dump_id").cogroup(images.groupBy("dump_id")).applyInPandas(walk, _LISTING)
+    return decoded.groupBy("dump_id").cogroup(images.groupBy("image_id")).applyInPandas(walk, _LISTING)
 
 
 def gaps(code: DataFrame) -> DataFrame:

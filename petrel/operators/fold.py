@@ -91,7 +91,7 @@ def survivors(log: DataFrame, invalidations: DataFrame, source: str = "source_fi
     plain = invalidations.where(~F.col("pattern").contains("%")).groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos"))
     left = log.join(plain, (log[source] == plain["pattern"]) & (log["log_pos"] < plain["inv_pos"]), "left_anti")
     wild = invalidations.where(F.col("pattern").contains("%")).groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos"))
-    return left.join(wild, left[source].like(wild["pattern"]) & (left["log_pos"] < wild["inv_pos"]), "left_anti")
+    return left.join(wild, F.like(left[source], wild["pattern"]) & (left["log_pos"] < wild["inv_pos"]), "left_anti")
 
 
 def promote_names(routines: DataFrame, hypotheses: DataFrame) -> DataFrame:

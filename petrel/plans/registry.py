@@ -284,10 +284,10 @@ def data_refs(spark, d):
     return heuristics.data_refs(decode.decode_all(_image(spark, d)))
 
 
-@_register("SELECT doc_id, CAST(instr(lower(text), 'thereof') - 1 AS INT) AS match_at FROM documents WHERE contains(lower(text), 'thereof') ORDER BY doc_id LIMIT 10")
+@_register("SELECT doc_id, CAST(instr(lower(text), 'ing the') - 1 AS INT) AS match_at FROM documents WHERE contains(lower(text), 'ing the') ORDER BY doc_id LIMIT 10")
 def text_phrase(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
-    return retrieval.search_text(docs, "thereof", key="doc_id", content="text").where("match_at >= 0").select("doc_id", "match_at")
+    return retrieval.search_text(docs, "ing the", key="doc_id", content="text").where("match_at >= 0").select("doc_id", "match_at")
 
 
 @_register("""SELECT doc_id, CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'edhathe') AS INT) + CAST(contains(lower(text), 'zzzq') AS INT) AS words FROM documents
@@ -458,5 +458,5 @@ def name_promotion(spark, d):
 @_register()
 def recursive_listing(spark, d):
     cells = _image(spark, d)
-    entries = spark.createDataFrame([("synthetic", 16)], "dump_id string, entry int")
+    entries = spark.createDataFrame([("synthetic", i) for i in range(64)], "dump_id string, entry int")
     return decode.recursive(decode.decode_all(cells), cells, entries, vectors_too=False)

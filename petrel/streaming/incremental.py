@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from petrel.operators import fold
 
@@ -49,7 +50,8 @@ def versions(spark: SparkSession, view_path: str, schema, before: int | None = N
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(view_path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    rows = spark.read.schema(schema.add("version", "int") if "version" not in schema.names else schema).parquet(view_path)
+    whole = schema if "version" in schema.names else StructType([*schema.fields, StructField("version", IntegerType())])
+    rows = spark.read.schema(whole).parquet(view_path)
     return rows.where(F.col("version") < before) if before is not None else rows
 
 

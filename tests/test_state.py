@@ -1,0 +1,190 @@
+import json
+
+from pyspark.sql import functions as F
+
+from petrel.functions import text as T
+from petrel.operators import fold, graph, intervals, ledger, retrieval
+from petrel.plans import sqlmode
+from petrel.sources import files, sinks
+from petrel.streaming import incremental
+
+LABELS = "log_pos long, addr int, name string, confidence double"
+
+
+def test_confidence_keeps_the_stronger_and_later(spark, rows):
+    log = spark.createDataFrame([(1, 7, "a", 0.9), (2, 7, "a", 0.5), (3, 8, "b", 0.5), (4, 8, "b", 0.5), (5, 9, "c", None)], LABELS)
+    assert rows(fold.strongest_write(log, ["addr", "name"]).select("addr", "log_pos")) == [(7, 1), (8, 4), (9, 5)]
+
+
+def test_fold_of_folded_prefix_is_fold_of_all(spark, rows):
+    log = spark.createDataFrame([(i, i % 5, f"n{i % 3}", ((i * 7) % 10) / 10) for i in range(200)], LABELS)
+    for merge in (fold.strongest_write, fold.last_write, fold.first_write):
+        whole = merge(log, ["addr", "name"])
+        parts = merge(merge(log.where("log_pos < 90"), ["addr", "name"]).unionByName(log.where("log_pos >= 90").select("addr", "name", "log_pos", "confidence")), ["addr", "name"])
+        assert rows(whole) == rows(parts)
+
+
+def test_null_keys_are_equal(spark):
+    log = spark.createDataFrame([(1, None, "x", 0.1), (2, None, "x", 0.2)], LABELS)
+    assert fold.first_write(log, ["addr", "name"]).count() == 1
+
+
+def test_invalidate_then_ingest_again_is_ingest_once(spark, rows):
+    log = spark.createDataFrame([(1, "a.asm", 1), (2, "b.asm", 2), (4, "a.asm", 1), (6, "capstone:win", 3)], "log_pos long, source_file string, addr int")
+    inv = spark.createDataFrame([("a.asm", 3), ("capstone:%", 7)], "pattern string, inv_pos long")
+    assert rows(fold.survivors(log, inv).select("log_pos")) == [(2,), (4,)]
+
+
+def test_numbering(spark, rows):
+    log = spark.createDataFrame([("x", 3), ("y", 1), ("x", 5), ("z", 4)], "id string, at long")
+    assert rows(fold.number_log(log, "at").select("id", "log_pos")) == [("x", 2), ("y", 1), ("z", 3)]
+
+
+def test_promotion(spark):
+    r = spark.createDataFrame([(1, 1, "r1", "sub_0001", 0.9), (2, 1, "r2", "known", 0.9), (3, 9, "r3", "again", 0.5)], "start_addr int, log_pos long, id string, name string, confidence double")
+    h = spark.createDataFrame([(1, 2, "h1", "weak_name", 0.61), (1, 3, "h2", "drawScore", 0.7), (1, 4, "h3", "not a name", 0.9), (2, 5, "h4", "other", 0.8), (3, 4, "h5", "early", 0.9)], "start_addr int, log_pos long, id string, suggested_name string, confidence double")
+    got = {x["start_addr"]: (x["name"], x["promoted"], x["dropped"]) for x in fold.promote_names(r, h).collect()}
+    assert got[1] == ("drawScore", ["weak_name", "drawScore"], ["h1"]) and got[2][0] == "known" and got[3][0] == "again"
+
+
+def test_hypothesis_updates(spark):
+    h = spark.createDataFrame([("hyp-alpha", "e1", "open", ["a"]), ("hyp-beta", "e2", "open", [])], "hyp_id string, event_id string, status string, evidence array<string>")
+    u = spark.createDataFrame([("hyp-a", "supported", ["b", "a"], 1), ("e2", "refuted", ["c"], 2), ("hyp-", "open", ["no"], 3)], "ref string, status string, evidence array<string>, log_pos long")
+    assert {r["hyp_id"]: (r["status"], r["evidence"]) for r in fold.hypothesis_states(h, u).collect()} == {"hyp-alpha": ("supported", ["a", "b"]), "hyp-beta": ("refuted", ["c"])}
+
+
+def test_views_from_events(spark):
+    e = spark.createDataFrame([("1", 1, "t", "label", json.dumps({"addr": 5, "name": "n", "confidence": 0.4})), ("2", 2, "t", "run_summary", json.dumps({"run_id": "r", "answer": "first"})), ("3", 3, "t", "run_summary", json.dumps({"run_id": "r", "answer": "second"}))], "id string, log_pos long, ts string, kind string, payload string")
+    v = fold.views(e)
+    assert v["labels"].first()["addr"] == 5 and v["run_summaries"].first()["answer"] == "first"
+
+
+def test_annotation_views(spark, rows):
+    a = [("1", 1, "byte_class", 16, 18, json.dumps({"class": "code"}), "f", 0.5), ("2", 2, "byte_class", 18, 18, json.dumps({"class": "data"}), "f", 0.5), ("3", 3, "instructions", 0, 0, json.dumps([{"addr": 16, "mnemonic": "nop", "size": 1}]), "f", 0.5), ("4", 4, "data_ref", 0, 0, json.dumps({"src": 1, "access": "r"}), "f", 0.5)]
+    v = fold.annotations_to_views(spark.createDataFrame(a, "id string, log_pos long, kind string, range_start int, range_end int, payload string, source_file string, confidence double"))
+    assert rows(v["code_class"].select("addr", "class")) == [(16, "code"), (17, "code"), (18, "data")] and v["instructions"].count() == 1 and v["code_data_refs"].count() == 0
+
+
+def test_compaction_by_id(spark):
+    r = spark.createDataFrame([(f"e{i}", "t", "x" * 100) for i in range(50)], "event_id string, ts string, payload string")
+    s = spark.createDataFrame([(["e0", "e1"],)], "events_compacted array<string>")
+    assert fold.uncompacted(r, s).count() == 48 and fold.backlog_batch(r, s, 1000).count() == 20 and fold.backlog_batch(r, s, 10_000).count() == 0
+
+
+def test_intervals(spark):
+    iv = spark.createDataFrame([(0, 1000), (100, 300), (200, 300), (100, 900)], "start int, end int")
+    p = spark.createDataFrame([(250,), (100,), (950,), (5000,)], "addr int")
+    assert {r["addr"]: (r["start"], r["end"]) for r in intervals.smallest_containing(p, iv).collect()} == {250: (200, 300), 100: (100, 300), 950: (0, 1000), 5000: (None, None)}
+
+
+def test_ranking_and_plan_check(spark, rows):
+    r = spark.createDataFrame([(0, 15, "sub_0000"), (16, 31, "main")], "start int, end int, name string")
+    e = spark.createDataFrame([(16, 3, "jsr"), (20, 5, "jsr"), (3, 16, "jmp")], "src int, dst int, edge string")
+    h = spark.createDataFrame([("h", 0, 0.5, "guess")], "id string, start int, confidence double, name string")
+    assert [tuple(x) for x in graph.rank_routines(r, e, h).select("display_name", "callers").collect()] == [("guess", 2), ("main", 1)]
+    steps = spark.createDataFrame([("p", "a", ["b"]), ("p", "b", ["a"]), ("p", "c", []), ("p", "c", []), ("p", "d", ["zz"])], "plan_id string, step_id string, depends_on array<string>")
+    found = rows(graph.validate_plan(steps).select("problem", "step_id"))
+    assert found == [("cycle", "a"), ("cycle", "b"), ("duplicate_id", "c"), ("unknown_dependency", "d")]
+
+
+def test_result_identity_and_golden(spark):
+    r = spark.createDataFrame([(1, "s", "t", "d"), (2, "s", "t", "d"), (3, "s", "t", "e")], "result_pos int, step_id string, tool string, data string")
+    ids = [x["result_id"] for x in ledger.result_identity(r).orderBy("result_pos").collect()]
+    assert ids[1] == ids[0] + "_2" and ids[2] != ids[0] and len(ids[0]) == 20
+    c = spark.createDataFrame([("a", [1, 2], ["score", "x.y"], 0.5)], "id string, expected_addresses array<int>, expected_keywords array<string>, min_confidence double")
+    a = spark.createDataFrame([("a", "The Score, not highscore", 0.6, [2])], "id string, text string, confidence double, addresses array<int>")
+    g = ledger.evaluate_golden(c, a).first()
+    assert (g["missing_addresses"], g["missing_keywords"], g["confident"], g["passed"]) == ([1], ["x.y"], True, False)
+
+
+def test_verdicts(spark):
+    r = spark.createDataFrame([("accept", 1, 0.9, 2, 0), ("accept", 0, 0.9, 0, 0), ("revise", 0, 0.5, 1, 2), ("accept", 0, 0.5, 0, 0)], "verdict string, blocking_steps int, confidence double, evidence_count int, revisions int")
+    assert [x["decision"] for x in ledger.guard_verdicts(r).collect()] == ["replan", "revise", "accept", "accept"]
+
+
+def test_redaction(spark):
+    texts = ["token = 'abcdefghij0123456789ABCDEF'", "secret = $C145", "Bearer abcdefghijklmnop", "http://user:pw@host/x", "plain text $D020"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    once = [r[0] for r in df.select(T.redact("t")).collect()]
+    assert once == ["token = '[REDACTED]'", "secret = $C145", "Bearer [REDACTED]", "http://user:[REDACTED]@host/x", "plain text $D020"]
+    assert [r[0] for r in df.select(T.redact(T.redact("t"))).collect()] == once
+    j = spark.createDataFrame([(json.dumps({"api_key": "x", "secret": "$C145", "n": ["ok"]}),)], "t string").select(T.redact_json("t")).first()[0]
+    assert json.loads(j) == {"api_key": "[REDACTED]", "secret": "$C145", "n": ["ok"]}
+
+
+def test_chunks_and_salvage(spark):
+    df = spark.createDataFrame([("one\n\ntwo\n\n" + "x" * 200, 'say {"a": [1]} done')], "t string, j string")
+    got = df.select(T.chunk_text(F.col("t"), 100, 0).alias("c"), T.salvage_json("j").alias("s")).first()
+    assert got["c"] == ["one\n\ntwo", "x" * 100, "x" * 100] and got["s"] == '{"a": [1]}'
+
+
+def test_text_search_phases(spark):
+    d = spark.createDataFrame([("a", "The sprite table"), ("b", "table of sprites and score"), ("c", "score")], "path string, content string")
+    assert [r["path"] for r in retrieval.search_text(d, "sprite table").collect()] == ["a"]
+    assert [r["path"] for r in retrieval.search_text(d, "score sprite missing").collect()] == ["b", "a", "c"]
+
+
+def test_labels_fall_back(spark):
+    lab = spark.createDataFrame([(0xC145, "foo", "code", 0.1), (1, "lives_counter", "data", 0.9), (2, "other", "data", 0.95)], "addr int, name string, kind string, confidence double")
+    assert [r["addr"] for r in retrieval.relevant_labels(lab, "what writes $C145 and lives?").collect()][:2] == [0xC145, 1]
+    assert [r["addr"] for r in retrieval.relevant_labels(lab, "zzzz").collect()] == [2, 1, 0xC145]
+
+
+def test_windows_and_cache(spark):
+    d = spark.createDataFrame([("a", "x" * 1000 + " alpha beta " + "y" * 3000 + " alpha"), ("b", "short")], "path string, content string")
+    got = retrieval.dense_windows(d, ["alpha", "beta"]).orderBy("path", F.desc("score")).collect()
+    assert [(r["path"], r["score"]) for r in got] == [("a", 202), ("a", 101), ("b", 1)]
+    t = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "pos int, text string")
+    none = spark.createDataFrame([], "cache_key string, vector array<float>")
+    miss = retrieval.embedding_misses(t, none, "m", 2)
+    assert [r["text"] for r in miss.collect()] == ["x", "y"]
+    held = miss.where("text = 'x'").select("cache_key", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("vector"))
+    assert [r["text"] for r in retrieval.embedding_misses(t, held, "m", 2).collect()] == ["y"]
+
+
+def test_sql_mode(spark):
+    v = {"labels": spark.createDataFrame([(0xD020, "address_table", 0.9)], "addr int, name string, confidence double")}
+    df, n, used = sqlmode.run(spark, "SELECT address, name FROM labels WHERE address = 0xD020 AND name LIKE 'ADDRESS%';", v)
+    assert n == 1 and df.first()["name"] == "address_table" and "addr = 53280" in used
+    for bad in ("DELETE FROM labels", "SELECT replace(name, 'a', 'b') FROM labels", "SET x = 1", ""):
+        try:
+            sqlmode.run(spark, bad, v)
+        except sqlmode.Rejected:
+            continue
+        raise AssertionError(bad)
+    assert sqlmode.outside_literals("SELECT address FROM t WHERE name = 'address'", sqlmode.GENERAL) == "SELECT addr FROM t WHERE name = 'address'"
+
+
+def test_logs_and_sinks(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"id":"1","ts":"t","kind":"k","source":"s","payload":{"a":1}}\n\n')
+    assert files.event_log(spark, f"{tmp_path}/log.jsonl").first()["payload"] == '{"a":1}'
+    runs = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "c")], "run_id string, answer string")
+    for _ in range(2):
+        sinks.append_once(runs, f"{tmp_path}/runs", "run_id", order="answer")
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+    rate = spark.createDataFrame([("r1", 5, "good")], "run_id string, rating int, comment string")
+    sinks.append_ratings(rate, f"{tmp_path}/ratings")
+    sinks.append_ratings(rate, f"{tmp_path}/ratings")
+    sinks.append_ratings(rate.withColumn("rating", F.lit(3)), f"{tmp_path}/ratings")
+    assert sorted(r["revision"] for r in spark.read.parquet(f"{tmp_path}/ratings").collect()) == [1, 2]
+
+
+def test_scoping_and_manifest(spark, tmp_path):
+    f = spark.createDataFrame([("/x/bruce/a.asm", "bruce", "a.asm"), ("/x/bruce_lee.asm", "x", "bruce_lee.asm"), ("/x/n.bin", "x", "n.bin")], "path string, folder string, name string")
+    assert [r["path"] for r in files.scope_files(f, "Bruce").collect()] == ["/x/bruce/a.asm"]
+    assert [r["path"] for r in files.scope_files(f, "Bruce Lee").collect()] == ["/x/bruce_lee.asm"]
+    (tmp_path / "g.jsonl").write_text('# note\n{"id":"a","question":"q","expected_addresses":["$C000"]}\n{"id":"a","question":"","min_confidence":3}\n')
+    p = {tuple(r["problems"]) for r in files.golden_manifest(spark, f"{tmp_path}/g.jsonl").collect()}
+    assert p == {("duplicate id",), ("duplicate id", "no question", "bad confidence")}
+
+
+def test_stream_equals_batch(spark, tmp_path, rows):
+    schema = "addr int, name string, log_pos long, confidence double"
+    data = [(i % 3, "n", i, ((i * 7) % 10) / 10) for i in range(60)]
+    keys = ["addr", "name"]
+    for k in range(3):
+        spark.createDataFrame(data[20 * k : 20 * k + 20], schema).write.mode("append").parquet(f"{tmp_path}/log")
+        log = incremental.read_log(spark, f"{tmp_path}/log", schema)
+        incremental.fold_batches(log, f"{tmp_path}/view", f"{tmp_path}/check", keys).awaitTermination()
+    got = incremental.current_view(spark, f"{tmp_path}/view", spark.createDataFrame([], schema).schema, keys)
+    assert rows(got.select("addr", "log_pos")) == rows(fold.strongest_write(spark.createDataFrame(data, schema), keys).select("addr", "log_pos"))
