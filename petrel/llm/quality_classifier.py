@@ -35,8 +35,8 @@ THRESHOLD = 0.3
 HELD_OUT_OF = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SHAPE = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([a-zß-öø-ÿ]+)|(\d+)|(.)(?:\4)*", re.S)
-_REPEAT = 1
+_RUNS = re.compile(r"(.)\1+", re.S)
+_SIGNS = {c: "X" if chr(c).isupper() else "x" if chr(c).islower() else "9" for c in range(0x250) if chr(c).isupper() or chr(c).islower() or chr(c).isdigit()}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,17 +47,18 @@ def _bucket(term: str) -> int:
     return 2 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
 
 
-def _word_terms(word: str) -> tuple[int, int]:
+def _word_terms(word: str) -> int:
+    """Both buckets of a word in one number."""
     letters = "".join(_LETTERS.findall(word)).lower()
-    shape = "".join("X" if m[1] else "x" if m[2] else "9" if m[3] else m[4] for m in _SHAPE.finditer(word))
-    return _bucket("w" + letters), _bucket("s" + shape[:24])
+    shape = _RUNS.sub(r"\1", word.translate(_SIGNS))
+    return _bucket("w" + letters) * BUCKETS + _bucket("s" + shape[:24])
 
 
 class Terms:
     """Buckets of a text's terms; the memo is emptied when it is large, so memory is bounded."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.memo: dict[str, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         """n x 2 of letters and shape, in order of the words."""
@@ -65,9 +66,11 @@ class Terms:
         memo = self.memo
         if len(memo) > 200_000:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = _word_terms(w)
-        return np.array([memo[w] for w in words], np.int32).reshape(-1, 2)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = _word_terms(w)
+        both = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+        return np.stack((both // BUCKETS, both % BUCKETS), axis=1)
 
 
 def index_vectors() -> np.ndarray:
@@ -89,7 +92,9 @@ def neighbour_sums(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
             for d in range(1, WINDOW + 1):
                 a, b = block[:-d].ravel(), block[d:].ravel()  # letters with letters, shape with shape
                 pair, n = np.unique(np.concatenate((a.astype(np.int64) * BUCKETS + b, b.astype(np.int64) * BUCKETS + a)), return_counts=True)
-                np.add.at(sums, pair // BUCKETS, index[pair % BUCKETS] * n[:, None])
+                if len(pair):  # pairs are sorted, so those of a term stand together
+                    cut = np.flatnonzero(np.diff(pair // BUCKETS, prepend=-1))
+                    sums[pair[cut] // BUCKETS] += np.add.reduceat(index[pair % BUCKETS] * n[:, None], cut, axis=0)
     return sums
 
 

@@ -1,19 +1,21 @@
 """Suffix-array dedup: repeated 50-byte strings by merging Burrows-Wheeler transforms.
 
-Every 50-byte string has an anchor, the least hash among its 16-byte substrings, so equal
-strings have equal anchors.  Neighbouring strings with one anchor travel together as one
-fragment of a text; fragments are shuffled by anchor, packed and compressed.  So all
-occurrences of a string meet in one bucket, while a text is sent about four times over
-rather than fifty.
-
-In a bucket, anchors that a single document has, or a single distinct fragment, need no
-more.  The other fragments are cut into shards; each shard gets its suffix array and
-transform.  The transforms are merged by interleave refinement: the interleave says from
-which shard each rank comes; a pass reads the shards' transforms in its order and deals the
-ranks out by the symbol read, stably, after which they are sorted by one symbol more.  Where
-neighbours differ in that many symbols is carried along, so after 50 passes the ranks fall
-into intervals of suffixes that share 50 bytes, without comparing or sorting suffixes of
-different shards.  An interval's smallest doc_id decides which of its strings go.
+Every 50-byte string has an anchor, the place of the least hash among its 12-byte
+substrings, so equal strings have equal anchors.  Neighbouring strings with one anchor
+travel together as one fragment of a text; fragments are shuffled by the anchor's hash,
+packed and compressed.  So all occurrences of a string meet in one bucket, while a text is
+sent about 1.6 times over rather than fifty.
+
+A string reaches 19 bytes or more beyond its anchor on one side, so a fragment can share a
+string only with one that has the same 31 bytes to the left or to the right.  Fragments for
+which no other document has these need no more, nor do those that all documents have
+alike.  The rest are cut into shards; each shard gets its suffix array and transform.  The
+transforms are merged by interleave refinement: the interleave says from which shard each
+rank comes; a pass reads the shards' transforms in its order and deals the ranks out by the
+symbol read, stably, after which they are sorted by one symbol more.  Where neighbours differ
+in that many symbols is carried along, so after 50 passes the ranks fall into intervals of
+suffixes that share 50 bytes, without comparing or sorting suffixes of different shards.  An
+interval's smallest doc_id decides which of its strings go.
 """
 
 from __future__ import annotations
@@ -30,25 +32,32 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-LENGTH, GRAM = 50, 16
-#: Strings per fragment at most; text bytes that a task packs at once; symbols per shard.
-RUN, PACK_BYTES, SHARD = 64, 2_000_000, 1 << 16
-#: Buckets per shuffle partition, so that a bucket is a small part of a task's share.
-BUCKETS_PER_PARTITION = 8
+LENGTH, GRAM = 50, 12
+#: What a string has beyond its anchor on one side at least, and the bytes compared there.
+SIDE = (LENGTH - GRAM + 1) // 2
+KEY = GRAM + SIDE
+#: Text bytes that a task packs at once (places in a pack have 24 bits); symbols per shard.
+PACK_BYTES, SHARD = 6_000_000, 1 << 18
+#: Buckets per shuffle partition, so that a bucket is a part of a task's share.
+BUCKETS_PER_PARTITION = 4
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = (1 << 63) - 1
-_HEAD = np.dtype([("anchor", "<u4"), ("doc", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("n", "<u2")])
+_HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("n", "<u1"), ("anchor", "<u1")])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The anchor of the string at each start: least hash of its 16-byte substrings."""
-    mix = lambda x: (x ^ (x >> np.uint64(29))) * _MUL
-    h, size = mix(data.astype(np.uint64) + np.uint64(1)), 1
-    while size < gram:
-        h = mix(h[:-size] * np.uint64(31) + h[size:])
-        size *= 2
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * _MUL
+
+
+def anchors(data: np.ndarray) -> np.ndarray:
+    """For the string at each start: hash (40 bits) and place (24 bits) of its anchor, the leftmost of equals."""
+    h = _mix(data.astype(np.uint64) + np.uint64(1))
+    four = _mix(_mix(h[:-1] * np.uint64(31) + h[1:])[:-2] * np.uint64(31) + _mix(h[:-1] * np.uint64(31) + h[1:])[2:])
+    h = _mix((four[:-8] * np.uint64(31) + four[4:-4]) * np.uint64(31) + four[8:])
     h ^= h >> np.uint64(32)
-    width, size = length - gram + 1, 1
+    h = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    width, size = LENGTH - GRAM + 1, 1
     while size * 2 <= width:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
@@ -57,19 +66,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndar
 
 def fragments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, strings, anchor) of the fragments of texts that lie one after another in ``data``."""
+    none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
+        return none, none, none, none.astype(np.uint64)
     anchor = anchors(data)
-    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    start = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[text[: len(anchor)]])
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[: len(anchor)]
+    start = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[text])
     if not len(start):
-        return start, start, start, anchor[:0]
+        return none, none, none, anchor[:0]
     a, t = anchor[start], text[start]
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (t[1:] != t[:-1]))))
-    run = np.diff(new, append=len(start))
-    new = np.repeat(new, -(-run // RUN)) + RUN * _within(-(-run // RUN))
-    n = np.diff(new, append=len(start))
-    return t[new], start[new], n, a[new]
+    return t[new], start[new], np.diff(new, append=len(start)), a[new]
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -82,27 +89,26 @@ def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start, size) + _within(size)]
 
 
-def _pack(docs: list[int], hashes: list[int], texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) of the fragments of some texts."""
+def _pack(docs: list[int], hashes: list[int], firsts: list[int], texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the fragments of some texts, or parts of texts that begin at ``firsts``."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     text, start, n, anchor = fragments(data, ends)
     if not len(text):
         return
-    bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((anchor >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     text, start, n, anchor, bucket = (x[order] for x in (text, start, n, anchor, bucket))
+    origin = np.array(firsts, np.int64) - np.concatenate(([0], ends[:-1]))
     head = {
-        "anchor": anchor.astype(np.uint32), "doc": np.array(docs, np.int64)[text], "hash": np.array(hashes, np.int64)[text],
-        "start": (start - np.concatenate(([0], ends[:-1]))[text]).astype(np.uint32), "n": n.astype(np.uint16),
+        "doc": np.array(docs, np.int64)[text], "hash": np.array(hashes, np.int64)[text], "start": (start + origin[text]).astype(np.uint32),
+        "n": n.astype(np.uint8), "anchor": ((anchor & _PLACE).astype(np.int64) - start).astype(np.uint8),
     }
-    size = n + LENGTH - 1
-    body = _ragged(data, start, size)
-    at = np.concatenate(([0], np.cumsum(size)))
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        raw = struct.pack("<I", b - a) + b"".join(head[f][a:b].tobytes() for f in _HEAD.names) + body[at[a] : at[b]].tobytes()
+        body = _ragged(data, start[a:b], n[a:b] + LENGTH - 1)
+        raw = struct.pack("<I", b - a) + b"".join(head[f][a:b].tobytes() for f in _HEAD.names) + body.tobytes()
         yield int(bucket[a]), pack.compress(raw)
 
 
@@ -146,22 +152,22 @@ def shard_transform(symbols: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray
 def merge_transforms(transforms: list[np.ndarray], passes: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard of each rank, where a rank differs from the one before in its first ``passes`` symbols)."""
     sizes = [len(t) for t in transforms]
-    joined = np.concatenate(transforms)
     ends = np.array([int((t == 0).sum()) for t in transforms])
     fixed = np.repeat(np.arange(len(transforms), dtype=np.uint16), ends)  # suffixes that are only an end
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
-    block = np.zeros(len(joined), np.int64)
-    differs = np.zeros(len(joined), bool)
-    symbol = np.empty_like(joined)
+    block = np.zeros(len(shard), np.int32)
+    differs = np.zeros(len(shard), bool)
+    symbol = np.empty(len(shard), np.uint16)
     for _ in range(passes):
-        symbol[np.argsort(shard, kind="stable")] = joined  # each shard's transform, read in the interleave's order
+        for i, transform in enumerate(transforms):
+            symbol[shard == i] = transform  # each shard's transform, read in the interleave's order
         dealt = np.argsort(symbol, kind="stable")[len(fixed) :]  # radix sort; ends have no longer suffix
         c, b = symbol[dealt], block[dealt]
         differs[: len(fixed)] = True
         differs[len(fixed)] = True
         differs[len(fixed) + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         shard = np.concatenate((fixed, shard[dealt]))
-        block = np.cumsum(differs)
+        block = np.cumsum(differs, dtype=np.int32)
     return shard, differs
 
 
@@ -192,35 +198,52 @@ def least_owner(strings: list[bytes], owner: np.ndarray, length: int = LENGTH) -
     return [at[b : b + n - length + 1] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
+def _side_groups(body: np.ndarray, at: np.ndarray, there: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Per fragment the number of its group by the ``KEY`` bytes at ``at``; -1 if they aren't ``there`` or one document has them alone."""
+    out = np.full(len(at), -1)
+    rows = np.flatnonzero(there)
+    if not len(rows):
+        return out
+    key = np.zeros(len(rows), np.uint64)
+    for i in range(0, len(rows), 100_000):
+        cells = np.zeros((len(rows[i : i + 100_000]), 32), np.uint8)
+        cells[:, :KEY] = body[at[rows[i : i + 100_000]][:, None] + np.arange(KEY)]
+        for word in cells.view(np.uint64).T:
+            key[i : i + 100_000] = _mix(key[i : i + 100_000] * np.uint64(31) + word)
+    order = np.argsort(key)
+    key, d = key[order], doc[rows[order]]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    shared = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
+    out[rows[order]] = np.repeat(np.where(shared, np.arange(len(cut)), -1), np.diff(cut, append=len(key)))
+    return out
+
+
 def _bucket_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, hash, first, last) of the runs of starts whose string is in a smaller document too."""
     head, body = _unpack(blobs)
-    size = head["n"].astype(np.int64) + LENGTH - 1
+    doc, n, anchor = head["doc"], head["n"].astype(np.int64), head["anchor"].astype(np.int64)
+    size = n + LENGTH - 1
     at = np.cumsum(size) - size
-    order = np.argsort(head["anchor"], kind="stable")
-    key, doc = head["anchor"][order], head["doc"][order]
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    shared = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
-    group = np.repeat(np.where(shared, np.arange(len(cut)), -1), np.diff(cut, append=len(key)))
-    picked, group = order[group >= 0], group[group >= 0]
-    # distinct fragments of an anchor, with their smallest document
-    known: dict[tuple[int, bytes], int] = {}
-    ids = np.empty(len(picked), np.int64)
-    for i, (g, a, n) in enumerate(zip(group.tolist(), at[picked].tolist(), size[picked].tolist(), strict=True)):
-        ids[i] = known.setdefault((g, body[a : a + n].tobytes()), len(known))
+    sides = [_side_groups(body, at + anchor - SIDE, anchor >= SIDE, doc), _side_groups(body, at + anchor, anchor + KEY <= size, doc)]
+    picked = np.flatnonzero((sides[0] >= 0) | (sides[1] >= 0))
+    if not len(picked):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    known: dict[bytes, int] = {}
+    ids = np.array([known.setdefault(body[a : a + m].tobytes(), len(known)) for a, m in zip(at[picked].tolist(), size[picked].tolist(), strict=True)], np.int64)
+    strings = list(known)
     owner = np.full(len(known), _NO_ID)
-    np.minimum.at(owner, ids, head["doc"][picked])
-    groups = np.array([g for g, _ in known], np.int64)
-    several = np.bincount(groups, minlength=len(cut))[groups] > 1 if len(groups) else np.zeros(0, bool)
-    strings = [s for _, s in known]
+    np.minimum.at(owner, ids, doc[picked])
+    several = np.zeros(len(known), bool)
+    for side in sides:  # distinct fragments with one key
+        mine = side[picked] >= 0
+        pairs = np.unique(np.stack((side[picked][mine], ids[mine])), axis=1)
+        several[pairs[1][np.bincount(pairs[0], minlength=1)[pairs[0]] > 1]] = True
     least = [np.full(len(s) - LENGTH + 1, o) for s, o in zip(strings, owner, strict=True)]
     apart = np.flatnonzero(several)
     if len(apart):
         for i, x in zip(apart.tolist(), least_owner([strings[i] for i in apart.tolist()], owner[apart]), strict=True):
             least[i] = x
     counts = head["n"][picked].astype(np.int64)
-    if not len(picked):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
     flagged = np.concatenate([least[i] for i in ids.tolist()]) < np.repeat(head["doc"][picked], counts)
     piece, offset = np.repeat(np.arange(len(picked)), counts), _within(counts)
     begins = flagged & ((offset == 0) | ~np.concatenate(([False], flagged[:-1])))
@@ -238,18 +261,19 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.binary())], ["bucket", "blob"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, hashes, texts, size = [], [], [], 0
+        parts: list[tuple[int, int, int, bytes]] = []
+        size = 0
         for b in batches:
             for d, h, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                docs.append(d.as_py())
-                hashes.append(h.as_py())
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size >= PACK_BYTES:
-                    yield out(list(_pack(docs, hashes, texts, buckets)))
-                    docs, hashes, texts, size = [], [], [], 0
-        if texts:
-            yield out(list(_pack(docs, hashes, texts, buckets)))
+                text = t.as_py()
+                for first in range(0, max(1, len(text) - LENGTH + 1), PACK_BYTES):  # a part holds the strings that start in it
+                    parts.append((d.as_py(), h.as_py(), first, text[first : first + PACK_BYTES + LENGTH - 1]))
+                    size += len(parts[-1][3])
+                    if size >= PACK_BYTES:
+                        yield out(list(_pack(*map(list, zip(*parts, strict=True)), buckets)))
+                        parts, size = [], 0
+        if parts:
+            yield out(list(_pack(*map(list, zip(*parts, strict=True)), buckets)))
 
     def flag(doc, h, first, last) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "hash", "first", "last"])
