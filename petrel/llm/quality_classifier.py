@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     """Train on labelled documents that are not held out, ``max_train`` at most (the only sample taken).
 
     The sample's texts are read where they lie; the driver gets neighbour sums of
-    ``GATHER_TASKS`` tasks (2 MB each) and one pooled vector per sampled document.
+    ``GATHER_TASKS`` tasks (4 MB each) and one pooled vector per sampled document.
     A doc_id with several labels counts as good if they all say so.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         sums = neighbour_sums((t.as_py() for b in batches for t in b.column(0)), index)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
-    parts = sample.select("text").repartition(GATHER_TASKS).mapInArrow(gather, "sums binary").toLocalIterator()
+    parts = sample.select("text").repartition(GATHER_TASKS).mapInArrow(gather, "sums binary").collect()  # 8 rows of 4 MB
     sums = np.zeros((BUCKETS, DIMS))
     for part in parts:
         sums += np.frombuffer(bytes(part["sums"])).reshape(BUCKETS, DIMS)
