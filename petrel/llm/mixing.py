@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Mixing weights, dealt to the sources in code-point order, again and again.
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a percentage of all words, and the most copies of a source.
@@ -86,10 +88,12 @@ def mix(
     """
     p_weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u"), p_weight.alias("pw"))
+    base, _ = scratch.save(base, "sizes")  # texts are read once; what follows reads a few numbers per document
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_percent, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
     targets = targets.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets, _ = scratch.save(targets, "targets")
 
     def ranked(rows: DataFrame) -> DataFrame:
         """Rows with the rank's place on (0, 1): a rising function of the rank, even where p is the source's own."""
@@ -103,7 +107,6 @@ def mix(
 
     some = targets.where("budget > 0 and part > 0").select("source", "part", "budget")
 
-
     def with_target(rows: DataFrame, t: DataFrame, how: str = "inner") -> DataFrame:
         t = t.withColumnRenamed("source", "_s")
         return rows.join(t, rows["source"].eqNullSafe(t["_s"]), how).drop("_s")
@@ -132,7 +135,7 @@ def mix(
     near = last.where(F.col("upto") - F.col("b") <= F.col("b") - (F.col("upto") - F.col("size")))
     cut = near.groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("cut"))
     cells = at2.select("source", F.struct(F.col("c1"), F.col("c2")).alias("cell"))
-    full = with_target(with_target(targets, cells, "left"), cut, "left")
+    full, _ = scratch.save(with_target(with_target(targets, cells, "left"), cut, "left"), "cuts")  # a plain scan, so that a hot source's join can be split
     out = ranked(with_target(base, full, "left"))
     here = F.struct("c1", "c2")
     inside = F.coalesce((here == F.col("cell")) & (F.struct("rank", "doc_id") <= F.col("cut")), F.lit(False))
