@@ -35,6 +35,8 @@ from .components import connected_components
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: A key's fingerprints are compared directly up to this number.
 CROWD = 24
+#: The pipeline's stage has its own: words of a shingle, percent of Jaccard similarity, fingerprints, rows of a key that meet.
+STAGE_WORDS, STAGE_PERCENT, STAGE_PRINTS, STAGE_REACH = 5, 80, 5, 32
 #: Generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
 
@@ -251,7 +253,163 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return fp.join(nodes.join(least, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group."""
-    stay = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+def _keep(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near fingerprints (``simhash_groups``)."""
+    return _keep(docs, simhash_groups(docs))
+
+
+def shingles(text: bytes, k: int = STAGE_WORDS) -> tuple[int, np.ndarray]:
+    """Hash of the words as a signed long, and the sorted distinct hashes of the word k-grams (fewer words: one of all)."""
+    words = text.lower().split()
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+    starts = np.concatenate((np.zeros(1, np.int64), ends))[: max(1, len(words) - k + 1) if words else 0].tolist()
+    last = ((ends[k - 1 :] if len(words) >= k else ends[-1:]) - 1).tolist()
+    h = xxhash.xxh64_intdigest
+    each = {h(whole[a:b], SEED) for a, b in zip(starts, last, strict=True)}
+    return h(whole, SEED + 1) - (1 << 63), np.sort(np.fromiter(each, np.uint64, len(each)))
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """Another hash of each hash, by number n."""
+    x = (h ^ np.uint64(0xD1B54A32D192ED03 * (n + 1) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def stage_keys(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(family, key) of a set of shingles: per long segment of each fingerprint its Golay keys, each with a least shingle."""
+    family, out = [], []
+    for f in range(STAGE_PRINTS):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(h), 65536):
+            bits = _mixed(h[i : i + 65536], f).astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+        fp = int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+        for half, shift in enumerate((41, 18)):
+            near, real = golay_keys(np.array([fp >> shift & (1 << 23) - 1]), tables)
+            table = 2 * f + half
+            least = _mixed(h, STAGE_PRINTS + table).min()
+            key = _mixed(least ^ near[real].astype(np.uint64), table)
+            family.append(np.full(len(key), table))
+            out.append(key)
+    return np.concatenate(family), np.concatenate(out)
+
+
+def _stage_keys(docs: DataFrame) -> DataFrame:
+    """``family, key, node`` of one row per distinct text; texts without words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
+        for b in batches:
+            parts = []
+            for t in b.column(0):
+                node, h = shingles(t.as_py())
+                if len(h):
+                    family, key = stage_keys(h, tables)
+                    parts.append((family, key, np.full(len(key), node)))
+            if parts:
+                family, key, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(family.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(node.astype(np.int64))], ["family", "key", "node"])
+
+    return docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "family int, key long, node long").distinct()
+
+
+def _neighbours(keys: DataFrame, reach: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of nodes that share a key, at most ``reach`` rows apart within it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            fresh = len(held[0])
+            cols = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held)]
+            family, key, node = cols
+            for o in range(1, reach + 1):
+                i = np.arange(max(0, fresh - o), len(node) - o)
+                i = i[(family[i] == family[i + o]) & (key[i] == key[i + o]) & (node[i] != node[i + o])]
+                if len(i):
+                    a, b = node[i], node[i + o]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            held = [x[-reach:] for x in cols]
+
+    # each key has an order of its own, so a crowd meets in other neighbourhoods under other keys
+    rows = keys.repartition("family", "key").sortWithinPartitions("family", "key", F.xxhash64("key", "node"))
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have the similarity; texts of candidates only are read again."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    holders = ids.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+    rows = rows.join(holders, rows["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingles(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([h.view(np.int64) for _, h in got], pa.list_(pa.int64()))], ["node", "h"])
+
+    sets = rows.mapInArrow(run, "node long, h array<long>").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets, path = scratch.save(sets, "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "h": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "h": "y"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (s.values.to_numpy() for s in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= STAGE_PERCENT * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out, _ = scratch.save(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+    scratch.drop(docs.sparkSession, path)
+    return out
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of every row, linked where the sets of five-word shingles are similar to 0.8 or more.
+
+    Candidates share a key: a Golay key of a 23-bit segment of one of several SimHash
+    fingerprints, together with the least shingle under that segment's own order, which keeps
+    keys apart at any corpus size.  Each of the ten segments meets a pair at 0.8 in about 0.4
+    of cases (more above it).  Each candidate pair is verified on its whole shingle sets.
+    Large groups are linked in a first pass over neighbours, so the second one need not make
+    their pairs; keys of more than ``STAGE_REACH`` texts meet by neighbourhoods of their own
+    order.  Texts of the same words (A-Z folded) are one node; those without words are one too.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = [xxhash.xxh64_intdigest(b" ".join(t.as_py().lower().split()), SEED + 1) - (1 << 63) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64())], ["doc_id", "node"])
+
+    ids, _ = scratch.save(rows.mapInArrow(named, rows.select("doc_id", F.lit(0).cast("long").alias("node")).schema), "ids")
+    keys, path = scratch.save(_stage_keys(docs), "keys")
+    chain, chain_path = scratch.save(_neighbours(keys.where("family < 2"), 1), "pairs")
+    links = _similar(chain, docs, ids)
+    parts, _ = scratch.save(connected_components(links, "a", "b"), "parts")
+    pairs = _neighbours(keys, STAGE_REACH)
+    for end in "ab":
+        pairs = pairs.join(parts.withColumnsRenamed({"node": end, "component": f"p{end}"}), end, "left")
+    pairs, pairs_path = scratch.save(pairs.where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b").join(chain, ["a", "b"], "left_anti"), "pairs")
+    scratch.drop(spark, path)
+    links = links.unionByName(_similar(pairs, docs, ids))
+    scratch.drop(spark, chain_path, pairs_path)
+    parts = connected_components(links, "a", "b").withColumnRenamed("component", "part")
+    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    nodes, _ = scratch.save(nodes, "nodes")
+    least = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
+    return ids.join(nodes.join(least, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of similar texts (``similar_groups``)."""
+    return _keep(docs, similar_groups(docs))

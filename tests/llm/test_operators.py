@@ -231,6 +231,41 @@ def test_fingerprints_and_groups(spark, odd):
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
 
 
+def test_stage_keeps_one_of_similar_texts(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(900)]
+    texts = []
+    for k in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 160))]
+        texts.append(" ".join(base))
+        for _ in range(k % 3):
+            near = list(base)
+            for _ in range(rng.randint(1, 4)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near))
+    crowd = [rng.choice(vocabulary) for _ in range(200)]
+    texts += [" ".join([*crowd[:190], f"tail{k}"]) for k in range(120)] + [None, "", " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or (len(x & y) * 10 >= 8 * len(x | y) > 0):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    assert sum(got[i] != want[i] for i in want) <= 3 and all(root(got[i]) == want[i] for i in want)
+    assert len({got[i] for i in range(len(texts) - 3 - 120, len(texts) - 3)}) == 1 and got[len(texts) - 1] == len(texts) - 3
+    assert {r["doc_id"] for r in simhash.keep_one_similar(docs(spark, texts)).collect()} == set(got.values())
+    assert simhash.keep_one_similar(docs(spark, [])).count() == 0
+
+
 def test_golay_keys_meet_all_pairs():
     rng = random.Random(1)
     tables = simhash.golay_tables()
