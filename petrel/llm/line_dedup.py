@@ -5,11 +5,15 @@ where a chunk ends.  A boundary depends on nearby lines only, so lines inserted
 elsewhere don't shift it.  A chunk of several lines that occurs again anywhere is compared
 byte by byte with its first occurrence (smallest doc_id, then first in the text) and removed
 if equal.
+
+A repeated run is not bound to such boundaries: ``dedup_runs`` takes the least windows of lines
+from every line on and up to every line, which together cover any run of several lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +26,7 @@ from . import scratch
 WINDOW, DIVISOR = 2, 4
 #: Only chunks of so many lines and words are removed.
 MIN_LINES, MIN_WORDS = 2, 8
+Parts = Callable[[bytes], Iterator[tuple[int, int, int, int]]]
 _BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _TOP = pow(_BASE, WINDOW, 1 << 64)
 
@@ -56,7 +61,37 @@ def _removable(text: bytes) -> Iterator[tuple[int, int, int, int]]:
             yield begin, end, lines, h
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def windows(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, lines, hash) of the least windows of MIN_LINES lines and MIN_WORDS words, by start.
+
+    For each line that is not blank there is the shortest such window that begins with it and
+    the shortest that ends with it. A run that is long enough to be removed is the union of the
+    windows inside it, so lines of repeated windows are exactly those of repeated runs.
+    """
+    lines = text.split(b"\n")
+    ends = list(accumulate(len(x) + 1 for x in lines))
+    real = [(i, len(x.split())) for i, x in enumerate(lines) if x.strip()]
+    upto = [0, *accumulate(n for _, n in real)]
+    found, a = set(), 0
+    for e in range(MIN_LINES, len(real) + 1):  # lines a to e - 1 are the shortest window up to there
+        while a + 1 <= e - MIN_LINES and upto[e] - upto[a + 1] >= MIN_WORDS:
+            a += 1
+        if upto[e] - upto[a] >= MIN_WORDS:
+            found.add((a, e))
+    e = 0
+    for a in range(len(real) - MIN_LINES + 1):
+        e = max(e, a + MIN_LINES)
+        while e < len(real) and upto[e] - upto[a] < MIN_WORDS:
+            e += 1
+        if upto[e] - upto[a] >= MIN_WORDS:
+            found.add((a, e))
+    for a, e in sorted(found):
+        first, last = real[a][0], real[e - 1][0]
+        begin, end = ends[first - 1] if first else 0, min(ends[last], len(text))
+        yield begin, end, last - first + 1, xxhash.xxh64_intdigest(body(text, begin, end)) - (1 << 63)
+
+
+def _occurrences(docs: DataFrame, parts: Parts) -> DataFrame:
     """doc_id, h, n: how often a removable chunk occurs in a document; texts stay behind."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
 
@@ -65,7 +100,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             row, hs, ns = [], [], []
             for i, t in enumerate(b.column(1)):
                 count: dict[int, int] = {}
-                for *_, h in _removable(t.as_py()):
+                for *_, h in parts(t.as_py()):
                     count[h] = count.get(h, 0) + 1
                 row += [i] * len(count)
                 hs += count.keys()
@@ -75,15 +110,24 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n")).schema)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, parts: Parts = _removable) -> DataFrame:
     """``_id, _marks``: per document with a repeated chunk the hashes, and whether it holds the first occurrence."""
-    seen = _occurrences(docs)
+    seen = _occurrences(docs, parts)
     again = seen.groupBy("h").agg(F.sum("n").alias("all"), F.min("doc_id").alias("first")).where("all > 1").select("h", "first")
     marks = seen.join(again, "h").select("doc_id", F.struct("h", F.col("doc_id").eqNullSafe(F.col("first")).alias("first")).alias("m"))
     return marks.groupBy("doc_id").agg(F.collect_set("m").alias("_marks")).withColumnRenamed("doc_id", "_id")
 
 
-def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
+def dedup_runs(docs: DataFrame, report: bool = False) -> DataFrame:
+    """As ``dedup_lines``, but every repeated run of lines goes whole, wherever chunks end.
+
+    A line goes if it lies in a run of MIN_LINES lines (blank ones don't count) and MIN_WORDS
+    words that occurs before, without overlap; ``_n_removed_chunks`` counts the removed runs.
+    """
+    return dedup_lines(docs, report, windows)
+
+
+def dedup_lines(docs: DataFrame, report: bool = False, parts: Parts = _removable) -> DataFrame:
     """``docs`` with the texts' repeated chunks removed, in the same columns; no row goes.
 
     With ``report``: also ``_n_lines, _n_removed_lines, _n_removed_chunks``.
@@ -95,7 +139,7 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     occurs in another document stays whole.  The same holds for rows without a doc_id.
     Columns of any other name pass through.  Empty table: no rows.
     """
-    marks, _ = scratch.save(repeated_chunks(docs), "chunks")
+    marks, _ = scratch.save(repeated_chunks(docs, parts), "chunks")
     names = docs.columns
     whole = docs.select(*[F.col(f"`{c}`") for c in names])
     marked = whole.join(marks, whole["doc_id"].eqNullSafe(marks["_id"]), "left").drop("_id")
@@ -103,17 +147,17 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, hs, firsts, parts = [], [], [], []
+            row, hs, firsts, bytes_of = [], [], [], []
             for i, (t, m) in enumerate(zip(b.column(text), b.column(at_marks), strict=True)):
                 want = {x["h"]: x["first"] for x in m.as_py() or []}
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass") if want else b""
-                for begin, end, _, h in _removable(raw):
+                for begin, end, _, h in parts(raw) if want else ():
                     if h in want:
                         row.append(i)
                         hs.append(h)
                         firsts.append(want[h])
-                        parts.append(body(raw, begin, end))
-            yield pa.RecordBatch.from_arrays([b.column(at_id).take(pa.array(row, pa.int32())), pa.array(hs, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(parts, pa.binary())], ["doc_id", "h", "first", "body"])
+                        bytes_of.append(body(raw, begin, end))
+            yield pa.RecordBatch.from_arrays([b.column(at_id).take(pa.array(row, pa.int32())), pa.array(hs, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(bytes_of, pa.binary())], ["doc_id", "h", "first", "body"])
 
     schema = marked.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(True).alias("first"), F.lit(b"").alias("body")).schema
     found = marked.mapInArrow(bodies, schema)
@@ -130,12 +174,16 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
                 want = {x["h"]: x["first"] for x in m.as_py() or [] if x["h"] not in (d.as_py() or [])}
                 raw = (old or "").encode("utf-8", "surrogatepass")
                 kept, lines, gone = [], 0, 0
-                at, seen = 0, set()
-                for begin, end, n, h in _removable(raw) if want else ():
-                    if h in want and (not want[h] or h in seen):
-                        kept.append(raw[at:begin])
-                        at, lines, gone = end, lines + n, gone + 1
-                    seen.add(h)
+                at, seen = 0, {}
+                for begin, end, n, h in parts(raw) if want else ():
+                    if h in want and (not want[h] or begin >= seen.get(h, len(raw))):
+                        if begin < at:  # windows overlap, chunks don't
+                            n = raw[at:end].count(b"\n") + (at < end and not raw[at:end].endswith(b"\n"))
+                        else:
+                            kept.append(raw[at:begin])
+                            gone += 1
+                        at, lines = max(at, end), lines + n
+                    seen.setdefault(h, end)
                 kept.append(raw[at:])
                 texts.append(b"".join(kept).decode("utf-8", "surrogatepass") if gone else old)
                 counts.append((raw.count(b"\n") + 1 if raw else 0, lines, gone))

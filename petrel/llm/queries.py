@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_runs
 from .mixing import mix
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -26,7 +26,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    out = dedup_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     counts = [F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     return out.select("doc_id", *counts, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -135,6 +135,33 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_repeated_runs_go_whole(spark, odd):
+    rng = random.Random(14)
+    line = lambda: " ".join(rng.choice(["red", "blue", "green", "x", "y"]) + str(rng.randrange(9)) for _ in range(rng.choice([0, 1, 3, 9, 14])))
+    shared = [[line() for _ in range(n)] for n in (2, 3, 4, 6, 9)]
+    texts = [*odd, "same long line of eight words or more\n" * 5, "a b c d e\nf g h i\n\nj k\nend"]
+    for k in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else [line() for _ in range(3)] for _ in range(3)]
+        cut = [x for p in parts for x in (p if rng.random() < 0.7 else p[:2])]
+        texts.append("\n".join(cut))
+    split = [(t or "").split("\n") for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for i, x in enumerate(split):  # every run of lines that ends are not blank, from the longest lists down
+        n = [len(y.split()) for y in x]
+        for a in range(len(x)):
+            for b in range(a + 1, len(x)):
+                if n[a] and n[b] and sum(map(bool, n[a : b + 1])) >= line_dedup.MIN_LINES and sum(n[a : b + 1]) >= line_dedup.MIN_WORDS:
+                    d, e = first.setdefault(tuple(x[a : b + 1]), (i, b))
+                    if d < i or e < a:
+                        gone[i].update(range(a, b + 1))
+    assert sum(map(len, gone)) > 100
+    got = {r["doc_id"]: r for r in line_dedup.dedup_runs(docs(spark, texts, extra=True), report=True).collect()}
+    for i, x in enumerate(split):
+        keep = b"".join((y + "\n" * (k < len(x) - 1)).encode() for k, y in enumerate(x) if k not in gone[i])
+        assert ((got[i]["text"] or "").encode(), got[i]["_n_removed_lines"]) == (keep, len(gone[i])), i
+    assert line_dedup.dedup_runs(docs(spark, [])).count() == 0
+
+
 def test_chunk_boundaries_resist_shifts():
     rng = random.Random(1)
     lines = [f"line {rng.random()}" for _ in range(200)]
