@@ -53,10 +53,22 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return (name, verdict) if name is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def _no_dots(url: Column) -> Column:
+    """A url whose path has its ``.`` and ``..`` segments resolved; ``..`` at the root is dropped, query and fragment stay."""
+    origin, path = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0), F.regexp_extract(url, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    keep = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    # a last dot segment names a folder, so the path ends with a slash
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(keep, F.array(F.lit("")))).otherwise(keep)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(origin, F.lit("/"), F.array_join(closed, "/"), rest)).otherwise(url)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``src, dst`` urls of canonical links and client redirects in the markup (comments left out).
 
-    Relative targets are resolved against the page; an empty or fragment-only target is no link.
+    Relative targets are resolved against the page, with their dot segments; an empty or fragment-only target is no link.
     """
     attr = lambda tag, name: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
     bare = lambda c: F.trim(F.regexp_replace(c, r"^[\"']|[\"']$", ""))
@@ -77,7 +89,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(F.col("href").startswith("?"), F.concat(no_query, "href"))
         .otherwise(F.concat(F.when(path_of(F.col("src")) == "", F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(no_query, r"[^/]*$", "")), "href"))
     )
-    return links.select("src", target.alias("dst"))
+    return links.select("src", target.alias("dst")).select("src", _no_dots(F.col("dst")).alias("dst"))
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

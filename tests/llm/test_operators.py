@@ -93,6 +93,16 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.judge_pages(page(spark, [])).count() == 0
 
 
+def test_dot_segments_of_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    cases = {"../a.html": "/x/a.html", "./a.html": "/x/y/a.html", "../../../a": "/a", "b/./c/../d?p=../q#../f": "/x/y/b/d?p=../q#../f", "..": "/x/", "/m/../n/.": "/n/", "//h.net/k/../l": None, "a..b/.c": "/x/y/a..b/.c", "../../..//z": "//z"}
+    rows = [(i, f"http://h.net/x/y/p{i}", link.format(h)) for i, h in enumerate(cases)]
+    got = {r["src"]: r["dst"] for r in url_filters.page_links(page(spark, rows)).collect()}
+    assert [got[u] for _, u, _ in rows] == ["http://h.net" + (w or "/l") for w in cases.values()]
+    pages = page(spark, [(1, "http://c.com/de/x", ""), (2, "http://c.com/q/r/s", link.format("../../de/./x"))])
+    assert {r["verdict"] for r in url_filters.judge_pages(pages).collect()} == {"block"}
+
+
 def test_exact_dedup(spark, odd):
     ids = [*range(len(odd) - 2), None, None]
     norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
