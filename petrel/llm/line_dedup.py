@@ -1,197 +1,189 @@
 """Line dedup over content-defined chunks of lines.
 
-The lines of a text are hashed; a rolling hash over the hashes of the last lines decides
-where a chunk ends.  A boundary depends on nearby lines only, so lines inserted or deleted
-elsewhere don't shift it.  A chunk of several lines that occurs again anywhere is compared
-byte by byte with its first occurrence (smallest doc_id, then first in the text) and removed
-if equal.
-
-A repeated run is not bound to such boundaries: ``dedup_runs`` takes the least windows of lines
-from every line on and up to every line, which together cover any run of several lines.
+The lines of a text are hashed, and a rolling hash runs over the line hashes.  A chunk has no
+fixed place or size: it is a run of lines whose rolling hashes occur elsewhere too, so its
+boundaries lie where the repetition itself begins and ends.  They depend on the lines of the
+run only, and lines inserted or deleted elsewhere don't shift them.
+
+The rolling hash is read over the least windows (two lines and eight words) that begin or end
+at each line; any longer run is the union of the windows inside it.  Windows that occur again
+anywhere are compared byte by byte, and all lines of repeated ones go but for their first
+occurrence (smallest doc_id, then first in the text).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .skew import join_keyed
 
-#: Lines that the rolling hash sees; a chunk ends after one line in DIVISOR.
-WINDOW, DIVISOR = 2, 4
-#: Only chunks of so many lines and words are removed.
+#: A run that is removed has so many lines (blank ones don't count) and words.
 MIN_LINES, MIN_WORDS = 2, 8
-Parts = Callable[[bytes], Iterator[tuple[int, int, int, int]]]
+REPORT = ("_n_lines", "_n_removed_lines", "_n_removed_chunks")
 _BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_TOP = pow(_BASE, WINDOW, 1 << 64)
 
 
-def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(start, end, lines, hash) of a text's chunks in bytes, which together are the text.
-
-    The hash leaves out the newline that ends a chunk, so a chunk at the end of a text
-    equals one that more lines follow.
-    """
-    lines = text.split(b"\n")
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    out, rolling, first, begin, at = [], 0, 0, 0, 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _BASE + h - (hashes[i - WINDOW] * _TOP if i >= WINDOW else 0)) & _ALL
-        at = min(at + len(lines[i]) + 1, len(text))
-        mixed = ((rolling ^ (rolling >> 32)) * _BASE & _ALL) >> 40
-        if i == len(hashes) - 1 or mixed % DIVISOR == 0:
-            out.append((begin, at, i - first + 1, xxhash.xxh64_intdigest(body(text, begin, at)) - (1 << 63)))
-            begin, first = at, i + 1
-    return out
-
-
-def body(text: bytes, begin: int, end: int) -> bytes:
-    part = text[begin:end]
-    return part[:-1] if part.endswith(b"\n") else part
-
-
-def _removable(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    for begin, end, lines, h in chunks(text):
-        if lines >= MIN_LINES and len(text[begin:end].split()) >= MIN_WORDS:
-            yield begin, end, lines, h
-
-
-def windows(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, lines, hash) of the least windows of MIN_LINES lines and MIN_WORDS words, by start.
+def windows(text: bytes, hash_bits: int = 64) -> list[tuple[int, int, int]]:
+    """(start, stop, hash) in bytes of the least windows of MIN_LINES lines and MIN_WORDS words, by start.
 
     For each line that is not blank there is the shortest such window that begins with it and
-    the shortest that ends with it. A run that is long enough to be removed is the union of the
-    windows inside it, so lines of repeated windows are exactly those of repeated runs.
+    the shortest that ends with it. ``stop`` leaves out the newline after the last line, so a
+    window at the end of a text equals one that more lines follow.
     """
     lines = text.split(b"\n")
-    ends = list(accumulate(len(x) + 1 for x in lines))
-    real = [(i, len(x.split())) for i, x in enumerate(lines) if x.strip()]
-    upto = [0, *accumulate(n for _, n in real)]
+    begins = [0, *accumulate(len(x) + 1 for x in lines)]
+    counts = [len(x.split()) for x in lines]
+    real = [i for i, n in enumerate(counts) if n]
+    upto = [0, *accumulate(counts[i] for i in real)]
     found, a = set(), 0
     for e in range(MIN_LINES, len(real) + 1):  # lines a to e - 1 are the shortest window up to there
         while a + 1 <= e - MIN_LINES and upto[e] - upto[a + 1] >= MIN_WORDS:
             a += 1
         if upto[e] - upto[a] >= MIN_WORDS:
-            found.add((a, e))
+            found.add((real[a], real[e - 1]))
     e = 0
     for a in range(len(real) - MIN_LINES + 1):
         e = max(e, a + MIN_LINES)
         while e < len(real) and upto[e] - upto[a] < MIN_WORDS:
             e += 1
         if upto[e] - upto[a] >= MIN_WORDS:
-            found.add((a, e))
-    for a, e in sorted(found):
-        first, last = real[a][0], real[e - 1][0]
-        begin, end = ends[first - 1] if first else 0, min(ends[last], len(text))
-        yield begin, end, last - first + 1, xxhash.xxh64_intdigest(body(text, begin, end)) - (1 << 63)
+            found.add((real[a], real[e - 1]))
+    if not found:
+        return []
+    rolling, out = [0], []
+    for x in lines:
+        rolling.append((rolling[-1] * _BASE + xxhash.xxh64_intdigest(x) + 1) & _ALL)
+    for first, last in sorted(found):
+        h = (rolling[last + 1] - rolling[first] * pow(_BASE, last + 1 - first, 1 << 64)) & _ALL
+        h = ((h ^ (h >> 32)) * _BASE & _ALL) >> (64 - hash_bits)
+        out.append((begins[first], begins[last + 1] - 1, h - (1 << 63)))
+    return out
 
 
-def _occurrences(docs: DataFrame, parts: Parts) -> DataFrame:
-    """doc_id, h, n: how often a removable chunk occurs in a document; texts stay behind."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+def _owner(doc_id: Column, text: Column) -> Column:
+    """A document in the order in which first occurrences are sought; without an id it is known by its text and comes last."""
+    none = doc_id.isNull()
+    return F.struct(none.alias("late"), doc_id.alias("id"), F.when(none, F.xxhash64(text)).otherwise(F.lit(0)).alias("k"))
+
+
+def _occurrences(docs: DataFrame, hash_bits: int) -> DataFrame:
+    """``o, h, begin, stop`` of every window of every document; texts stay behind."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(_owner(F.col("doc_id"), text).alias("o"), text.cast("binary").alias("t"))
+    names = ["o", "h", "begin", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, hs, ns = [], [], []
+            row, cells = [], []
             for i, t in enumerate(b.column(1)):
-                count: dict[int, int] = {}
-                for *_, h in parts(t.as_py()):
-                    count[h] = count.get(h, 0) + 1
-                row += [i] * len(count)
-                hs += count.keys()
-                ns += count.values()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "h", "n"])
-
-    return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n")).schema)
-
-
-def repeated_chunks(docs: DataFrame, parts: Parts = _removable) -> DataFrame:
-    """``_id, _marks``: per document with a repeated chunk the hashes, and whether it holds the first occurrence."""
-    seen = _occurrences(docs, parts)
-    again = seen.groupBy("h").agg(F.sum("n").alias("all"), F.min("doc_id").alias("first")).where("all > 1").select("h", "first")
-    marks = seen.join(again, "h").select("doc_id", F.struct("h", F.col("doc_id").eqNullSafe(F.col("first")).alias("first")).alias("m"))
-    return marks.groupBy("doc_id").agg(F.collect_set("m").alias("_marks")).withColumnRenamed("doc_id", "_id")
-
-
-def dedup_runs(docs: DataFrame, report: bool = False) -> DataFrame:
-    """As ``dedup_lines``, but every repeated run of lines goes whole, wherever chunks end.
-
-    A line goes if it lies in a run of MIN_LINES lines (blank ones don't count) and MIN_WORDS
-    words that occurs before, without overlap; ``_n_removed_chunks`` counts the removed runs.
+                found = windows(t.as_py(), hash_bits)
+                row += [i] * len(found)
+                cells += found
+            begin, stop, h = zip(*cells, strict=True) if cells else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(h, pa.int64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], names)
+
+    return rows.mapInArrow(run, rows.select("o", F.lit(0).cast("long").alias("h"), F.lit(0).alias("begin"), F.lit(0).alias("stop")).schema)
+
+
+def _attach(docs: DataFrame, marks: DataFrame, path: list[str]) -> DataFrame:
+    """``row, marks`` of every document, saved. Texts are shuffled here, once, whatever the size of ``marks``."""
+    of_doc = marks.groupBy("o").agg(F.collect_list(F.struct("begin", "stop", "h", "v", "mine")).alias("marks"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _owner(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("o"))
+    met, at = scratch.save(whole.join(of_doc.hint("merge"), "o", "left").select("row", "o", "marks"), "marked")
+    path.append(at)
+    return met
+
+
+def _bodies(met: DataFrame) -> DataFrame:
+    """``o, h, begin, body`` of the repeated windows."""
+    text = F.col("row.text").cast("binary")
+    cut = F.transform("marks", lambda m: F.struct(m["h"].alias("h"), m["begin"].alias("begin"), m["stop"].alias("stop"), F.substring(text, m["begin"] + 1, m["stop"] - m["begin"]).alias("body")))
+    return met.where("marks is not null").select("o", F.inline(cut))
+
+
+def _told_apart(marks: DataFrame, met: DataFrame, clash: DataFrame) -> DataFrame:
+    """``marks`` with the windows of clashing hashes replaced by those whose bytes repeat."""
+    rows = _bodies(met).join(clash, "h")
+    variants = rows.groupBy("h", "body").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1")
+    variants = variants.withColumn("v", F.row_number().over(Window.partitionBy("h").orderBy("body")))
+    exact = rows.join(variants, ["h", "body"]).select("o", "begin", "stop", "h", "v", (F.col("o") == F.col("first")).alias("mine"))
+    return marks.join(clash, "h", "left_anti").unionByName(exact)
+
+
+def dedup_lines(docs: DataFrame, report: bool = False, hash_bits: int = 64) -> DataFrame:
+    """``docs`` without repeated runs of lines, in the same columns; no row goes.
+
+    A line goes if it lies in a run of MIN_LINES lines and MIN_WORDS words that occurs before,
+    in a smaller doc_id or earlier in the text without overlap.  With ``report`` the columns
+    ``_n_lines, _n_removed_lines, _n_removed_chunks`` follow (and replace columns of these
+    names); a removed chunk is a maximal removed run.
+
+    Texts are hashed once where they lie.  What moves at first is four numbers a window; then
+    each text is sent once to its repeated windows (``_attach``, the same plan at every size)
+    and kept in a scratch table, where bytes are compared as the least and the largest body of
+    each hash.  Hashes for which they differ, if any, are regrouped by bytes.  ``hash_bits``
+    shortens the hash, for tests.
+
+    Null and empty texts stay as they are.  Very long texts are treated whole.  Rows that
+    repeat a doc_id count as one document: what is first in one is kept in all of them.  A
+    row without a doc_id is the document of its text and comes after all others, so equal
+    rows without one are treated alike.  Ties can't arise: owners differ and windows of one
+    text differ in place.  Other columns pass through, whatever their names.  Empty table: no rows.
     """
-    return dedup_lines(docs, report, windows)
-
-
-def dedup_lines(docs: DataFrame, report: bool = False, parts: Parts = _removable) -> DataFrame:
-    """``docs`` with the texts' repeated chunks removed, in the same columns; no row goes.
-
-    With ``report``: also ``_n_lines, _n_removed_lines, _n_removed_chunks``.
-
-    Texts are shuffled once, to meet their document's marks (both uses share the exchange);
-    only repeated chunks are shuffled for the byte comparison, which is a join on hash and
-    bytes.  Null and empty texts stay as they are.  Rows that repeat a doc_id count as one
-    document: what is first in one is kept in all of them, and a text none of whose chunks
-    occurs in another document stays whole.  The same holds for rows without a doc_id.
-    Columns of any other name pass through.  Empty table: no rows.
-    """
-    marks, _ = scratch.save(repeated_chunks(docs, parts), "chunks")
-    names = docs.columns
-    whole = docs.select(*[F.col(f"`{c}`") for c in names])
-    marked = whole.join(marks, whole["doc_id"].eqNullSafe(marks["_id"]), "left").drop("_id")
-    text, at_id, at_marks = names.index("text"), names.index("doc_id"), len(names)
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, hs, firsts, bytes_of = [], [], [], []
-            for i, (t, m) in enumerate(zip(b.column(text), b.column(at_marks), strict=True)):
-                want = {x["h"]: x["first"] for x in m.as_py() or []}
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass") if want else b""
-                for begin, end, _, h in parts(raw) if want else ():
-                    if h in want:
-                        row.append(i)
-                        hs.append(h)
-                        firsts.append(want[h])
-                        bytes_of.append(body(raw, begin, end))
-            yield pa.RecordBatch.from_arrays([b.column(at_id).take(pa.array(row, pa.int32())), pa.array(hs, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(bytes_of, pa.binary())], ["doc_id", "h", "first", "body"])
-
-    schema = marked.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(True).alias("first"), F.lit(b"").alias("body")).schema
-    found = marked.mapInArrow(bodies, schema)
-    originals = found.where("first").select("h", "body").distinct()
-    differ = found.where("not first").join(originals, ["h", "body"], "left_anti").groupBy("doc_id").agg(F.collect_set("h").alias("_differ"))
-    differ, _ = scratch.save(differ.withColumnRenamed("doc_id", "_id"), "differing")
-    marked = marked.join(differ, marked["doc_id"].eqNullSafe(differ["_id"]), "left").drop("_id")
+    spark = docs.sparkSession
+    paths: list[str] = []
+    seen, at = scratch.save(_occurrences(docs, hash_bits), "windows")
+    paths.append(at)
+    again = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("o").alias("first")).where("n > 1")
+    again, at = scratch.save(again, "repeated")
+    paths.append(at)
+    marks = join_keyed(seen, again, ["h"], "n").select("o", "begin", "stop", "h", F.lit(0).alias("v"), (F.col("o") == F.col("first")).alias("mine"))
+    kept: list[str] = []
+    met = _attach(docs, marks, kept)
+    clash = _bodies(met).groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h")
+    clash, at = scratch.save(clash, "clashing")
+    paths.append(at)
+    if not clash.isEmpty():
+        met = _attach(docs, _told_apart(marks, met, clash), kept)
+        paths.append(kept[0])
+    scratch.drop(spark, *paths)
+
+    names = [c for c in docs.columns if not (report and c in REPORT)]
+    place, text = [docs.columns.index(c) for c in names], docs.columns.index("text")
+    out = [*names, *REPORT] if report else names
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            fields = b.column(0).flatten()
             texts, counts = [], []
-            for t, m, d in zip(b.column(text), b.column(at_marks), b.column(at_marks + 1), strict=True):
+            for t, m in zip(fields[text], b.column(1), strict=True):
                 old = t.as_py()
-                want = {x["h"]: x["first"] for x in m.as_py() or [] if x["h"] not in (d.as_py() or [])}
                 raw = (old or "").encode("utf-8", "surrogatepass")
-                kept, lines, gone = [], 0, 0
-                at, seen = 0, {}
-                for begin, end, n, h in parts(raw) if want else ():
-                    if h in want and (not want[h] or begin >= seen.get(h, len(raw))):
-                        if begin < at:  # windows overlap, chunks don't
-                            n = raw[at:end].count(b"\n") + (at < end and not raw[at:end].endswith(b"\n"))
-                        else:
-                            kept.append(raw[at:begin])
+                kept, lines, gone, at, seen = [], 0, 0, -1, {}
+                for x in sorted(m.as_py() or [], key=lambda x: (x["begin"], x["stop"])):
+                    begin, stop, name = x["begin"], x["stop"], (x["h"], x["v"])
+                    if not x["mine"] or begin >= seen.get(name, len(raw)):
+                        if begin > at or at < 0:  # not in or next to what goes already
+                            kept.append(raw[max(at, 0) : begin])
                             gone += 1
-                        at, lines = max(at, end), lines + n
-                    seen.setdefault(h, end)
-                kept.append(raw[at:])
+                        end = min(stop + 1, len(raw))
+                        lines += max(0, raw.count(b"\n", max(at, begin), stop) + (stop > max(at, begin)))
+                        at = max(at, end)
+                    seen.setdefault(name, stop + 1)
+                kept.append(raw[max(at, 0) :])
                 texts.append(b"".join(kept).decode("utf-8", "surrogatepass") if gone else old)
                 counts.append((raw.count(b"\n") + 1 if raw else 0, lines, gone))
-            columns = [pa.array(texts, pa.string()) if i == text else b.column(i) for i in range(len(names))]
+            columns = [pa.array(texts, pa.string()) if i == text else fields[i] for i in place]
             if report:
                 columns += [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *extra])
-
-    extra = ["_n_lines", "_n_removed_lines", "_n_removed_chunks"] if report else []
-    return marked.mapInArrow(edit, docs.select("*", *[F.lit(0).cast("long").alias(c) for c in extra]).schema)
+            yield pa.RecordBatch.from_arrays(columns, out)
 
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(0).cast("long").alias(c) for c in REPORT * report]).schema
+    return met.select("row", "marks").mapInArrow(edit, schema)

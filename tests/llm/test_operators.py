@@ -16,7 +16,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark, texts, ids=None, extra=False):
     ids = ids if ids is not None else range(len(texts))
     df = spark.createDataFrame([(i, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOCS)
-    return df.withColumns({c: F.lit("clash") for c in ("h", "fp", "_key", "size", "kept", "bucket", "_t", "hash", "copies", "w", "runs")}) if extra else df
+    return df.withColumns({c: F.lit("clash") for c in ("h", "fp", "_key", "size", "kept", "bucket", "_t", "hash", "copies", "w", "runs", "_id", "_marks", "_stay", "_source", "col", "row", "o", "marks")}) if extra else df
 
 
 @pytest.fixture(scope="module")
@@ -123,28 +123,6 @@ def test_exact_dedup(spark, odd):
     assert exact_dedup.exact_dedup(docs(spark, []), True).count() == 0
 
 
-def test_line_dedup(spark, odd):
-    df = docs(spark, odd, extra=True)
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, report=True).collect()}
-    assert len(got) == len(odd) and set(df.columns) <= set(next(iter(got.values())).asDict())
-    seen = {}
-    for i, t in enumerate(odd):
-        raw = (t or "").encode()
-        keep = b""
-        parts = line_dedup.chunks(raw) if raw else []
-        assert b"".join(raw[a:b] for a, b, _, _ in parts) == raw
-        for a, b, n, _ in parts:
-            body = line_dedup.body(raw, a, b)
-            removable = n >= line_dedup.MIN_LINES and len(body.split()) >= line_dedup.MIN_WORDS
-            if not (removable and body in seen):
-                keep += raw[a:b]
-            if removable:
-                seen[body] = i
-        assert (got[i]["text"] or "") == keep.decode()
-    assert got[7]["_n_removed_chunks"] > 0 and got[8]["_n_removed_lines"] >= 2 and got[0]["text"] is None
-    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
-
-
 def test_repeated_runs_go_whole(spark, odd):
     rng = random.Random(14)
     line = lambda: " ".join(rng.choice(["red", "blue", "green", "x", "y"]) + str(rng.randrange(9)) for _ in range(rng.choice([0, 1, 3, 9, 14])))
@@ -165,18 +143,31 @@ def test_repeated_runs_go_whole(spark, odd):
                     if d < i or e < a:
                         gone[i].update(range(a, b + 1))
     assert sum(map(len, gone)) > 100
-    got = {r["doc_id"]: r for r in line_dedup.dedup_runs(docs(spark, texts, extra=True), report=True).collect()}
-    for i, x in enumerate(split):
-        keep = b"".join((y + "\n" * (k < len(x) - 1)).encode() for k, y in enumerate(x) if k not in gone[i])
-        assert ((got[i]["text"] or "").encode(), got[i]["_n_removed_lines"]) == (keep, len(gone[i])), i
-    assert line_dedup.dedup_runs(docs(spark, [])).count() == 0
+    for bits in (64, 6):  # six bits: nearly every hash clashes, so bytes decide
+        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts, extra=True), report=True, hash_bits=bits).collect()}
+        for i, x in enumerate(split):
+            keep = b"".join((y + "\n" * (k < len(x) - 1)).encode() for k, y in enumerate(x) if k not in gone[i])
+            assert ((got[i]["text"] or "").encode(), got[i]["_n_removed_lines"]) == (keep, len(gone[i])), i
+        assert got[0]["text"] is None
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    run = "first line of some words\nsecond line of some words"
+    rows = [(3, "x\n" + run), (3, "y\n" + run), (None, run + "\nz"), (None, run + "\nz"), (None, "w\n" + run), (7, run), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "_marks", "_n_lines", "row", "o", "marks", "t", "col")})
+    got = line_dedup.dedup_lines(df, report=True)
+    assert got.columns == [c for c in df.columns if c != "_n_lines"] + list(line_dedup.REPORT)
+    texts = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got.collect()), key=repr)
+    assert texts == sorted([(False, 3, "x\n" + run), (False, 3, "y\n" + run), (False, 7, ""), (False, 8, ""), (True, 0, None), (True, 0, "w\n"), (True, 0, "z"), (True, 0, "z")], key=repr)
+    assert all(r["_id"] == "_id" and r["col"] == "col" for r in got.collect())
 
 
 def test_chunk_boundaries_resist_shifts():
     rng = random.Random(1)
-    lines = [f"line {rng.random()}" for _ in range(200)]
-    a = {h for *_, h in line_dedup.chunks("\n".join(lines).encode())}
-    b = {h for *_, h in line_dedup.chunks("\n".join(["new", *lines[:90], "inserted", *lines[90:]]).encode())}
+    lines = [f"line of some words {rng.random()}" for _ in range(200)]
+    a = {h for *_, h in line_dedup.windows("\n".join(lines).encode())}
+    b = {h for *_, h in line_dedup.windows("\n".join(["new", *lines[:90], "inserted", *lines[90:]]).encode())}
     assert len(a & b) >= len(a) - 4
 
 
