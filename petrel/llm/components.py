@@ -30,13 +30,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     current, path = scratch.save(both, "edges")
     maps: list[DataFrame] = []
+    steps: list[str] = []
     while not current.isEmpty():
         step = (
             current.groupBy("u").agg(F.min(_order("v", len(maps))).alias("best"))
             .select(F.col("u").alias("node"), F.least(_order("u", len(maps)), F.col("best"))["n"].alias("rep"))
         )
-        step, _ = scratch.save(step, "contraction")
+        step, step_path = scratch.save(step, "contraction")
         maps.append(step)
+        steps.append(step_path)
         to = step.withColumnsRenamed({"node": "v", "rep": "rv"})
         following = (
             current.join(step.withColumnsRenamed({"node": "u", "rep": "ru"}), "u").select("ru", "v")
@@ -52,4 +54,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         whole = earlier.join(whole.select(F.col("node").alias("rep"), F.col("rep").alias("final")), "rep", "left").select(
             "node", F.coalesce("final", "rep").alias("rep")
         )
-    return whole.withColumnRenamed("rep", "component")
+    whole, _ = scratch.save(whole.withColumnRenamed("rep", "component"), "components")
+    scratch.drop(spark, path, *steps)
+    return whole

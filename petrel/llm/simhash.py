@@ -13,8 +13,8 @@ half way decodes for both.  Three differing bits fall on the segments in one of
 
 That is 5 to 76 keys of 33 to 41 bits.  Rows that share a key are verified bit by bit.
 A key held by more than ``CROWD`` fingerprints is not paired: its fingerprints get finer keys
-instead (any 9 of 12 parts equal), and where those are crowded too, all words but three
-bits, which eight fingerprints at most can share.  So no pair is lost and none of the
+instead (any 9 of 12 parts equal, then any 21 of 24), and where those are crowded too, all
+words but three bits, which eight fingerprints at most can share.  So no pair is lost and none of the
 stages makes more rows than its keys.
 """
 
@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -35,8 +35,10 @@ from .components import connected_components
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: A key's fingerprints are compared directly up to this number.
 CROWD = 24
-#: The pipeline's stage has its own: words of a shingle, percent of Jaccard similarity, fingerprints, rows of a key that meet.
-STAGE_WORDS, STAGE_PERCENT, STAGE_PRINTS, STAGE_REACH = 5, 80, 5, 32
+#: The pipeline's stage has its own: words of a shingle, percent of Jaccard similarity, fingerprints, nodes of a key that meet, nodes that a task remembers.
+STAGE_WORDS, STAGE_PERCENT, STAGE_PRINTS, STAGE_REACH, STAGE_MEMO = 5, 80, 4, 32, 200_000
+#: Parts into which finer keys cut a fingerprint, by level; three of them are hidden.
+LEVEL_PARTS = (0, 12, 24, 64)
 #: Generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
 
@@ -131,7 +133,7 @@ _KEYS = "family int, key long, fp long"
 def _key_rows(fps: DataFrame, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables() if level == 0 else None
-        hide = masks((0, 12, 64)[level]) if level else None
+        hide = masks(LEVEL_PARTS[level]) if level else None
         for b in batches:
             every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             step = 8192 if level == 0 else max(1, 400_000 // len(hide))
@@ -226,7 +228,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect exactly those within 3 bits."""
     spark = fps.sparkSession
     links, members = None, fps
-    for level in range(3):
+    for level in range(len(LEVEL_PARTS)):
         rows = _key_rows(members, level).repartition("family", "key").sortWithinPartitions("family", "key")
         found, _ = scratch.save(rows.mapInArrow(_link_runs, "a long, b long"), f"links{level}")
         fine = found.where("b is not null").distinct()
@@ -253,14 +255,23 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return fp.join(nodes.join(least, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _keep(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+def owner(doc_id: Column, text: Column) -> Column:
+    """A row by its doc_id (a null comes last) and a hash of its text; only rows that are equal in both share it."""
+    return F.struct(doc_id.isNull().alias("late"), doc_id.alias("id"), F.xxhash64(text).alias("k"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near fingerprints (``simhash_groups``)."""
-    return _keep(docs, simhash_groups(docs))
+def _owned(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(owner(F.col("doc_id"), text).alias("o"), text.cast("binary").alias("t"))
+
+
+def _keep(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows of owners ``dropped``; of rows with one owner, one stays. Texts are shuffled once."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), owner(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("o"))
+    rows = rows.join(dropped.hint("merge"), "o", "left_anti")  # the same plan at every size
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("o").orderBy("o"))).where("n = 1")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def shingles(text: bytes, k: int = STAGE_WORDS) -> tuple[int, np.ndarray]:
@@ -282,9 +293,9 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def stage_keys(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(family, key) of a set of shingles: per long segment of each fingerprint its Golay keys, each with a least shingle."""
-    family, out = [], []
+def stage_keys(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of a set of shingles: per long segment of each fingerprint its Golay keys, each with a least shingle."""
+    out = []
     for f in range(STAGE_PRINTS):
         counts = np.zeros(64, np.int64)
         for i in range(0, len(h), 65536):
@@ -295,67 +306,67 @@ def stage_keys(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray])
             near, real = golay_keys(np.array([fp >> shift & (1 << 23) - 1]), tables)
             table = 2 * f + half
             least = _mixed(h, STAGE_PRINTS + table).min()
-            key = _mixed(least ^ near[real].astype(np.uint64), table)
-            family.append(np.full(len(key), table))
-            out.append(key)
-    return np.concatenate(family), np.concatenate(out)
+            out.append(_mixed(least ^ near[real].astype(np.uint64), table))
+    return np.concatenate(out)
 
 
-def _stage_keys(docs: DataFrame) -> DataFrame:
-    """``family, key, node`` of one row per distinct text; texts without words have none."""
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``o, node, keys`` of every row; a task gives the keys of a node once, as long as it remembers it, and no keys to texts without words."""
+    rows = _owned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = golay_tables()
+        tables, known = golay_tables(), set()
         for b in batches:
-            parts = []
-            for t in b.column(0):
+            nodes, keys = [], []
+            for t in b.column(1):
                 node, h = shingles(t.as_py())
-                if len(h):
-                    family, key = stage_keys(h, tables)
-                    parts.append((family, key, np.full(len(key), node)))
-            if parts:
-                family, key, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(family.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(node.astype(np.int64))], ["family", "key", "node"])
+                nodes.append(node)
+                keys.append(stage_keys(h, tables).view(np.int64) if len(h) and node not in known else None)
+                known.add(node)
+            if len(known) > STAGE_MEMO:
+                known = set()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["o", "node", "keys"])
 
-    return docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "family int, key long, node long").distinct()
+    return rows.mapInArrow(run, rows.select("o", F.lit(0).cast("long").alias("node"), F.lit(None).cast("array<long>").alias("keys")).schema)
 
 
-def _neighbours(keys: DataFrame, reach: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes that share a key, at most ``reach`` rows apart within it."""
+def _neighbours(keys: DataFrame, reach: int, *order: Column | str) -> DataFrame:
+    """Distinct pairs ``a < b`` of nodes that share a key, at most ``reach`` nodes apart in its ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 2
         for batch in batches:
             fresh = len(held[0])
-            cols = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held)]
-            family, key, node = cols
+            key, node = (np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
+            again = np.zeros(len(key), bool)  # a node that several tasks gave
+            again[max(1, fresh) :] = ((key[1:] == key[:-1]) & (node[1:] == node[:-1]))[max(1, fresh) - 1 :]
+            key, node = key[~again], node[~again]
             for o in range(1, reach + 1):
                 i = np.arange(max(0, fresh - o), len(node) - o)
-                i = i[(family[i] == family[i + o]) & (key[i] == key[i + o]) & (node[i] != node[i + o])]
+                i = i[key[i] == key[i + o]]
                 if len(i):
                     a, b = node[i], node[i + o]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            held = [x[-reach:] for x in cols]
+            held = [key[-reach:], node[-reach:]]
 
-    # each key has an order of its own, so a crowd meets in other neighbourhoods under other keys
-    rows = keys.repartition("family", "key").sortWithinPartitions("family", "key", F.xxhash64("key", "node"))
+    rows = keys.repartition("key").sortWithinPartitions("key", *order)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity; texts of candidates only are read again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = ids.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
-    rows = rows.join(holders, rows["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("t")
+def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, h`` (sorted 32-bit shingle hashes) of the nodes given, from one text each: ``nodes`` has ``o, node``. Texts are shuffled once."""
+    rows = _owned(docs).join(nodes.hint("merge"), "o").select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([h.view(np.int64) for _, h in got], pa.list_(pa.int64()))], ["node", "h"])
+            sets = [np.unique((shingles(t.as_py())[1] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "h"])
 
-    sets = rows.mapInArrow(run, "node long, h array<long>").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets, path = scratch.save(sets, "shingles")
+    return rows.mapInArrow(run, "node long, h array<int>").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have the similarity."""
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "h": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "h": "y"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,49 +378,58 @@ def _similar(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ok.append(100 * common >= STAGE_PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out, _ = scratch.save(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
-    scratch.drop(docs.sparkSession, path)
-    return out
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` of every row, linked where the sets of five-word shingles are similar to 0.8 or more.
+    """``o, keep`` of every row: its owner (``owner``) and that of the group's first row, linked where the sets of five-word shingles are similar to 0.8 or more.
 
     Candidates share a key: a Golay key of a 23-bit segment of one of several SimHash
     fingerprints, together with the least shingle under that segment's own order, which keeps
-    keys apart at any corpus size.  Each of the ten segments meets a pair at 0.8 in about 0.4
-    of cases (more above it).  Each candidate pair is verified on its whole shingle sets.
-    Large groups are linked in a first pass over neighbours, so the second one need not make
-    their pairs; keys of more than ``STAGE_REACH`` texts meet by neighbourhoods of their own
-    order.  Texts of the same words (A-Z folded) are one node; those without words are one too.
+    keys apart at any corpus size.  Each of the eight segments meets a pair at 0.8 in about 0.4
+    of cases (more above it).  Every candidate pair is verified on its whole shingle sets, as
+    32-bit hashes; only texts that have a candidate are made into sets.
+
+    A first pass verifies the neighbours in each key, which links large groups; the second one
+    takes the pairs that are still apart.  In keys of more than ``STAGE_REACH`` texts it takes
+    neighbourhoods in the key's own order, so a crowd meets in other ones under other keys.
+
+    Texts of the same words (A-Z folded) are one node; those without words are one too.  Rows
+    that repeat a doc_id are judged by their own texts.  Null doc_ids come last.  Empty table:
+    no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = [xxhash.xxh64_intdigest(b" ".join(t.as_py().lower().split()), SEED + 1) - (1 << 63) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64())], ["doc_id", "node"])
-
-    ids, _ = scratch.save(rows.mapInArrow(named, rows.select("doc_id", F.lit(0).cast("long").alias("node")).schema), "ids")
-    keys, path = scratch.save(_stage_keys(docs), "keys")
-    chain, chain_path = scratch.save(_neighbours(keys.where("family < 2"), 1), "pairs")
-    links = _similar(chain, docs, ids)
-    parts, _ = scratch.save(connected_components(links, "a", "b"), "parts")
-    pairs = _neighbours(keys, STAGE_REACH)
+    made: list[str] = []
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df, path = scratch.save(df, name)
+        made.append(path)
+        return df
+
+    rows = saved(_sketches(docs), "sketches")
+    keys = rows.where("keys is not null").select("node", "keys")
+    chain = saved(_neighbours(keys.select(F.explode("keys").alias("key"), "node"), 1, "node"), "chain")
+    ends = saved(chain.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    holders = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("o").alias("o"))
+    sets = saved(_shingle_sets(docs, holders), "sets")
+    links = saved(_similar(chain, sets), "links")
+    parts = saved(connected_components(links, "a", "b"), "parts")
+    some = keys.join(ends, "node", "left_semi").select(F.explode("keys").alias("key"), "node")
+    pairs = _neighbours(some, STAGE_REACH, F.xxhash64("key", "node"))
     for end in "ab":
         pairs = pairs.join(parts.withColumnsRenamed({"node": end, "component": f"p{end}"}), end, "left")
-    pairs, pairs_path = scratch.save(pairs.where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b").join(chain, ["a", "b"], "left_anti"), "pairs")
-    scratch.drop(spark, path)
-    links = links.unionByName(_similar(pairs, docs, ids))
-    scratch.drop(spark, chain_path, pairs_path)
-    parts = connected_components(links, "a", "b").withColumnRenamed("component", "part")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    nodes, _ = scratch.save(nodes, "nodes")
-    least = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-    return ids.join(nodes.join(least, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+    pairs = saved(pairs.where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b").join(chain, ["a", "b"], "left_anti"), "pairs")
+    links = saved(links.unionByName(_similar(pairs, sets)), "links")
+    parts = saved(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "parts")
+    nodes = rows.groupBy("node").agg(F.min("o").alias("least")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    nodes = saved(nodes, "nodes")
+    least = nodes.groupBy("part").agg(F.min("least").alias("keep"))
+    least = saved(nodes.join(least, "part").select("node", "keep"), "least")
+    groups, _ = scratch.save(rows.select("o", "node").join(least, "node").select("o", "keep"), "groups")
+    scratch.drop(spark, *made)
+    return groups
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of similar texts (``similar_groups``)."""
-    return _keep(docs, similar_groups(docs))
+    """The first row (smallest doc_id, then hash of its text) of each group of similar texts (``similar_groups``), with its columns, whatever their names."""
+    return _keep(docs, similar_groups(docs).where("o <> keep").select("o").distinct())

@@ -255,7 +255,6 @@ def test_fingerprints_and_groups(spark, odd):
     got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.simhash_groups(docs(spark, odd, extra=True)).collect()}
     roots = brute_components(fps)
     assert [got[i] for i in range(len(odd))] == list(zip(fps, roots, strict=True))
-    assert simhash.keep_one(docs(spark, odd, extra=True)).count() == len(set(roots))
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
 
 
@@ -286,7 +285,7 @@ def test_stage_keeps_one_of_similar_texts(spark):
             if x == y or (len(x & y) * 10 >= 8 * len(x | y) > 0):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    got = {r["o"]["id"]: r["keep"]["id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
     want = {i: root(i) for i in range(len(texts))}
     assert sum(got[i] != want[i] for i in want) <= 3 and all(root(got[i]) == want[i] for i in want)
     assert len({got[i] for i in range(len(texts) - 3 - 120, len(texts) - 3)}) == 1 and got[len(texts) - 1] == len(texts) - 3
@@ -294,6 +293,17 @@ def test_stage_keeps_one_of_similar_texts(spark):
     assert simhash.keep_one_similar(docs(spark, [])).count() == 0
 
 
+def test_one_of_equal_rows_stays(spark, odd):
+    rows = [(2, odd[5]), (2, odd[5]), (2, odd[6]), (9, odd[5].upper()), (None, odd[16]), (None, odd[16]), (None, None), (3, "")]
+    names = ("_stay", "o", "row", "n", "k", "node")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = simhash.keep_one_similar(df)
+    assert got.columns == df.columns
+    kept = got.collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept)) == sorted([(2, odd[5]), (2, odd[6]), (0, odd[16]), (3, "")])
+    assert all(r[c] == c for r in kept for c in names)
+
+
 def test_golay_keys_meet_all_pairs():
     rng = random.Random(1)
     tables = simhash.golay_tables()
