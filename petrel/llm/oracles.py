@@ -62,16 +62,24 @@ WITH base AS (
 ), lvl AS (SELECT arg_min(struct_pack(k := k, rest := rest, left_w := left_w), k) AS l FROM r WHERE rest * w <= source_size * 200 * left_w),
 t AS (
   SELECT source, source_size, CASE WHEN l IS NULL OR k < l.k THEN (source_size * 2)::DOUBLE ELSE (l.rest * w)::DOUBLE / (l.left_w * 100)::DOUBLE END AS target FROM r, lvl
-), q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - whole AS part, target - whole * source_size AS budget FROM q),
-j AS (
-  SELECT b.doc_id, b.size, f.source_size, f.target, f.whole, f.part, f.budget, b.source, (u / (1 - u)) / (part / (1 - part)) AS rank
-  FROM base b JOIN f ON b.source IS NOT DISTINCT FROM f.source
-), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM j
+), weighed AS (SELECT *, floor(sqrt(size::DOUBLE))::BIGINT AS w FROM base),
+per AS (SELECT source, w, sum(size)::BIGINT AS words FROM weighed GROUP BY source, w),
+lv AS (
+  SELECT per.source, w, (target - coalesce(sum(words) OVER (PARTITION BY per.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2.0::DOUBLE)
+    / (sum(words::HUGEINT * w) OVER (PARTITION BY per.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM per JOIN t ON per.source IS NOT DISTINCT FROM t.source WHERE words > 0 AND w > 0
+), lam AS (SELECT source, max_by(level, w) AS level FROM lv WHERE level * w <= 2 GROUP BY source),
+odds AS (
+  SELECT b.*, t.source_size, t.target, least(2.0::DOUBLE, coalesce(level * w, 2.0::DOUBLE)) AS c
+  FROM weighed b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN lam ON b.source IS NOT DISTINCT FROM lam.source
+), f AS (SELECT *, floor(c + 1e-9::DOUBLE) AS whole, greatest(0.0::DOUBLE, c - floor(c + 1e-9::DOUBLE)) AS p FROM odds),
+g AS (SELECT *, target - sum((whole::BIGINT) * size) OVER (PARTITION BY source)::DOUBLE AS budget FROM f),
+c AS (
+  SELECT *, CASE WHEN p > 0 AND size > 0 THEN sum(CASE WHEN p > 0 THEN size ELSE 0 END)
+    OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) END AS upto FROM g
 )
 SELECT doc_id, size, source_size, target,
-  (whole::BIGINT * size + CASE WHEN part > 0 AND budget > 0 AND upto - budget <= budget - (upto - size) THEN size ELSE 0 END)::BIGINT AS taken FROM c
+  (whole::BIGINT * size + CASE WHEN budget > 0 AND upto - budget <= budget - (upto - size) THEN size ELSE 0 END)::BIGINT AS taken FROM c
 """
 
 OP9 = rf"""

@@ -229,6 +229,43 @@ def test_mixing(spark, odd):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, odd, extra=True)).count() == len(odd)
 
 
+def brute_copies(rows, targets):
+    """Copies by id of rows (id, source, size), one source after another, by the definition."""
+    out = {}
+    for s, target in targets.items():
+        mine = [(i, n, int(n**0.5)) for i, t, n in rows if t == s]
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            level = (lo + hi) / 2
+            lo, hi = (level, hi) if sum(n * min(2, level * w) for _, n, w in mine) < target else (lo, level)
+        c = {i: min(2, lo * w) for i, n, w in mine}
+        out |= {i: int(c[i] + 1e-9) for i, _, _ in mine}
+        budget = target - sum(n * out[i] for i, n, _ in mine)
+        u = {i: (int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, _, _ in mine}
+        order = sorted((u[i] / (1 - u[i]) / (p / (1 - p)), i, n) for i, n, _ in mine if n and (p := c[i] - out[i]) > 1e-9)
+        upto = 0
+        for _, i, n in order:
+            upto += n
+            if upto - budget <= budget - (upto - n):
+                out[i] += 1
+    return out
+
+
+def test_copies_by_inclusion_odds(spark):
+    rng = random.Random(21)
+    rows = [(i, "abc"[min(2, int(rng.expovariate(1)))], int(rng.paretovariate(0.9)) % 4000) for i in range(1500)]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, s, n in rows], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    want = brute_copies(rows, {r["source"]: r["target"] for r in got})
+    assert {r["doc_id"]: r["copies"] for r in got if r["size"]} == {i: want[i] for i, _, n in rows if n}
+    assert {r["copies"] for r in got} == {0, 1, 2}
+    wide = df.withColumns({c: F.lit(c) for c in ("_id", "_source", "copies", "col", "row", "name", "n", "w", "level", "rank")})
+    mixed = mixing.mixed_rows(wide)
+    assert mixed.columns == wide.columns and {(r["doc_id"], r["count"]) for r in mixed.groupBy("doc_id").count().collect()} == {(r["doc_id"], r["copies"]) for r in got if r["copies"]}
+    nameless = spark.createDataFrame([(None, f"some words {i % 40} of it", None) for i in range(200)], "doc_id long, text string, source string")
+    assert mixing.mix(nameless).count() == 200 and mixing.mixed_rows(nameless.limit(0)).count() == 0
+
+
 def test_secret_spans(spark, odd):
     rng = random.Random(6)
     key = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
