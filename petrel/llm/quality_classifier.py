@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Every term has a fixed sparse ternary index vector.  A term's word vector is its own index
-vector plus the normalised sum of those of its neighbours in the training texts (random
+vector plus the normalised sum of those of its neighbours in all texts of the corpus (random
 indexing).  A document is the mean vector of its terms; a network with one hidden layer,
 trained in numpy, scores it, and a temperature fitted on held-back training rows calibrates
 the probability.
@@ -29,8 +29,8 @@ from . import scratch
 BUCKETS, DIMS, NONZERO, WINDOW, HIDDEN = 8192, 64, 6, 2, 32
 #: Labelled documents that training uses at most, the first by hash of doc_id.
 MAX_TRAIN = 6000
-#: Tasks that gather neighbour counts of the bounded sample; each sends at most the model's size.
-GATHER_TASKS = 8
+#: Words whose neighbours are counted at once.
+BLOCK_WORDS = 400_000
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
 
@@ -51,7 +51,7 @@ def _word_terms(word: str) -> int:
     """Both buckets of a word in one number."""
     letters = "".join(_LETTERS.findall(word)).lower()
     shape = _RUNS.sub(r"\1", word.translate(_SIGNS))
-    return _bucket("w" + letters) * BUCKETS + _bucket("s" + shape[:24])
+    return _bucket("w" + letters) * BUCKETS + _bucket("s" + shape)
 
 
 class Terms:
@@ -82,19 +82,43 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def _add_neighbours(sums: np.ndarray, terms: list[np.ndarray], index: np.ndarray) -> None:
+    """Add to ``sums`` the index vectors of the neighbours of each term; the arrays of ``terms`` are texts of their own."""
+    gap = np.zeros((WINDOW, 2), np.int32)
+    t = np.concatenate([x for text in terms for x in (text, gap)]).astype(np.int64)
+    t = np.concatenate((t[:, 0], t[:, 1]))  # letters with letters, shape with shape
+    ahead = [(t[:-d], t[d:]) for d in range(1, WINDOW + 1)]
+    pair, n = np.unique(np.concatenate([(a * BUCKETS + b)[(a > 0) & (b > 0)] for a, b in ahead]), return_counts=True)
+    first, second = pair // BUCKETS, pair % BUCKETS
+    for one, other in ((first, second), (second, first)):
+        order = np.argsort(one, kind="stable")
+        for i in range(0, len(order), 200_000):
+            part = order[i : i + 200_000]
+            cut = np.flatnonzero(np.diff(one[part], prepend=-1))
+            sums[one[part][cut]] += np.add.reduceat(index[other[part]] * n[part, None], cut, axis=0)
+
+
 def neighbour_sums(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
-    """Per bucket the sum of the index vectors of its neighbours."""
+    """Per bucket the sum of the index vectors of its neighbours: whole numbers, so the order of adding does not matter."""
     sums, terms = np.zeros((BUCKETS, DIMS), np.float64), Terms()
+    held, size = [], 0
     for text in texts:
         t = terms(text)
-        for i in range(0, len(t), 50_000):  # long texts in blocks that overlap by the window
-            block = t[max(0, i - WINDOW) : i + 50_000]
-            for d in range(1, WINDOW + 1):
-                a, b = block[:-d].ravel(), block[d:].ravel()  # letters with letters, shape with shape
-                pair, n = np.unique(np.concatenate((a.astype(np.int64) * BUCKETS + b, b.astype(np.int64) * BUCKETS + a)), return_counts=True)
-                if len(pair):  # pairs are sorted, so those of a term stand together
-                    cut = np.flatnonzero(np.diff(pair // BUCKETS, prepend=-1))
-                    sums[pair[cut] // BUCKETS] += np.add.reduceat(index[pair % BUCKETS] * n[:, None], cut, axis=0)
+        for i in range(0, len(t), BLOCK_WORDS):  # long texts in blocks that overlap by the window
+            block = t[i : i + BLOCK_WORDS]
+            if i:  # pairs across the cut: the words before it with those after, without those before among themselves
+                _add_neighbours(sums, [t[i - WINDOW : i + WINDOW]], index)
+                for side in (t[i - WINDOW : i], t[i : i + WINDOW]):
+                    back = np.zeros_like(sums)
+                    _add_neighbours(back, [side], index)
+                    sums -= back
+            held.append(block)
+            size += len(block)
+            if size >= BLOCK_WORDS:
+                _add_neighbours(sums, held, index)
+                held, size = [], 0
+    if held:
+        _add_neighbours(sums, held, index)
     return sums
 
 
@@ -166,27 +190,39 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Train on labelled documents that are not held out, ``max_train`` at most (the only sample taken).
+    """Word vectors of all documents, and a network trained on labelled ones that are not held out.
 
-    The sample's texts are read where they lie; the driver gets neighbour sums of
-    ``GATHER_TASKS`` tasks (4 MB each) and one pooled vector per sampled document.
-    A doc_id with several labels counts as good if they all say so.
+    The network sees ``max_train`` documents at most, the only sample taken; the driver gets one
+    pooled vector for each of them and the neighbour sums of all buckets (8192 rows, 4 MB),
+    which are summed by bucket across tasks.  A doc_id with several labels counts as good if
+    they all say so; one with several texts is trained on the least of them.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     chosen = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_train)
-    sample = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     sample, path = scratch.save(sample, "training")
     index = index_vectors()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = neighbour_sums((t.as_py() for b in batches for t in b.column(0)), index)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([r.tobytes() for r in sums[some].astype(np.int64)], pa.binary())], ["bucket", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), np.int64)
+                sums[k] = sums[k] + x if k in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["bucket", "sums"])
 
-    parts = sample.select("text").repartition(GATHER_TASKS).mapInArrow(gather, "sums binary").collect()  # 8 rows of 4 MB
+    schema = "bucket int, sums binary"
+    parts = texts.select("text").mapInArrow(gather, schema).repartition("bucket").mapInArrow(total, schema).collect()  # a row per bucket, 4 MB at most
     sums = np.zeros((BUCKETS, DIMS))
     for part in parts:
-        sums += np.frombuffer(bytes(part["sums"])).reshape(BUCKETS, DIMS)
-    vectors = word_vectors(np.round(sums), index)  # whole numbers: the order of adding does not matter
+        sums[part["bucket"]] = np.frombuffer(bytes(part["sums"]), np.int64)
+    vectors = word_vectors(sums, index)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -216,7 +252,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold, with their columns; nothing is shuffled."""
+    """The rows of ``docs`` that score at least the threshold, with their columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts score as a zero vector, repeated rows alike, long texts whole.  Empty table: no rows.
+    """
     names = docs.columns
     text = names.index("text")
 
@@ -232,8 +271,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row.
 
-    Null and empty texts are scored like others, from a zero vector.  Repeated rows get the
-    same score.  Without labels, or with one label only, every score is the smoothed share
+    Null and empty texts are scored like others, from a zero vector.  Long texts are pooled
+    whole.  Repeated rows get the same score.  There are no ties to break, since documents are
+    scored one by one; other columns are ignored.  Without labels, or with one label only, every score is the smoothed share
     of good labels.  Null doc_ids take part as the empty id.  Empty table: no rows.
     """
     out = score(docs, fit(docs, labels, max_train))

@@ -433,3 +433,39 @@ def test_held_out_labels_are_never_read(spark):
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]
     a, b = ({(r["doc_id"], r["score"]) for r in quality_classifier.classify(docs(spark, texts), spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()} for x in (labels, flipped))
     assert a == b
+
+
+def test_neighbour_sums_and_pooling(spark):
+    """Against slow sums word by word; blocks cut long texts without changing them."""
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "g-7", "x" * 90, "x" * 91, "DELTA"]) for _ in range(rng.randrange(40))) for _ in range(30)]
+    q = quality_classifier
+    index = q.index_vectors()
+    want, terms = np.zeros((q.BUCKETS, q.DIMS)), q.Terms()
+    for t in texts:
+        x = terms(t)
+        for i in range(len(x)):
+            for j in range(max(0, i - q.WINDOW), min(len(x), i + q.WINDOW + 1)):
+                for k in (0, 1):
+                    if i != j:
+                        want[x[i, k]] += index[x[j, k]]
+    old = q.BLOCK_WORDS
+    try:
+        for q.BLOCK_WORDS in (old, 7):
+            assert (q.neighbour_sums(iter(texts), index) == want).all()
+    finally:
+        q.BLOCK_WORDS = old
+    assert q._word_terms("a1" * 40 + "!") != q._word_terms("a1" * 40 + "?")
+    vectors = q.word_vectors(want, index)
+    for t in texts:
+        x = terms(t)
+        slow = np.concatenate([np.mean([vectors[b] for b in x[:, k]], axis=0) for k in (0, 1)]) if len(x) else np.zeros(2 * q.DIMS)
+        assert np.allclose(q.pooled(t, vectors, q.Terms())[:-1], slow, atol=1e-5)
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    rows = [(1, "good words here"), (2, "bad### words###")] * 300 + [(i, "good words") for i in range(3, 40)]
+    labels = [(i, int(i != 2), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_classifier.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
