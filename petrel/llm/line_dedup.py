@@ -96,7 +96,7 @@ def _attach(docs: DataFrame, marks: DataFrame, path: list[str]) -> DataFrame:
     """``row, marks`` of every document, saved. Texts are shuffled here, once, whatever the size of ``marks``."""
     of_doc = marks.groupBy("o").agg(F.collect_list(F.struct("begin", "stop", "h", "v", "mine")).alias("marks"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _owner(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("o"))
-    met, at = scratch.save(whole.join(of_doc.hint("merge"), "o", "left").select("row", "o", "marks"), "marked")
+    met, at = scratch.save(whole.join(of_doc.hint("merge"), "o", "left").select("row", "o", "marks"), "marked", "zstd")
     path.append(at)
     return met
 

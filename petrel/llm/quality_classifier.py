@@ -29,8 +29,8 @@ from . import scratch
 BUCKETS, DIMS, NONZERO, WINDOW, HIDDEN = 8192, 64, 6, 2, 32
 #: Labelled documents that training uses at most, the first by hash of doc_id.
 MAX_TRAIN = 6000
-#: Words whose neighbours are counted at once.
-BLOCK_WORDS = 400_000
+#: Words whose neighbours are summed at once: a few MB, so that the sums stay in a core's cache.
+BLOCK_WORDS = 16_384
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
 
@@ -47,29 +47,31 @@ def _bucket(term: str) -> int:
     return 2 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
 
 
+_SMALL = _bucket("sx")
+
+
 def _word_terms(word: str) -> int:
     """Both buckets of a word in one number."""
+    if word.islower() and word.isascii() and word.isalpha():
+        return _bucket("w" + word) * BUCKETS + _SMALL  # the same, without the patterns
     letters = "".join(_LETTERS.findall(word)).lower()
     shape = _RUNS.sub(r"\1", word.translate(_SIGNS))
     return _bucket("w" + letters) * BUCKETS + _bucket("s" + shape)
 
 
-class Terms:
-    """Buckets of a text's terms; the memo is emptied when it is large, so memory is bounded."""
+class Terms(dict):
+    """Buckets of a text's terms. Words are remembered; the memo is emptied when it is large, so memory is bounded."""
 
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        self[word] = both = _word_terms(word)
+        return both
 
     def __call__(self, text: str) -> np.ndarray:
         """n x 2 of letters and shape, in order of the words."""
+        if len(self) > 400_000:
+            self.clear()
         words = text.split()
-        memo = self.memo
-        if len(memo) > 200_000:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = _word_terms(w)
-        both = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+        both = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return np.stack((both // BUCKETS, both % BUCKETS), axis=1)
 
 
@@ -83,42 +85,42 @@ def index_vectors() -> np.ndarray:
 
 
 def _add_neighbours(sums: np.ndarray, terms: list[np.ndarray], index: np.ndarray) -> None:
-    """Add to ``sums`` the index vectors of the neighbours of each term; the arrays of ``terms`` are texts of their own."""
-    gap = np.zeros((WINDOW, 2), np.int32)
-    t = np.concatenate([x for text in terms for x in (text, gap)]).astype(np.int64)
-    t = np.concatenate((t[:, 0], t[:, 1]))  # letters with letters, shape with shape
-    ahead = [(t[:-d], t[d:]) for d in range(1, WINDOW + 1)]
-    pair, n = np.unique(np.concatenate([(a * BUCKETS + b)[(a > 0) & (b > 0)] for a, b in ahead]), return_counts=True)
-    first, second = pair // BUCKETS, pair % BUCKETS
-    for one, other in ((first, second), (second, first)):
-        order = np.argsort(one, kind="stable")
-        for i in range(0, len(order), 200_000):
-            part = order[i : i + 200_000]
-            cut = np.flatnonzero(np.diff(one[part], prepend=-1))
-            sums[one[part][cut]] += np.add.reduceat(index[other[part]] * n[part, None], cut, axis=0)
+    """Add to ``sums`` the index vectors of the neighbours of each term; the arrays of ``terms`` are texts of their own.
+
+    Term 0 stands between texts; its index vector has to be zero, and its sum means nothing.
+    """
+    gap = np.zeros((WINDOW, 2), np.uint16)
+    both = np.concatenate([gap, *[x.astype(np.uint16) for text in terms for x in (text, gap)]])
+    for t in (both[:, 0].copy(), both[:, 1].copy()):  # letters with letters, shape with shape
+        for i in range(WINDOW, len(t) - WINDOW, BLOCK_WORDS):
+            near = index[t[i - WINDOW : i + BLOCK_WORDS + WINDOW]]
+            here = t[i : min(i + BLOCK_WORDS, len(t) - WINDOW)]
+            n = len(here)
+            around = near[:n] + near[2 * WINDOW : 2 * WINDOW + n]
+            for d in range(1, WINDOW):
+                around += near[d : d + n]
+                around += near[2 * WINDOW - d : 2 * WINDOW - d + n]
+            order = np.argsort(here, kind="stable")
+            cut = np.flatnonzero(np.diff(here[order].astype(np.int32), prepend=-1))
+            sums[here[order[cut]]] += np.add.reduceat(around[order], cut, axis=0)
 
 
 def neighbour_sums(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
     """Per bucket the sum of the index vectors of its neighbours: whole numbers, so the order of adding does not matter."""
     sums, terms = np.zeros((BUCKETS, DIMS), np.float64), Terms()
+    index = index.copy()
+    index[0] = 0
     held, size = [], 0
     for text in texts:
         t = terms(text)
-        for i in range(0, len(t), BLOCK_WORDS):  # long texts in blocks that overlap by the window
-            block = t[i : i + BLOCK_WORDS]
-            if i:  # pairs across the cut: the words before it with those after, without those before among themselves
-                _add_neighbours(sums, [t[i - WINDOW : i + WINDOW]], index)
-                for side in (t[i - WINDOW : i], t[i : i + WINDOW]):
-                    back = np.zeros_like(sums)
-                    _add_neighbours(back, [side], index)
-                    sums -= back
-            held.append(block)
-            size += len(block)
-            if size >= BLOCK_WORDS:
-                _add_neighbours(sums, held, index)
-                held, size = [], 0
+        held.append(t)
+        size += len(t)
+        if size >= 8 * BLOCK_WORDS or len(held) >= BLOCK_WORDS:
+            _add_neighbours(sums, held, index)
+            held, size = [], 0
     if held:
         _add_neighbours(sums, held, index)
+    sums[0] = 0
     return sums
 
 

@@ -3,7 +3,7 @@
 Iterative jobs cut their lineage by writing Parquet below ``spark.checkpoint.dir``:
 every executor can read it again after another is lost, columns stay prunable and
 the files are compressed.  Where that setting is missing (plain local sessions, as in
-tests) a folder below the warehouse is used, which a cluster shares as well.
+tests) a folder below the warehouse is used; on a cluster its lack is an error.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this application."""
     conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/petrel-{spark.sparkContext.applicationId}"
 
 
@@ -26,14 +30,14 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a scratch table; the table read again, and its path for ``drop``.
+def save(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """Write ``df`` as a scratch table; the table read again, and its path for ``drop``. ``codec``: zstd for tables with texts.
 
     The files go when the application ends, if ``drop`` has not removed them before.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     fs, p = _hadoop(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
