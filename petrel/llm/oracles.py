@@ -97,28 +97,33 @@ f AS (
 ), m AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS m_symbols, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS m_word_length,
-    CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS m_dup_lines, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS m_repeat FROM f
+    CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS m_dup_lines, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS m_repeat,
+    coalesce('v' || lang, 'n') AS ln, coalesce('v' || source, 'n') AS sn FROM f
 ), long AS (
-  UNPIVOT (SELECT doc_id, coalesce('v' || lang, 'n') AS lang, coalesce('v' || source, 'n') AS source, m_symbols, m_word_length, m_dup_lines, m_repeat FROM m WHERE NOT base_failed)
+  UNPIVOT (SELECT ln, sn, m_symbols, m_word_length, m_dup_lines, m_repeat FROM m WHERE NOT base_failed)
   ON m_symbols, m_word_length, m_dup_lines, m_repeat INTO NAME measure VALUE x
-), b AS (SELECT *, CASE WHEN x < 64 THEN x ELSE x >> (length(bin(x)) - 6) << (length(bin(x)) - 6) END AS v FROM long),
-lv AS (SELECT measure, v, lang, source, 2 AS level FROM b UNION ALL SELECT measure, v, lang, '', 1 FROM b UNION ALL SELECT measure, v, '', '', 0 FROM b),
-n AS (SELECT level, lang, source, measure, v, count(*) AS n FROM lv GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM n),
-q AS (SELECT level, lang, source, measure, min(v) FILTER (upto * 4 >= total) AS q1, min(v) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS docs FROM u GROUP BY ALL),
-e AS (
-  SELECT level, lang, source, measure, docs, 3 * greatest(q3 - q1, CASE measure WHEN 'm_symbols' THEN 60 WHEN 'm_word_length' THEN 40 WHEN 'm_dup_lines' THEN 120 ELSE 80 END) AS reach, q1, q3 FROM q
+), g AS (
+  SELECT ln, sn, measure, CASE WHEN x < 64 THEN x ELSE x >> (length(bin(x)) - 6) << (length(bin(x)) - 6) END AS v, count(*)::HUGEINT AS n FROM long GROUP BY ALL
+), c AS (SELECT measure, v, sum(n)::HUGEINT AS p FROM g GROUP BY ALL), ct AS (SELECT measure, sum(p)::HUGEINT AS t FROM c GROUP BY ALL),
+ld AS (SELECT ln, measure, sum(n)::HUGEINT AS docs FROM g GROUP BY ALL), lg AS (SELECT ln, measure, v, sum(n)::HUGEINT AS n FROM g GROUP BY ALL),
+l AS (
+  SELECT ld.ln, measure, c.v, coalesce(lg.n, 0) * t + 50 * c.p AS p, (ld.docs + 50) * t AS t
+  FROM ld JOIN c USING (measure) JOIN ct USING (measure) LEFT JOIN lg USING (ln, measure, v)
+), gd AS (SELECT ln, sn, measure, sum(n)::HUGEINT AS docs FROM g GROUP BY ALL),
+w AS (
+  SELECT ln, gd.sn, measure, l.v, coalesce(g.n, 0) * l.t + 50 * l.p AS n, (gd.docs + 50) * l.t AS t
+  FROM gd JOIN l USING (ln, measure) LEFT JOIN g USING (ln, sn, measure, v)
+), u AS (SELECT *, sum(n) OVER (PARTITION BY ln, sn, measure ORDER BY v)::HUGEINT AS upto, CASE WHEN measure IN ('m_symbols', 'm_word_length') THEN 900 ELSE 980 END AS tail FROM w),
+q AS (
+  SELECT ln, sn, measure, min(v) FILTER (upto * 1000 >= t * (1000 - tail)) AS low, min(v) FILTER (upto * 1000 >= t * 500) AS mid, min(v) FILTER (upto * 1000 >= t * tail) AS high FROM u GROUP BY ALL
 ), fence AS (
-  SELECT level, lang, source, max(q3 + reach) FILTER (measure = 'm_symbols') AS s, max(q3 + reach) FILTER (measure = 'm_word_length') AS wh,
-    max(q1 - reach) FILTER (measure = 'm_word_length') AS wl, max(q3 + reach) FILTER (measure = 'm_dup_lines') AS dl, max(q3 + reach) FILTER (measure = 'm_repeat') AS rp
-  FROM e WHERE docs >= 100 OR level = 0 GROUP BY ALL
-), pick AS (
-  SELECT m.*, coalesce(g.s, l.s, c.s) AS s, coalesce(g.wh, l.wh, c.wh) AS wh, coalesce(g.wl, l.wl, c.wl) AS wl, coalesce(g.dl, l.dl, c.dl) AS dl, coalesce(g.rp, l.rp, c.rp) AS rp
-  FROM m LEFT JOIN fence g ON g.level = 2 AND g.lang = coalesce('v' || m.lang, 'n') AND g.source = coalesce('v' || m.source, 'n')
-  LEFT JOIN fence l ON l.level = 1 AND l.lang = coalesce('v' || m.lang, 'n') LEFT JOIN fence c ON c.level = 0
-)
+  SELECT ln, sn, max(high + 3 * (high - mid)) FILTER (measure = 'm_symbols') AS s, max(high + 3 * (high - mid)) FILTER (measure = 'm_word_length') AS wh,
+    max(low - 3 * (mid - low)) FILTER (measure = 'm_word_length') AS wl, max(2 * high - mid) FILTER (measure = 'm_dup_lines') AS dl, max(2 * high - mid) FILTER (measure = 'm_repeat') AS rp
+  FROM q GROUP BY ALL
+), pick AS (SELECT * FROM m LEFT JOIN fence USING (ln, sn))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(m_symbols > s OR m_word_length > wh OR m_word_length < wl OR m_dup_lines > dl OR m_repeat > rp, false) AS kept FROM pick
+  NOT base_failed AND NOT coalesce(greatest(n_symbols - 1, 0) * 1000 // n_words > s OR m_word_length > wh OR m_word_length < wl
+    OR (n_lines > 0 AND greatest(n_dup_lines - 1, 0) * 1000 // n_lines > dl) OR greatest(n_repeat_words - 1, 0) * 1000 // n_words > rp, false) AS kept FROM pick
 """
 
 OP5 = r"""

@@ -406,7 +406,7 @@ def test_adaptive_rules_drop_outliers_only(spark):
     rng = random.Random(9)
     clean = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(90)) for _ in range(60)) for _ in range(150)]
     junk = [" ".join(f"w{rng.randrange(999)}###" for _ in range(60)) for _ in range(5)]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs(spark, clean + junk), min_group=10).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs(spark, clean + junk)).collect()}
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 155))
 
 
@@ -469,3 +469,23 @@ def test_training_takes_one_row_of_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = quality_classifier.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_fences_follow_their_group(spark):
+    """Two sources with different usage get different fences; a shift of one moves its own, not the other's."""
+    rng = random.Random(17)
+
+    def fences(shift, of_code=400):
+        texts = []
+        for source, words, n in (("wiki", 3, 400), ("code", 3 + shift, of_code)):
+            texts += [(source, " ".join("w" * max(1, int(rng.gauss(words, 0.5))) + str(rng.randrange(10)) + "#" * (source == "code" and rng.random() < 0.3) for _ in range(50))) for _ in range(n)]
+        df = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+        sketch = quality_rules.sketches(quality_rules.measures(quality_rules.features(df)))
+        return {r["sn"]: r.asDict(True) for r in quality_rules.fences(sketch).collect()}
+
+    one, two = fences(0), fences(6)
+    assert one["vcode"]["f_m_symbols"]["hi"] > 200 + one["vwiki"]["f_m_symbols"]["hi"]
+    assert two["vcode"]["f_m_word_length"]["lo"] > one["vcode"]["f_m_word_length"]["hi"]
+    assert abs(two["vwiki"]["f_m_word_length"]["lo"] - one["vwiki"]["f_m_word_length"]["lo"]) <= 40
+    few = fences(6, 3)  # three documents hardly move their language's cutoffs
+    assert abs(few["vcode"]["f_m_word_length"]["hi"] - few["vwiki"]["f_m_word_length"]["hi"]) <= 60
