@@ -1,22 +1,27 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens of no known shape.
 
-A candidate is a run of 20 or more key characters.  Its encoding is inferred (hexadecimal,
-base 32, base 64), its characters become digits of that alphabet, and three tests ask
-whether it could be uniformly random: chi-squared uniformity, runs above and below the
-middle of the alphabet, and lag-one serial correlation.  A token that none of them rejects
-is weighed against the other hypothesis, text: how likely would a word or identifier change
-so often between character classes?  Those p-values go through Benjamini-Hochberg within
-each class of encoding and length over the whole corpus, so long tokens, of which tests
-know more, don't pay for short ones.
+A candidate is a run of 20 or more key characters.  Its encoding is inferred as the smallest
+alphabet that has all of them, its characters become digits of that alphabet, and three tests
+ask whether they could be uniformly random: chi-squared uniformity, runs of characters of one
+class (small, capital, digit, sign), and lag-one serial correlation.  Tails are simulated for each length
+and alphabet, as 20 characters over 64 cells are far from any limit law.
+
+The three p-values are combined by Fisher's method.  A token whose combined value rules out
+randomness is no secret.  For the others the same statistic is held against text of the same
+encoding and length (words, identifiers, numbers), simulated too: how likely would text look
+this random?  Those p-values go through Benjamini-Hochberg within each class of encoding and
+length over the whole corpus, so long tokens, of which the tests know more, don't pay for
+short ones.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +33,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Each test must leave uniform randomness this likely; the share of false finds allowed per class.
+#: The combined tests must leave randomness this likely; the share of false finds allowed per class.
 KEEP_P, FALSE_SHARE = 0.001, 0.01
-#: How often text changes between lower case, upper case, digits and others, from one character to the next.
-TEXT_CHANGES = 0.2
+#: Draws that simulate random tokens and texts; lengths beyond this use limit laws, and the text of this length.
+DRAWS, TEXTS, LONGEST = 4000, 500, 256
+_LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: From small to large: the first that has all characters of a token is its encoding.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-}
-_CLASS = {c: k for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-=")) for c in chars}
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UP + "234567", "lower32": _LOW + "234567",
+    "base36": _DIGITS + _LOW, "upper36": _DIGITS + _UP, "base62": _UP + _LOW + _DIGITS, "base64": _UP + _LOW + _DIGITS + "+/",
+}
+#: Letters of English per mille, a to z.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -48,69 +55,132 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def encoding(token: str) -> str:
-    body = token.rstrip("=")
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
-        return "hex"
-    return "base32" if re.fullmatch(r"[A-Z2-7]+", body) else "base64"
-
-
-def uniform_tests(token: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values of chi-squared uniformity, the runs test and lag-one serial correlation, were the token random."""
-    k = len(alphabet)
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = [place.get(c, k - 1) for c in token]
-    n = len(x)
-    chi = sum(c * c for c in Counter(x).values()) * k / n - n
-    p_chi = _two_sided((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
-    high = [2 * v >= k for v in x]
-    n1 = sum(high)
-    n0 = n - n1
-    if not n0 or not n1:
-        return p_chi, 0.0, 0.0
-    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
-    mean = 1 + 2 * n1 * n0 / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = _two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 0.0
-    m = sum(x) / n
-    spread = sum((v - m) ** 2 for v in x)
-    serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / spread
-    return p_chi, p_runs, _two_sided(serial * math.sqrt(n) + 1 / math.sqrt(n))
-
-
-def text_p(token: str) -> float:
-    """How likely text changes between character classes as often as the token does, or more."""
-    kinds = [_CLASS[c] for c in token]
-    n, k = len(kinds) - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    if k <= n * TEXT_CHANGES:
-        return 1.0
-    # the tail of the binomial from its first term; later ones shrink by a ratio of at most r
-    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(TEXT_CHANGES) + (n - k) * math.log(1 - TEXT_CHANGES)
-    r = (n - k) / (k + 1) * TEXT_CHANGES / (1 - TEXT_CHANGES)
-    return min(1.0, math.exp(max(-700, log)) / (1 - r))
+def encoding(body: str) -> str:
+    """The smallest alphabet of a token without padding; ``-_`` stand for ``+/``."""
+    chars = set(body.replace("-", "+").replace("_", "/"))
+    return next(name for name, alphabet in ALPHABETS.items() if chars <= set(alphabet))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, class, -10 log10 of the text p-value, random for all tests) of the tokens outside base spans."""
+@cache
+def _classes(name: str) -> np.ndarray:
+    return np.array([0 if c in _LOW else 1 if c in _UP else 2 if c in _DIGITS else 3 for c in ALPHABETS[name]])
+
+
+def battery(x: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chi-squared, number of class runs and standardised serial correlation of each row of digits of an encoding."""
+    (m, n), k = x.shape, len(ALPHABETS[name])
+    counts = np.bincount((np.arange(m)[:, None] * k + x).ravel(), minlength=m * k).reshape(m, k)
+    chi = (counts.astype(np.float64) ** 2).sum(axis=1) * k / n - n
+    kind = _classes(name)[x]
+    runs = 1.0 + (kind[:, 1:] != kind[:, :-1]).sum(axis=1)
+    c = x - x.mean(axis=1, keepdims=True)
+    spread = (c * c).sum(axis=1)
+    serial = np.where(spread > 0, (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.where(spread > 0, spread, 1), 1.0)
+    return chi, runs, serial * math.sqrt(n) + 1 / math.sqrt(n)
+
+
+@cache
+def _random_tails(name: str, n: int) -> tuple[np.ndarray, ...]:
+    k = len(ALPHABETS[name])
+    return tuple(np.sort(s) for s in battery(np.random.default_rng((k, n)).integers(0, k, (DRAWS, n)), name))
+
+
+def uniform_tests(x: np.ndarray, name: str) -> np.ndarray:
+    """3 x m two-sided p-values of the battery for rows of random digits of an encoding."""
+    stats, n, k = battery(x, name), x.shape[1], len(ALPHABETS[name])
+    normal = lambda z: np.array([math.erfc(v / math.sqrt(2)) for v in np.abs(z).tolist()])
+    if n > LONGEST:
+        share = np.bincount(_classes(name)) / k
+        same, thrice = (share**2).sum(), (share**3).sum()  # chances that two and three in a row are of one class
+        spread = (n - 1) * same * (1 - same) + 2 * (n - 2) * (thrice - same * same)
+        runs = (stats[1] - 1 - (n - 1) * (1 - same)) / math.sqrt(spread)
+        return np.array([normal((stats[0] - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), normal(runs), normal(stats[2])])
     out = []
+    for s, null in zip(stats, _random_tails(name, n), strict=True):
+        tail = np.minimum(DRAWS - np.searchsorted(null, s, "left"), np.searchsorted(null, s, "right"))
+        p = np.minimum(1.0, 2 * (1 + tail) / (DRAWS + 1))
+        out.append(np.where(tail == 0, np.minimum(p, normal((s - null.mean()) / null.std())), p))  # no draw came that far
+    return np.array(out)
+
+
+def combined(p: np.ndarray) -> np.ndarray:
+    """Fisher's statistic of the rows of p-values, in natural logs."""
+    return -2 * np.log(np.maximum(p, 1e-300)).sum(axis=0)
+
+
+def random_p(x: float) -> float:
+    """The chance of that statistic or more from random tokens: chi-squared with six degrees of freedom."""
+    return math.exp(-x / 2) * (1 + x / 2 + x * x / 8)
+
+
+def text_tokens(name: str, n: int, m: int) -> np.ndarray:
+    """m texts of n characters as digits of the encoding: numbers for the hexadecimal ones, else words and identifiers as its alphabet allows."""
+    alphabet = ALPHABETS[name]
+    rng = np.random.default_rng((list(ALPHABETS).index(name), n))
+    if name in ("hex", "HEX"):
+        return rng.integers(0, 10, (m, n))
+    letters = rng.choice(26, m * n, p=np.array(LETTERS) / sum(LETTERS))
+    coin, pick, size = rng.random(m * n), rng.integers(0, 10, m * n), rng.integers(2, 10, m * n)
+    out = np.empty(m * n, np.int64)
+    at = i = 0
+    while at < m * n:
+        stop = min(m * n, at + int(size[i]))
+        camel = name in ("base62", "base64") and coin[i] < 0.5
+        for j in range(at, stop):
+            c = _LOW[letters[j]]
+            if c not in alphabet or (camel and j == at):
+                c = c.upper()
+            out[j] = alphabet.index(c)
+        if stop < m * n and name == "base64" and coin[stop] < 0.6:
+            out[stop] = 62 + (coin[stop] < 0.2)
+            stop += 1
+        if coin[i] > 0.8 and name not in ("base32", "lower32"):
+            for _ in range(1 + int(coin[i] > 0.9)):
+                if stop < m * n:
+                    out[stop] = alphabet.index(_DIGITS[pick[stop]])
+                    stop += 1
+        at, i = stop, i + 1
+    return out.reshape(m, n)
+
+
+@cache
+def _text_law(name: str, n: int) -> tuple[float, float]:
+    """Mean and deviation of the statistic's logarithm for texts."""
+    x = np.log(np.maximum(0.05, combined(uniform_tests(text_tokens(name, n, TEXTS), name))))
+    return float(x.mean()), max(0.05, float(x.std()))
+
+
+def text_bin(x: float, name: str, n: int) -> int:
+    """-10 log10 of the chance that a text of that encoding and length looks so random, up to 400."""
+    mean, deviation = _text_law(name, min(n, LONGEST))
+    z = (mean - math.log(max(0.05, x))) / deviation
+    if z < 8:
+        return int(-10 * math.log10(0.5 * math.erfc(z / math.sqrt(2))))
+    return min(400, int((z * z / 2 + math.log(z * math.sqrt(2 * math.pi))) * 10 / math.log(10)))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end, class, bin of the text hypothesis, whether it could be random) of the tokens outside base spans."""
+    out, reach, i = [], -1, 0
     for m in CANDIDATE.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, _, b in base):
+        while i < len(base) and base[i][0] <= m.start():  # both are in order of their starts
+            reach = max(reach, base[i][2])
+            i += 1
+        if m.end() <= reach:
             continue
-        token = m[0]
-        body = token.rstrip("=") or token
-        kind = encoding(token)
-        alphabet = ALPHABETS[kind]
-        word = body.lower() if kind == "hex" else body.replace("-", "+").replace("_", "/")
-        random = min(uniform_tests(word, alphabet)) >= KEEP_P
-        length_class = min(15, int(2 * math.log2(len(token) / 20)))
-        out.append((m.start(), m.end(), 16 * list(ALPHABETS).index(kind) + length_class, min(400, int(-10 * math.log10(max(1e-60, text_p(body))))), random))
+        body = (m[0].rstrip("=") or m[0]).replace("-", "+").replace("_", "/")
+        name = encoding(body)
+        digits = np.array([list(map(_places(name).__getitem__, body))])
+        x = float(combined(uniform_tests(digits, name))[0])
+        out.append((m.start(), m.end(), 64 * list(ALPHABETS).index(name) + int(2 * math.log2(len(m[0]) / 20)), text_bin(x, name, len(body)), random_p(x) >= KEEP_P))
     return out
 
 
+@cache
+def _places(name: str) -> dict[str, int]:
+    return {c: i for i, c in enumerate(ALPHABETS[name])}
+
+
 _CAND = "array<struct<start:int,end:int,class:int,bin:int,random:boolean>>"
 
 
@@ -138,7 +208,7 @@ def cutoffs(tokens: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """Per class the least bin that Benjamini-Hochberg accepts; ``tokens`` has a row per candidate.
 
     With R candidates at a bin or beyond, of m in the class, the bin's p-value must be at
-    most ``false_share`` R / m.  There are at most 48 classes of 401 bins.
+    most ``false_share`` R / m.  There are at most 512 classes of 401 bins.
     """
     bins = tokens.groupBy("class", "bin").agg(F.count("*").alias("n"))
     all_of = Window.partitionBy("class")
@@ -150,11 +220,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of every row: an array of (start, end, kind) in code points, by start and kind.
 
     Kinds are assign, access, hex (fixed patterns) and random (the tests).  Null and empty
-    texts have no spans.  Repeated rows are scanned each and count each as evidence.
-    Empty table: no rows.
+    texts have no spans.  Long texts are scanned whole, in time linear in their tokens.
+    Spans of several kinds may overlap; those of one kind don't, and the leftmost wins.
+    Repeated rows are scanned each and count each as evidence.  Values tied with a class's cut
+    are found.  Other columns are ignored.  Empty table: no rows.
     """
     found, _ = scratch.save(_scan(docs), "secrets")
-    cut = cutoffs(found.select(F.inline("tokens"))).agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cut"))  # one row of 48 entries at most
+    cut = cutoffs(found.select(F.inline("tokens"))).agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cut"))  # one row of 512 entries at most
     out = found.join(F.broadcast(cut), F.lit(True), "left")
     real = F.filter("tokens", lambda x: x["random"] & (x["bin"] >= F.element_at("cut", x["class"])))
     random = F.transform(real, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))

@@ -489,3 +489,77 @@ def test_fences_follow_their_group(spark):
     assert abs(two["vwiki"]["f_m_word_length"]["lo"] - one["vwiki"]["f_m_word_length"]["lo"]) <= 40
     few = fences(6, 3)  # three documents hardly move their language's cutoffs
     assert abs(few["vcode"]["f_m_word_length"]["hi"] - few["vwiki"]["f_m_word_length"]["hi"]) <= 60
+
+
+def test_base_spans_by_brute_force():
+    """Every start and end, leftmost and greedy, without the patterns."""
+    rng = random.Random(44)
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+
+    def runs(text, chars, head=""):
+        out, i = [], 0
+        while i < len(text):
+            j = i + len(head)
+            if text.startswith(head, i) and j < len(text) and text[j] in chars:
+                while j < len(text) and text[j] in chars:
+                    j += 1
+                out.append((i, j))
+                i = j
+            else:
+                i += 1
+        return out
+
+    def assigns(text):
+        out, i = [], 0
+        while i < len(text):
+            end = None
+            for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if text[i : i + len(key)].isascii() and text[i : i + len(key)].lower() == key:
+                    j = i + len(key)
+                    j += text[j : j + 1] in ("'", '"') and j < len(text)
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in (":", "="):
+                        j += 1
+                        while text[j : j + 1] == " ":
+                            j += 1
+                        j += text[j : j + 1] in ("'", '"') and j < len(text)
+                        k = j
+                        while k < len(text) and text[k] in word:
+                            k += 1
+                        if k > j:
+                            end = (k, k - j)
+            if end:
+                out.append((i, end[0], end[1]))
+                i = end[0]
+            else:
+                i += 1
+        return out
+
+    pieces = ["token", "Secret", "API_KEY", "apikey", "passwd", ":", "=", " ", "'", '"', "abc123", "zz", "é", "\n", "AKIA", "A" * 16, "0123456789abcdef", "deadbeef" * 2, "tokentoken=", "x.y=="]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        want = [(a, 0, b) for a, b, n in assigns(t) if n >= 6]
+        want += [(a, 1, b) for a, b in runs(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA") if b - a >= 20]
+        want += [(a, 2, b) for a, b in runs(t, "0123456789abcdef") if b - a >= 24]
+        assert secrets.base_spans(t) == sorted(want), t
+
+
+def test_battery_and_discovery(spark):
+    """p-values are uniform on random tokens; recall by encoding and length; Benjamini-Hochberg by definition; linear time."""
+    rng = np.random.default_rng(3)
+    for name, n in (("base64", 24), ("base32", 40), ("hex", 300), ("base62", 300)):
+        p = secrets.uniform_tests(rng.integers(0, len(secrets.ALPHABETS[name]), (2000, n)), name)
+        assert ((p < 0.1).mean(axis=1) < 0.14).all() and (p < 0.01).mean() < 0.025
+    r = random.Random(4)
+    for name, n in (("base64", 40), ("base62", 40), ("base32", 52), ("lower32", 64), ("base36", 40), ("base64", 88)):
+        chars = secrets.ALPHABETS[name]
+        found = [secrets.candidates("".join(r.choice(chars) for _ in range(n)), []) for _ in range(100)]
+        assert sum(bool(f) and f[0][4] and f[0][3] >= 20 for f in found) >= 75, name
+    rows = [(1, b, i) for i, b in enumerate([30, 30, 21, 20, 19, 5, 0, 0, 0, 0])] + [(2, 12, 99)]
+    cut = {x["class"]: x["cut"] for x in secrets.cutoffs(spark.createDataFrame(rows, "class int, bin int, n int"), 0.05).collect()}
+    ps = sorted((10 ** (-b / 10), b) for c, b, _ in rows if c == 1)
+    assert cut == {1: min(b for i, (p, b) in enumerate(ps) if p <= 0.05 * (i + 1) / len(ps))}
+    text = " ".join("0123456789abcdef" * 2 for _ in range(100_000))
+    base = secrets.base_spans(text)
+    assert len(base) == 100_000 and secrets.candidates(text, base) == []
