@@ -9,7 +9,11 @@ sent about 1.6 times over rather than fifty.
 A string reaches 19 bytes or more beyond its anchor on one side, so a fragment can share a
 string only with one that has the same 31 bytes to the left or to the right.  Fragments for
 which no other document has these need no more, nor do those that all documents have
-alike.  The rest are cut into shards; each shard gets its suffix array and transform.  The
+alike.  Those that several documents of one pack have alike travel once, for the smallest of
+them: what the others have is repeated for certain and is flagged before anything is sent, so
+a passage in a third of all documents is one fragment a pack and anchor.
+
+The rest are cut into shards, ranges of documents; each gets its suffix array and transform.  The
 transforms are merged by interleave refinement: the interleave says from which shard each
 rank comes; a pass reads the shards' transforms in its order and deals the ranks out by the
 symbol read, stably, after which they are sorted by one symbol more.  Where neighbours differ
@@ -37,12 +41,15 @@ LENGTH, GRAM = 50, 12
 SIDE = (LENGTH - GRAM + 1) // 2
 KEY = GRAM + SIDE
 #: Text bytes that a task packs at once (places in a pack have 24 bits); symbols per shard.
-PACK_BYTES, SHARD = 6_000_000, 1 << 18
+PACK_BYTES, SHARD = 6_000_000, 1 << 12
 #: Buckets per shuffle partition, so that a bucket is a part of a task's share.
 BUCKETS_PER_PARTITION = 4
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = (1 << 63) - 1
+#: First byte of a blob: fragments, or runs that are flagged already.
+_FRAGMENTS, _RUNS = b"f", b"r"
+_RUN = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("first", "<i8"), ("last", "<i8")])
 _HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("n", "<u1"), ("anchor", "<u1")])
 
 
@@ -89,6 +96,15 @@ def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start, size) + _within(size)]
 
 
+def _first_holders(data: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a fragment's document is the smallest of those that have the same one in ``data``."""
+    raw, known = data.tobytes(), {}
+    ids = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)], np.int64)
+    least = np.full(len(known), _NO_ID)
+    np.minimum.at(least, ids, doc)
+    return doc == least[ids]
+
+
 def _pack(docs: list[int], hashes: list[int], firsts: list[int], texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of the fragments of some texts, or parts of texts that begin at ``firsts``."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -96,27 +112,43 @@ def _pack(docs: list[int], hashes: list[int], firsts: list[int], texts: list[byt
     text, start, n, anchor = fragments(data, ends)
     if not len(text):
         return
+    doc, digest = np.array(docs, np.int64)[text], np.array(hashes, np.int64)[text]
+    place = start + (np.array(firsts, np.int64) - np.concatenate(([0], ends[:-1])))[text]
+    stays = _first_holders(data, start, n, doc)
+    pack = zstandard.ZstdCompressor(level=3)
+    gone = np.flatnonzero(~stays)
+    if len(gone):
+        begins = np.concatenate(([True], (text[gone][1:] != text[gone][:-1]) | (start[gone][1:] != (start + n)[gone][:-1])))
+        at = np.flatnonzero(begins)
+        runs = np.empty(len(at), _RUN)
+        runs["doc"], runs["hash"], runs["first"] = doc[gone][at], digest[gone][at], place[gone][at]
+        runs["last"] = (place + n - 1)[gone][np.append(at[1:], len(gone)) - 1]
+        yield int(runs["first"][0] + len(runs)) % buckets, _RUNS + pack.compress(b"".join(runs[f].tobytes() for f in _RUN.names))
     bucket = ((anchor >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    text, start, n, anchor, bucket = (x[order] for x in (text, start, n, anchor, bucket))
-    origin = np.array(firsts, np.int64) - np.concatenate(([0], ends[:-1]))
+    order = np.flatnonzero(stays)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    start, n, anchor, bucket = (x[order] for x in (start, n, anchor, bucket))
     head = {
-        "doc": np.array(docs, np.int64)[text], "hash": np.array(hashes, np.int64)[text], "start": (start + origin[text]).astype(np.uint32),
-        "n": n.astype(np.uint8), "anchor": ((anchor & _PLACE).astype(np.int64) - start).astype(np.uint8),
+        "doc": doc[order], "hash": digest[order], "start": place[order].astype(np.uint32), "n": n.astype(np.uint8),
+        "anchor": ((anchor & _PLACE).astype(np.int64) - start).astype(np.uint8),
     }
-    pack = zstandard.ZstdCompressor(level=3)
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         body = _ragged(data, start[a:b], n[a:b] + LENGTH - 1)
         raw = struct.pack("<I", b - a) + b"".join(head[f][a:b].tobytes() for f in _HEAD.names) + body.tobytes()
-        yield int(bucket[a]), pack.compress(raw)
+        yield int(bucket[a]), _FRAGMENTS + pack.compress(raw)
+
+
+def _unpack_runs(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.int64)
+    return list(raw.reshape(len(_RUN.names), -1))
 
 
 def _unpack(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     heads: dict[str, list[np.ndarray]] = {f: [] for f in _HEAD.names}
     bodies, unpack = [], zstandard.ZstdDecompressor()
     for blob in blobs:
-        raw = unpack.decompress(blob)
+        raw = unpack.decompress(blob[1:])
         (n,), at = struct.unpack_from("<I", raw), 4
         for f in _HEAD.names:
             heads[f].append(np.frombuffer(raw, _HEAD[f], n, at))
@@ -153,14 +185,14 @@ def merge_transforms(transforms: list[np.ndarray], passes: int) -> tuple[np.ndar
     """(shard of each rank, where a rank differs from the one before in its first ``passes`` symbols)."""
     sizes = [len(t) for t in transforms]
     ends = np.array([int((t == 0).sum()) for t in transforms])
-    fixed = np.repeat(np.arange(len(transforms), dtype=np.uint16), ends)  # suffixes that are only an end
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
+    number = np.arange(len(transforms), dtype=np.uint16 if len(transforms) < 1 << 16 else np.uint32)
+    fixed, shard = np.repeat(number, ends), np.repeat(number, sizes)  # fixed: suffixes that are only an end
+    whole = np.concatenate(transforms)
     block = np.zeros(len(shard), np.int32)
     differs = np.zeros(len(shard), bool)
     symbol = np.empty(len(shard), np.uint16)
     for _ in range(passes):
-        for i, transform in enumerate(transforms):
-            symbol[shard == i] = transform  # each shard's transform, read in the interleave's order
+        symbol[np.argsort(shard, kind="stable")] = whole  # each shard's transform, read in the interleave's order
         dealt = np.argsort(symbol, kind="stable")[len(fixed) :]  # radix sort; ends have no longer suffix
         c, b = symbol[dealt], block[dealt]
         differs[: len(fixed)] = True
@@ -241,6 +273,7 @@ def _bucket_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     least = [np.full(len(s) - LENGTH + 1, o) for s, o in zip(strings, owner, strict=True)]
     apart = np.flatnonzero(several)
     if len(apart):
+        apart = apart[np.argsort(owner[apart], kind="stable")]  # shards are ranges of documents
         for i, x in zip(apart.tolist(), least_owner([strings[i] for i in apart.tolist()], owner[apart]), strict=True):
             least[i] = x
     counts = head["n"][picked].astype(np.int64)
@@ -286,8 +319,11 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
                 if k != bucket and held:
                     yield flag(*_bucket_rows(held))
                     held = []
-                bucket = k
-                held.append(blob.as_py())
+                bucket, blob = k, blob.as_py()
+                if blob[:1] == _RUNS:
+                    yield flag(*_unpack_runs(blob))
+                else:
+                    held.append(blob)
         if held:
             yield flag(*_bucket_rows(held))
 
@@ -299,9 +335,15 @@ def suffix_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` and, if asked for, ``kept`` of every row.
 
     ``spans`` are the maximal removed runs (start, end in bytes), ``kept`` the bytes that
-    stay.  Null and empty texts, and those under 50 bytes, lose nothing.  Rows that repeat
-    a doc_id are judged by their own texts and don't count against each other.  A null
-    doc_id counts as larger than all others.  Empty table: no rows.
+    stay.  ``doc_id`` is a whole number, as documents are compared by it.  Null and empty texts,
+    and those under 50 bytes, lose nothing.  Long texts are packed in parts that overlap, so no
+    string is lost.  Rows that repeat a doc_id are judged by their own texts and don't count
+    against each other.  A null doc_id counts as larger than all others.  Other columns are
+    ignored.  Empty table: no rows.
+
+    A bucket is worked on by one task.  Equal fragments reach it once a pack; fragments that
+    share an anchor and differ beyond it (the edges of a frequent passage) all do, so a bucket
+    grows with the number of documents that have one passage in contexts of their own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("t"))

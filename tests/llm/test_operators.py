@@ -563,3 +563,29 @@ def test_battery_and_discovery(spark):
     text = " ".join("0123456789abcdef" * 2 for _ in range(100_000))
     base = secrets.base_spans(text)
     assert len(base) == 100_000 and secrets.candidates(text, base) == []
+
+
+def test_shards_and_frequent_passages(spark, monkeypatch):
+    rng = random.Random(50)
+    para = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    shards, merge = [], suffix_dedup.merge_transforms
+    monkeypatch.setattr(suffix_dedup, "merge_transforms", lambda t, n: shards.append(len(t)) or merge(t, n))
+    passage = para(400)
+    texts = [para(60) + passage[rng.randrange(60) : 340 + rng.randrange(60)] + para(60) for _ in range(300)]
+    blobs = list(suffix_dedup._pack(list(range(300)), [0] * 300, [0] * 300, texts, 4))
+    sent = sum(suffix_dedup._unpack([x])[0]["doc"].size for _, x in blobs if x[:1] == suffix_dedup._FRAGMENTS)
+    unsent = suffix_dedup.fragments(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))[0].size
+    assert sent < 0.7 * unsent  # inner fragments of the passage are sent once
+    flags = [suffix_dedup._unpack_runs(x) for _, x in blobs if x[:1] == suffix_dedup._RUNS]
+    by: dict[int, list[bytes]] = {}
+    for k, x in blobs:
+        if x[:1] == suffix_dedup._FRAGMENTS:
+            by.setdefault(k, []).append(x)
+    flags += [suffix_dedup._bucket_rows(x) for x in by.values()]
+    got = {(d, i) for docs_, _, firsts, lasts in flags for d, a, b in zip(docs_, firsts, lasts, strict=True) for i in range(a, b + 1)}
+    first, want = {}, set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i : i + 50], d) < d:
+                want.add((d, i))
+    assert got == want and max(shards) >= 5
