@@ -83,15 +83,23 @@ def annotations_to_views(ann: DataFrame) -> dict[str, DataFrame]:
 
 
 def survivors(log: DataFrame, invalidations: DataFrame, source: str = "source_file") -> DataFrame:
-    """Rows that no later invalidation of their source removes.
+    """Rows that no later invalidation of their source removes (P6). ``log_pos`` names a row.
 
     ``invalidations``: ``pattern, inv_pos``; a pattern may use ``%`` and ``_``.  Plain names
-    meet by equality; only true patterns (few: an event each) are compared by LIKE.
+    meet by equality, patterns by what stands before their first sign: prefixes of the lengths
+    that occur (a few numbers).  Only patterns that begin with a sign are compared with all rows.
     """
-    plain = invalidations.where(~F.col("pattern").contains("%")).groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos"))
+    last = invalidations.groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos")).withColumn("head", F.regexp_extract("pattern", "^[^%_]*", 0))
+    plain = last.where(~F.col("pattern").contains("%")).select("pattern", "inv_pos")
     left = log.join(plain, (log[source] == plain["pattern"]) & (log["log_pos"] < plain["inv_pos"]), "left_anti")
-    wild = invalidations.where(F.col("pattern").contains("%")).groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos"))
-    return left.join(wild, F.like(left[source], wild["pattern"]) & (left["log_pos"] < wild["inv_pos"]), "left_anti")
+    wild = last.where(F.col("pattern").contains("%"))
+    lengths = [r[0] for r in wild.where("head <> ''").select(F.length("head")).distinct().collect()]
+    if lengths:
+        heads = left.select("log_pos", F.col(source).alias("_s"), F.explode(F.array(*[F.substring(source, 1, n) for n in lengths])).alias("head")).distinct()
+        gone = heads.join(wild, "head").where(F.like("_s", F.col("pattern")) & (F.col("log_pos") < F.col("inv_pos"))).select("log_pos").distinct()
+        left = left.join(gone, "log_pos", "left_anti").select(*log.columns)
+    loose = wild.where("head = ''").select("pattern", "inv_pos")
+    return left.join(loose, F.like(left[source], loose["pattern"]) & (left["log_pos"] < loose["inv_pos"]), "left_anti")
 
 
 def promote_names(routines: DataFrame, hypotheses: DataFrame) -> DataFrame:
@@ -144,8 +152,10 @@ def hypothesis_states(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
     named = lambda c, rank: hypotheses.select("hyp_id", F.col(c).alias("name"), F.lit(rank).alias("rank"))
     exact = updates.join(named("hyp_id", 0).unionByName(named("event_id", 1)), F.col("ref") == F.col("name"))
     rest = updates.join(hypotheses.select(F.col("hyp_id").alias("ref")).unionByName(hypotheses.select(F.col("event_id").alias("ref"))), "ref", "left_anti")
-    short = hypotheses.select("hyp_id", F.col("hyp_id").alias("name"), F.substring("hyp_id", 1, 4).alias("head"))
-    prefixed = rest.where(F.length("ref") >= 4).withColumn("head", F.substring("ref", 1, 4)).join(short, "head").where(F.col("name").startswith(F.col("ref")))
+    rest = rest.where(F.length("ref") >= 4)
+    lengths = [r[0] for r in rest.select(F.length("ref")).distinct().collect()]  # lengths of ids: a few numbers
+    heads = F.array_distinct(F.array(*[F.substring("hyp_id", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    prefixed = rest.join(hypotheses.select("hyp_id", F.explode(heads).alias("ref")), "ref")
     prefixed = prefixed.withColumn("n", F.count("*").over(Window.partitionBy("ref", "log_pos"))).where("n = 1").withColumn("rank", F.lit(2))
     cols = ["hyp_id", "status", "evidence", "log_pos", "rank"]
     one = Window.partitionBy("hyp_id", "log_pos").orderBy("rank")
@@ -178,6 +188,11 @@ def backlog_batch(results: DataFrame, summaries: DataFrame, gate: int = 40_000,
 BOOKKEEPING = ("run_summary", "tool_result", "compaction", "ingest", "usage", "refreshed", "sha_backfill")
 
 
+def log_stats(log: DataFrame, kind: str = "kind", pos: str = "log_pos", payload: str = "payload") -> DataFrame:
+    """``n, last_id, tokens`` per kind: rows, the largest position and the characters of the payloads divided by four."""
+    return log.groupBy(kind).agg(F.count("*").alias("n"), F.coalesce(F.max(pos), F.lit(0)).alias("last_id"), F.floor(F.coalesce(F.sum(F.length(payload)), F.lit(0)) / 4).alias("tokens"))
+
+
 def distinct_facts(events: DataFrame, bookkeeping: Sequence[str] = BOOKKEEPING) -> DataFrame:
     """``facts``: distinct identities of substantive events (P13). ``kind, identity, ok, read_only``."""
     real = events.where(~F.col("kind").isin(*bookkeeping) & F.coalesce("ok", F.lit(True)) & ~F.coalesce("read_only", F.lit(False)))

@@ -53,13 +53,13 @@ def xrefs_from(edges: DataFrame, start: int, end: int, limit: int = 200) -> Data
 
 
 def writes_to(refs: DataFrame, target: int, limit: int = 100) -> DataFrame:
-    return refs.where((F.col("dst") == target) & F.col("access").isin("w", "rmw")).select("src", "dst", "access", "index").distinct().orderBy("src", "access").limit(limit)
+    return refs.where((F.col("dst") == target) & F.col("access").isin("w", "rmw")).select("src", "dst", "access", "index").distinct().orderBy("src", "access", "index").limit(limit)
 
 
 def refs_to(refs: DataFrame, target: int, access: str | None = None, limit: int = 200) -> DataFrame:
     hit = refs.where(F.col("dst") == target)
     hit = hit.where(F.col("access") == access) if access else hit
-    return hit.select("src", "dst", "access", "index").distinct().orderBy("src", "access").limit(limit)
+    return hit.select("src", "dst", "access", "index").distinct().orderBy("src", "access", "index").limit(limit)
 
 
 def hardware_refs(refs: DataFrame, start: int, end: int, limit: int = 300) -> DataFrame:
@@ -67,9 +67,10 @@ def hardware_refs(refs: DataFrame, start: int, end: int, limit: int = 300) -> Da
 
 
 def best_hypothesis(hypotheses: DataFrame) -> DataFrame:
-    """Best row per routine start: highest confidence, then highest id."""
-    w = Window.partitionBy("start").orderBy(F.desc("confidence"), F.desc("id"))
-    return hypotheses.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """Best row per routine start: highest confidence, then highest id (W1, N4). An aggregate, so a hot start is no hot task."""
+    rest = [c for c in hypotheses.columns if c != "start"]
+    best = hypotheses.groupBy("start").agg(F.max_by(F.struct(*rest), F.struct("confidence", "id")).alias("_x"))
+    return best.select("start", "_x.*").select(*hypotheses.columns)
 
 
 def rank_routines(routines: DataFrame, edges: DataFrame, hypotheses: DataFrame) -> DataFrame:

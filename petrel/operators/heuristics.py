@@ -250,3 +250,27 @@ def writers_to(stops: DataFrame, byte_rows: DataFrame) -> DataFrame:
     c = c.withColumn("effective", effective).where("effective = watched and not (effective between site and pc - 1)")
     own_pointer = (F.col("mode") == "indy") & ((F.col("watched") == F.col("lo")) | (F.col("watched") == wrap(F.col("lo") + 1, 256)))
     return c.where(~F.coalesce(own_pointer, F.lit(False))).select("dump_id", "pc", "watched", "site", "mnemonic", "mode")
+
+
+def kinds_wanted(kinds: str, kind: str = "kind", aliases: str = "alias_kinds") -> Column:
+    """Whether a finding's kind or one of its aliases is among pipe-separated ``kinds``; no kinds: any."""
+    wanted = sorted({k.strip() for k in kinds.lower().split("|")} - {""})
+    if not wanted:
+        return F.lit(True)
+    every = F.concat(F.array(F.col(kind)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
+    return F.arrays_overlap(every, F.array(*[F.lit(k) for k in wanted]))
+
+
+def gap_sessions(rows: DataFrame, keys: list[str], pos: str, gap: int = 64) -> DataFrame:
+    """``begin, end, n`` of the runs of positions of a key that lie at most ``gap`` apart."""
+    w = Window.partitionBy(*keys).orderBy(pos)
+    fresh = F.coalesce((F.col(pos) - F.lag(pos).over(w) > gap).cast("int"), F.lit(0))
+    runs = rows.withColumn("_f", fresh).withColumn("session", F.sum("_f").over(w))
+    return runs.groupBy(*keys, "session").agg(F.min(pos).alias("begin"), F.max(pos).alias("end"), F.count("*").alias("n"))
+
+
+def following(rows: DataFrame, keys: list[str], pos: str, what: str, n: int = 3) -> DataFrame:
+    """Rows with the array ``gram`` of a value and the next ones in order; none where fewer follow."""
+    w = Window.partitionBy(*keys).orderBy(pos)
+    gram = F.array(F.col(what), *[F.lead(what, i).over(w) for i in range(1, n)])
+    return rows.withColumn("gram", gram).where(F.element_at("gram", -1).isNotNull())

@@ -29,7 +29,9 @@ def routines(code: DataFrame, labels: DataFrame, gaps: DataFrame, key: str = "so
     calls = code.where(F.col("mnemonic") == "jsr").select(key, F.coalesce(T.direct_target(F.col("operand")), F.lit(None).cast("int")).alias("addr"), T.label_ref(F.col("operand")).alias("name"))
     named = symbols(labels, key)
     called = calls.where("addr is not null").select(key, "addr").unionByName(calls.where("name is not null").select(key, "name").join(named, [key, "name"]).select(key, "addr")).distinct().withColumn("_called", F.lit(True))
-    after = code.select(key, "addr").join(gaps.select(key, "gap_end"), key).where("addr > gap_end").groupBy(key, "gap_end").agg(F.min("addr").alias("addr")).select(key, "addr").distinct().withColumn("_gap", F.lit(True))
+    line = code.select(key, F.col("addr").alias("_at"), "addr").unionByName(gaps.select(key, F.col("gap_end").alias("_at"), F.lit(None).cast("int").alias("addr")))
+    later = F.min("addr").over(Window.partitionBy(key).orderBy("_at").rangeBetween(1, Window.unboundedFollowing))
+    after = line.withColumn("_next", later).where("addr is null and _next is not null").select(key, F.col("_next").alias("addr")).distinct().withColumn("_gap", F.lit(True))
     rows = code.join(by_addr, [key, "addr"], "left").join(called, [key, "addr"], "left").join(after, [key, "addr"], "left")
     before = F.lag("mnemonic").over(w)
     yes = lambda c: F.coalesce(c, F.lit(False))

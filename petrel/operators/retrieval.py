@@ -240,3 +240,19 @@ def catalog_page(catalog: DataFrame, text: str = "", status: str | None = None,
     hit = catalog.where(F.lower(F.concat_ws(" ", "name", F.coalesce("notes", F.lit("")))).contains(text.lower())) if text else catalog
     hit = hit.where(F.col("status") == status) if status else hit
     return hit.orderBy("name").offset((max(1, page) - 1) * size).limit(size)
+
+
+def question_relevance(question: str, text: Column) -> Column:
+    """Share of the question's words of three characters or more that the text has."""
+    words = sorted(set(re.findall(r"[a-z0-9]{3,}", question.lower())))
+    if not words:
+        return F.lit(0.0)
+    have = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]{3,})"), 1)
+    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), have)) / len(words)
+
+
+def best_candidates(candidates: DataFrame, question: str, text: str, keys: list[str], order: str, most: int = 2) -> DataFrame:
+    """The ``most`` candidates per key by confidence x (1 + relevance to the question), ties by ``order`` (T5)."""
+    rated = candidates.withColumn("priority", F.col("confidence") * (1 + question_relevance(question, F.col(text))))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), order))
+    return rated.withColumn("place", place).where(F.col("place") <= most)

@@ -109,16 +109,53 @@ def hardware_text(limit: int = 6000) -> str:
     return "\n".join(lines)[:limit]
 
 
+# What an answer of each role holds at least: (alternatives of which one must be there, its type).
+ROLES = {
+    "planner": ((("plan",), "filled list"),),
+    "executor": ((("args",), "object"), (("step_id", "tool"), "filled text")),
+    "synthesizer": ((("labels", "routines", "data_structures", "hypotheses", "notes"), "any"),),
+    "curator": ((("summary", "addresses_kept", "events_compacted"), "any"),),
+    "critic": ((("decision",), "one of accept, revise, replan"),),
+}
+
+
 def contract_errors(rows: DataFrame, required: Mapping[str, str]) -> Column:
-    """Problems of parsed answers against required fields: ``name: type`` where type is text, number or list."""
+    """Problems of parsed answers against required fields: ``name: type``.
+
+    Types: text, number, list, object, ``0..1`` (a number in that range), ``a|b`` (one of these).
+    """
     checks = []
     for name, kind in required.items():
         value = F.get_json_object("answer", f"$.{name}")
-        fits = {"text": F.trim(value) != "", "number": value.try_cast("double").isNotNull(), "list": value.startswith("[")}[kind]
+        number = value.try_cast("double")
+        if ".." in kind:
+            low, high = map(float, kind.split(".."))
+            fits = F.coalesce(number.between(low, high), F.lit(False))
+        elif "|" in kind:
+            fits = value.isin(*kind.split("|"))
+        else:
+            fits = {"text": F.trim(value) != "", "number": number.isNotNull(), "list": value.startswith("["), "object": value.startswith("{")}[kind]
         checks.append(F.when(value.isNull(), F.lit(f"{name} is missing")).when(~fits, F.lit(f"{name} is no {kind}")))
     return F.array_compact(F.array(*checks))
 
 
+def role_error(role: str = "role", answer: str = "answer") -> Column:
+    """The first rule of its role that an answer breaks, null if none; roles without rules accept any object."""
+    out = F.when(~F.coalesce(F.col(answer).startswith("{"), F.lit(False)), F.lit("no object"))
+    for name, rules in ROLES.items():
+        for fields, kind in rules:
+            values = [F.get_json_object(answer, f"$.{f}") for f in fields]
+            fits = {
+                "any": lambda v: v.isNotNull(), "filled list": lambda v: v.rlike(r"^\[\s*[^\s\]]"), "object": lambda v: v.startswith("{"), "filled text": lambda v: v != "",
+                "one of accept, revise, replan": lambda v: v.isin("accept", "revise", "replan"),
+            }[kind]
+            good = F.lit(False)
+            for v in values:
+                good = good | F.coalesce(fits(v), F.lit(False))
+            out = out.when((F.col(role) == name) & ~good, F.lit(f"{name}: {' or '.join(fields)} is no {kind}"))
+    return out
+
+
 def report(turn: Mapping[str, object]) -> str:
     """Markdown of one finished run (K6)."""
     lines = [f"# {turn.get('question', '')}", "", str(turn.get("answer", "")), "", f"- verdict: {turn.get('verdict', '')}", f"- confidence: {float(turn.get('confidence') or 0):.2f}"]

@@ -124,7 +124,7 @@ def distinct_facts_by_identity(spark, d):
 
 @_register("SELECT event_type, count(*) AS n, max(event_id) AS last_id, CAST(floor(sum(length(props)) / 4) AS BIGINT) AS tokens FROM events GROUP BY event_type")
 def event_stats(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"), F.floor(F.sum(F.length("props")) / 4).alias("tokens"))
+    return fold.log_stats(_t(spark, d, "events"), "event_type", "event_id", "props")
 
 
 _NEST = "nest AS (SELECT CAST(s_suppkey * 16 AS INT) AS \"start\", CAST(s_suppkey * 16 + (s_suppkey % 7 + 1) * 20 AS INT) AS \"end\" FROM supplier)"
@@ -167,7 +167,7 @@ def _refs(spark, d):
 _REFS = "refs AS (SELECT CAST(l_orderkey AS INT) AS src, CAST(l_partkey + 53248 AS INT) AS dst, CASE l_returnflag WHEN 'A' THEN 'w' WHEN 'R' THEN 'rmw' ELSE 'r' END AS access, CASE WHEN l_linestatus = 'O' THEN 'x' END AS \"index\" FROM lineitem)"
 
 
-@_register(f"WITH {_REFS} SELECT DISTINCT src, dst, access, \"index\" FROM refs WHERE dst = 53255 AND access IN ('w', 'rmw') ORDER BY src, access LIMIT 100")
+@_register(f"WITH {_REFS} SELECT DISTINCT src, dst, access, \"index\" FROM refs WHERE dst = 53255 AND access IN ('w', 'rmw') ORDER BY src, access, \"index\" LIMIT 100")
 def writes_to(spark, d):
     return graph.writes_to(_refs(spark, d), 53255)
 
@@ -189,10 +189,12 @@ def induced_edges(spark, d):
   LEFT JOIN routines a ON e.src BETWEEN a."start" AND a."end" LEFT JOIN routines b ON e.dst BETWEEN b."start" AND b."end" WHERE coalesce(a."start", e.src) <> coalesce(b."start", e.dst)
 ), g AS (SELECT a, b, b_stub FROM n UNION SELECT b, a, a_stub FROM n),
 h1 AS (SELECT DISTINCT b AS addr, 1 AS hop, b_stub AS stub FROM g WHERE a = 64 ORDER BY addr LIMIT 60),
-s1 AS (SELECT * FROM (SELECT 64 AS addr, 0 AS hop, false AS stub UNION ALL SELECT * FROM h1) ORDER BY hop, addr LIMIT 60)
-SELECT addr, hop, stub, r.name FROM s1 LEFT JOIN routines r ON r."start" = addr""")
+s1 AS (SELECT * FROM (SELECT 64 AS addr, 0 AS hop, false AS stub UNION ALL SELECT * FROM h1) ORDER BY hop, addr LIMIT 60),
+h2 AS (SELECT DISTINCT g.b AS addr, 2 AS hop, g.b_stub AS stub FROM h1 JOIN g ON g.a = h1.addr WHERE NOT h1.stub AND g.b NOT IN (SELECT addr FROM s1) ORDER BY addr LIMIT 60),
+s2 AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM h2) ORDER BY hop, addr LIMIT 60)
+SELECT addr, hop, stub, r.name FROM s2 LEFT JOIN routines r ON r."start" = addr""")
 def n_hop(spark, d):
-    nodes, _ = graph.neighbourhood(_routines(spark, d), _edges(spark, d), 64, hops=1)
+    nodes, _ = graph.neighbourhood(_routines(spark, d), _edges(spark, d), 64, hops=2)
     return nodes.select("addr", "hop", "stub", "name")
 
 
@@ -243,22 +245,15 @@ def rle_runs(spark, d):
 c AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY event_id) AS cl FROM e)
 SELECT k, min(event_id) AS first_id, count(*) AS n FROM c GROUP BY k, cl HAVING count(*) >= 3""")
 def gap_clusters(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("event_id")
     e = _t(spark, d, "events").select((F.col("user_id") % 20).alias("k"), "event_id")
-    e = e.withColumn("f", F.coalesce(F.col("event_id") - F.lag("event_id").over(w) > 64, F.lit(False)).cast("int")).withColumn("cl", F.sum("f").over(w))
-    return e.groupBy("k", "cl").agg(F.min("event_id").alias("first_id"), F.count("*").alias("n")).where("n >= 3").drop("cl")
+    return heuristics.gap_sessions(e, ["k"], "event_id").where("n >= 3").select("k", F.col("begin").alias("first_id"), "n")
 
 
 @_register("""WITH e AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT a, b, c, count(*) AS n FROM e WHERE c IS NOT NULL GROUP BY ALL""")
 def ngram_patterns(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = _t(spark, d, "events").select(F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), F.lead("event_type", 2).over(w).alias("c"))
-    return e.where("c is not null").groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+    grams = heuristics.following(_t(spark, d, "events"), ["user_id"], "event_id", "event_type")
+    return grams.groupBy(*[F.col("gram")[i].alias(c) for i, c in enumerate("abc")]).agg(F.count("*").alias("n"))
 
 
 _DIM = ", ".join(f"({op}, '{m}', '{mode}', {isa.SIZE[mode]})" for op, (m, mode) in sorted(isa.opcodes().items()))
@@ -460,3 +455,6 @@ def recursive_listing(spark, d):
     cells = _image(spark, d)
     entries = spark.createDataFrame([("synthetic", i) for i in range(64)], "dump_id string, entry int")
     return decode.recursive(decode.decode_all(cells), cells, entries, vectors_too=False)
+
+
+from petrel.plans import catalog  # noqa: E402, F401  (registers its queries here)
