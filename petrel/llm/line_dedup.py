@@ -138,6 +138,7 @@ def dedup_lines(docs: DataFrame, report: bool = False, hash_bits: int = 64) -> D
     text differ in place.  Other columns pass through, whatever their names.  Empty table: no rows.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     paths: list[str] = []
     seen, at = scratch.save(_occurrences(docs, hash_bits), "windows")
     paths.append(at)

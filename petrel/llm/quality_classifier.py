@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     which are summed by bucket across tasks.  A doc_id with several labels counts as good if
     they all say so; one with several texts is trained on the least of them.
     """
+    scratch.small_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     chosen = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -48,3 +48,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _hadoop(spark, path)
         fs.delete(p, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in the session's Arrow batches: ten thousand texts at once, the default, are too much for a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(key, rows)

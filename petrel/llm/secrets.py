@@ -225,6 +225,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Repeated rows are scanned each and count each as evidence.  Values tied with a class's cut
     are found.  Other columns are ignored.  Empty table: no rows.
     """
+    scratch.small_batches(docs.sparkSession)
     found, _ = scratch.save(_scan(docs), "secrets")
     cut = cutoffs(found.select(F.inline("tokens"))).agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cut"))  # one row of 512 entries at most
     out = found.join(F.broadcast(cut), F.lit(True), "left")

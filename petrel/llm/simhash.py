@@ -247,6 +247,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     that repeat a doc_id are nodes by their own text.  Null doc_ids never name a component
     unless all of its ids are null.  Empty table: no rows.
     """
+    scratch.small_batches(docs.sparkSession)
     fp, _ = scratch.save(fingerprints(docs), "fingerprints")
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(near_links(nodes.select("fp")), "a", "b").withColumnsRenamed({"node": "fp", "component": "part"})
@@ -399,6 +400,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     no rows.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     made: list[str] = []
 
     def saved(df: DataFrame, name: str) -> DataFrame:

@@ -347,6 +347,7 @@ def suffix_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("t"))
+    scratch.small_batches(docs.sparkSession)
     flags, _ = scratch.save(repeated_starts(rows.where(F.octet_length("t") >= LENGTH)), "repeats")
     runs = flags.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
     met = rows.join(runs, ["doc", "hash"], "left").select("doc_id", "t", "runs")
