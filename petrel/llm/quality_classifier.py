@@ -68,7 +68,7 @@ class Terms(dict):
 
     def __call__(self, text: str) -> np.ndarray:
         """n x 2 of letters and shape, in order of the words."""
-        if len(self) > 100_000:
+        if len(self) > 300_000:
             self.clear()
         words = text.split()
         both = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
