@@ -176,13 +176,16 @@ def dense_windows(docs: DataFrame, terms: Sequence[str], before: int = 500, afte
 
 def resolve_evidence(tokens: DataFrame, paths: DataFrame, labels: DataFrame, hypotheses: DataFrame, events: DataFrame) -> DataFrame:
     """``token, type, target``: a path, an address, a hypothesis or an event, the latter by unique prefix too."""
-    t = tokens.withColumn("addr", T.parse_address(F.when(F.col("token").rlike(r"^(?:\$|0[xX])"), F.col("token"))))
+    t = tokens.select("token").distinct().withColumn("addr", T.parse_address(F.when(F.col("token").rlike(r"^(?:\$|0[xX])"), F.col("token"))))
     by_path = t.join(paths.select(F.col("path").alias("token")).distinct(), "token").select("token", F.lit("path").alias("type"), F.col("token").alias("target"))
     by_addr = t.where("addr is not null").join(labels.groupBy("addr").agg(F.max_by("name", "confidence").alias("name")), "addr", "left").select("token", F.lit("address").alias("type"), F.coalesce("name", T.hex_label(F.col("addr"))).alias("target"))
 
+    lengths = [r[0] for r in tokens.where("length(token) >= 4").select(F.length("token")).distinct().collect()] or [4]  # lengths of tokens: a few numbers
+
     def by_id(rows: DataFrame, column: str, kind: str) -> DataFrame:
-        ids = rows.select(F.col(column).alias("target"), F.substring(column, 1, 4).alias("head")).distinct()
-        hit = t.where("addr is null and length(token) >= 4").withColumn("head", F.substring("token", 1, 4)).join(ids, "head").where(F.col("target").startswith(F.col("token")))
+        ids = rows.select(F.col(column).alias("target")).distinct()
+        heads = ids.select("target", F.explode(F.array_distinct(F.array(*[F.substring("target", 1, n) for n in lengths]))).alias("token"))
+        hit = t.where("addr is null and length(token) >= 4").join(heads, "token")
         g = hit.groupBy("token").agg(F.count("*").alias("n"), F.max(F.when(F.col("target") == F.col("token"), F.col("target"))).alias("exact"), F.min("target").alias("only"))
         return g.where("exact is not null or n = 1").select("token", F.lit(kind).alias("type"), F.coalesce("exact", "only").alias("target"))
 

@@ -458,3 +458,4 @@ def recursive_listing(spark, d):
 
 
 from petrel.plans import catalog  # noqa: E402, F401  (registers its queries here)
+from petrel.plans import lookups  # noqa: E402, F401
