@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from petrel.functions import text as T
 from petrel.operators import fold, graph, ledger, memdiff, retrieval
 from petrel.plans.catalog import _RESULTS, _STEPS, _ledger
-from petrel.plans.registry import _register, _t
+from petrel.plans.registry import _EDGES, _ROUTINES, _edges, _register, _routines, _t
 
 
 def _text(c):
@@ -319,3 +319,24 @@ def prefix_counts(spark, d):
     mark = log.agg(fold.prefix_fingerprint(log, 2000).alias("a")).join(log.where("log_pos <= 2000").repartition(5, "id").agg(fold.prefix_fingerprint(log, 2000).alias("b")), F.expr("a = b"))  # single rows
     same = log.where("log_pos <= 2000").join(F.broadcast(mark.select(F.lit(True).alias("_same"))), F.lit(True), "left_semi")
     return same.groupBy((F.col("user_id") % 3).cast("int").alias("high")).agg(F.count("*").alias("n"))
+
+
+@_register("""SELECT conv_id, turn, CASE WHEN hit = 0 THEN substr(text, 1, 120) ELSE CASE WHEN a > 1 THEN '...' ELSE '' END || substr(text, a, b - a + 1) || CASE WHEN b < length(text) THEN '...' ELSE '' END END AS snippet
+FROM (SELECT *, greatest(1, hit - 40) AS a, least(length(text), hit - 1 + 40 + 4) AS b FROM (SELECT *, strpos(lower(text), 'tion') AS hit FROM conversations))""")
+def turn_snippets(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.snippet(F.col("text"), F.lit("Tion"), 120).alias("snippet"))
+
+
+@_register(f"""WITH {_IMAGE}, n AS (SELECT *, lead(b, 1) OVER w AS lo, lead(b, 2) OVER w AS hi FROM img WHERE b IN (141, 33, 208) WINDOW w AS (PARTITION BY dump_id ORDER BY addr))
+SELECT dump_id, addr AS site FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY addr) AS k FROM n WHERE b = 141 AND lo = 33 AND hi = 208) WHERE k <= 8""")
+def stores_to_address(spark, d):
+    img = _image(spark, d).where("b in (141, 33, 208)")  # stores, and the two bytes of one address
+    return memdiff.reference_sites(img, 208 * 256 + 33)
+
+
+@_register(f"""WITH {_ROUTINES}, {_EDGES}, r AS (SELECT * FROM routines WHERE 100 BETWEEN "start" AND "end" ORDER BY "end" - "start", "start" LIMIT 1)
+SELECT DISTINCT e.src, e.dst, e.edge FROM edges e, r WHERE e.dst BETWEEN r."start" AND r."end" AND NOT (e.src BETWEEN r."start" AND r."end")""")
+def callers_of_window(spark, d):
+    code = spark.range(0, 4096, 2).select(F.col("id").cast("int").alias("addr"))
+    refs = spark.createDataFrame([], "src int, dst int, access string")
+    return graph.routine_window(code, _routines(spark, d), _edges(spark, d), refs, 100)["callers"]
