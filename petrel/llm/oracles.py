@@ -142,4 +142,23 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN tot USING (doc_id)
 """
 
-ORACLES = {"op1_url_filters": OP1, "op3_exact_dedup": OP3, "op5_suffix_dedup": OP5, "op6_mixing": OP6, "op9_quality_rules": OP9}
+OP11 = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate({_T}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+c AS (SELECT lang, d::BIGINT AS d, array_to_string(ws[i:i + d - 1], ' ') AS phrase, count(*) AS f FROM starts, range(1, 6) r(d) WHERE i + d - 1 <= len(ws) GROUP BY ALL HAVING d = 1 OR count(*) >= 100),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE d = 1 GROUP BY lang),
+big AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE d > 1),
+inner_of AS (SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, f FROM big, range(1, 6) x(i), range(2, 5) y(m) WHERE m < d AND i + m - 1 <= d),
+stay AS (SELECT b.* FROM big b WHERE NOT EXISTS (SELECT 1 FROM inner_of s WHERE s.lang = b.lang AND s.phrase = b.phrase AND 100 * s.f >= 100 * b.f)),
+cut AS (
+  SELECT b.lang, b.phrase, b.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * b.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM stay b JOIN total t ON b.lang = t.lang, range(1, 5) z(k)
+  JOIN c l ON l.lang = b.lang AND l.phrase = array_to_string(b.ws[1:k], ' ') JOIN c r ON r.lang = b.lang AND r.phrase = array_to_string(b.ws[k + 1:], ' ') WHERE k < b.d
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank FROM best WHERE nth = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op11_collocations": OP11, "op3_exact_dedup": OP3, "op5_suffix_dedup": OP5, "op6_mixing": OP6, "op9_quality_rules": OP9}
