@@ -145,9 +145,19 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN tot USING (doc_id)
 OP11 = rf"""
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate({_T}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
-), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
-starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-c AS (SELECT lang, d::BIGINT AS d, array_to_string(ws[i:i + d - 1], ' ') AS phrase, count(*) AS f FROM starts, range(1, 6) r(d) WHERE i + d - 1 <= len(ws) GROUP BY ALL HAVING d = 1 OR count(*) >= 100),
+), w AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
+tok AS (SELECT lang, pid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
+word AS (SELECT lang, w, count(*) AS f FROM tok GROUP BY ALL),
+near AS (
+  SELECT lang, CASE WHEN f >= 100 THEN w END AS w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5
+  FROM tok JOIN word USING (lang, w) WINDOW p AS (PARTITION BY pid ORDER BY i)
+), c AS (
+  SELECT lang, 1 AS d, w AS phrase, f FROM word
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM near GROUP BY ALL HAVING phrase IS NOT NULL AND count(*) >= 100
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM near GROUP BY ALL HAVING phrase IS NOT NULL AND count(*) >= 100
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM near GROUP BY ALL HAVING phrase IS NOT NULL AND count(*) >= 100
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS phrase, count(*) FROM near GROUP BY ALL HAVING phrase IS NOT NULL AND count(*) >= 100
+),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE d = 1 GROUP BY lang),
 big AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE d > 1),
 inner_of AS (SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, f FROM big, range(1, 6) x(i), range(2, 5) y(m) WHERE m < d AND i + m - 1 <= d),
@@ -161,4 +171,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked WHERE rank <= 2000
 """
 
-ORACLES = {"op1_url_filters": OP1, "op11_collocations": OP11, "op3_exact_dedup": OP3, "op5_suffix_dedup": OP5, "op6_mixing": OP6, "op9_quality_rules": OP9}
+OP12 = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, list(struct_pack(role, text) ORDER BY k) AS v FROM t GROUP BY c),
+crc AS (
+  SELECT c, v, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[(ascii(x) >> j) & 1 for j in range(8)] for x in string_split(c::VARCHAR, '')])),
+    lambda a, bit: xor(a >> 1, 3988292384::BIGINT * (xor(a, bit) & 1))), 4294967295::BIGINT) % 6 AS h FROM own
+), whole AS (SELECT a.c, coalesce(b.v[:h], []) || a.v[h + 1:] AS v FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+member AS (SELECT c, d, v[:d] AS k, v[d].text AS last, d = len(v) AS ends FROM (SELECT c, v, unnest(range(len(v) + 1)) AS d FROM whole)),
+node AS (
+  SELECT k, d, min(c) AS c, count(*) AS n, count(*) - 1 AS more, coalesce(any_value(length(last)), 0) AS size,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS sha FROM member GROUP BY k, d
+), child AS (SELECT k[:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+above AS (SELECT k[:j] AS k, n_children = 0 AS leaf, more * size AS saves FROM full_node, range(0, 1000) r(j) WHERE j <= d),
+sums AS (SELECT k, count_if(leaf) AS n_leaves, sum(saves)::BIGINT AS saved FROM above GROUP BY k)
+SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n AS n_convs, a.n_children, n_leaves::BIGINT AS n_leaves, saved AS saved_tokens, a.sha AS ends_sha256
+FROM full_node a JOIN sums USING (k) LEFT JOIN node p ON a.d > 0 AND p.k = a.k[:a.d - 1]
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op11_collocations": OP11, "op12_prefix_trie": OP12, "op3_exact_dedup": OP3, "op5_suffix_dedup": OP5, "op6_mixing": OP6, "op9_quality_rules": OP9}

@@ -9,6 +9,7 @@ from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .prefix_trie import conversation_trie
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_list
@@ -73,4 +74,8 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_suffix_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier, op11_collocations)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_suffix_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier, op11_collocations, op12_prefix_trie)}
