@@ -5,11 +5,11 @@ in numpy sorts the suffixes of the id sequence, and the intervals of their commo
 the shard's n-grams with their counts.  Counts of all shards are added by key.
 
 Phrases occur as often as their rarest part at most, so what can't reach the least count is
-left out of the shards' results: a first pass adds up words, a second one pairs of frequent
-words by a 64-bit key, the third all phrases in runs of frequent pairs, by their text.  The two
-filters between the passes are Bloom filters of a fixed size: they let some rare phrases
-through, whose true count then decides, and never hold back a frequent one, however many keys
-they carry.
+left out of the shards' results: a first pass adds up words, the next ones pairs of frequent
+words and triples of frequent pairs by a 64-bit key, the last all phrases that are left, by
+their text.  The filters between the passes are Bloom filters of a fixed size: they let some rare
+phrases through, whose true count then decides, and never hold back a frequent one, however
+many keys they carry.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from . import scratch
 
 #: Words of the longest phrase, least count of a phrase, phrases reported per language.
 LONGEST, LEAST, TOP = 5, 100, 2000
+#: Words of the longest phrases that have a filter of their own.
+FILTERED = 3
 #: Bytes of text of a shard (a longer text is a shard of its own), and bits of a Bloom filter.
 SHARD, BLOOM_BITS = 6 << 20, 26
 _MASK = (1 << BLOOM_BITS) - 1
@@ -52,14 +54,29 @@ class Shard:
         return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in self.words[1:])], np.uint64)
 
 
-def suffix_array(x: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """``starts`` in the order of the suffixes that begin there, by their first ``depth`` ids or more: prefix doubling."""
+def runs(x: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """The ids of the phrases of m words that begin at the (ascending) positions: those at adjacent ones form a run, an end follows each run."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
+    first, sizes = at[np.append(0, cut)], np.diff(np.concatenate([[0], cut, [len(at)]])) + m
+    stop = np.cumsum(sizes)
+    out = x[np.minimum(np.arange(stop[-1]) + np.repeat(first - stop + sizes, sizes), len(x) - 1)]
+    out[stop - 1] = 0
+    return out
+
+
+def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of words in the order of the suffixes that begin there, by their first ``depth`` ids or more: prefix doubling."""
     rank, k = x.astype(np.int64), 1
     while k < depth:
         after = np.zeros(len(x), np.int64)
         after[:-k] = rank[k:] + 1
-        _, rank = np.unique(rank * (int(after.max(initial=0)) + 1) + after, return_inverse=True)
+        rank = rank * (int(after.max(initial=0)) + 1) + after
         k *= 2
+        if k < depth:  # dense ranks, so that the next pair fits
+            _, rank = np.unique(rank, return_inverse=True)
+    starts = np.flatnonzero(x)
     return starts[np.argsort(rank[starts], kind="stable")]
 
 
@@ -78,11 +95,14 @@ def intervals(x: np.ndarray, order: np.ndarray, least: int, most: int) -> Iterat
             yield d, order[begins[whole]], counts[whole]
 
 
-def pair_keys(h: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit keys of the pairs of words that begin at the positions."""
-    k = h[x[at]] * np.uint64(0x9E3779B97F4A7C15) ^ h[x[at + 1]]
-    k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return k ^ (k >> np.uint64(32))
+def keys_of(h: np.ndarray, x: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
+    """64-bit keys of the phrases of d words that begin at the positions."""
+    k = h[x[at]]
+    for i in range(1, d):
+        k = k * np.uint64(0x9E3779B97F4A7C15) ^ h[x[at + i]]
+        k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        k ^= k >> np.uint64(32)
+    return k
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
@@ -123,12 +143,15 @@ def _by_shard(rows: DataFrame, count: Callable[[str, Shard], pa.RecordBatch], sc
     return rows.mapInArrow(run, schema)
 
 
-def _starts(shard: Shard, h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Positions at which a pair of words begins that may both be frequent."""
-    good = among(words, h)
+def _starts(shard: Shard, h: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    """Positions at which a phrase of as many words as there are filters begins, all parts of which may be frequent."""
+    good = among(filters[0], h)
     good[0] = False
-    good = good[shard.x]
-    return np.flatnonzero(good[:-1] & good[1:])
+    at = np.flatnonzero(good[shard.x])
+    for d, filled in enumerate(filters[1:], 2):
+        at = at[:-1][np.diff(at) == 1]  # the part one word later may be frequent too
+        at = at[among(filled, keys_of(h, shard.x, at, d))]
+    return at
 
 
 def _count_words(lang: str, shard: Shard) -> pa.RecordBatch:
@@ -137,41 +160,41 @@ def _count_words(lang: str, shard: Shard) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(shard.words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(shard.hashes(lang)[1:].view(np.int64))], names)
 
 
+def _keyed(filters: list[np.ndarray]) -> Callable[[str, Shard], pa.RecordBatch]:
+    """Counts per key of the phrases one word longer than the last filter's."""
+    d = len(filters) + 1
+
+    def count(lang: str, shard: Shard) -> pa.RecordBatch:
+        h = shard.hashes(lang)
+        y = runs(shard.x, _starts(shard, h, filters), d - 1)
+        found = list(intervals(y, suffix_array(y, d), d, d))
+        at, n = (found[0][1], found[0][2]) if found else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(keys_of(h, y, at, d).view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+
+    return count
+
+
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, list[str]]:
     """All words, and all phrases of 2 to ``longest`` words with ``least`` occurrences or more: saved tables ``lang, phrase, words, f``; their paths."""
     scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     totals = _by_shard(rows, _count_words, "lang string, phrase string, n long, key long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("key").alias("key"))
     words, words_at = scratch.save(totals.withColumn("words", F.lit(1)), "words")
-    some_words = bloom(words.where(F.col("f") >= least).select("key"))
-
-    def count_pairs(lang: str, shard: Shard) -> pa.RecordBatch:
-        h = shard.hashes(lang)
-        found = list(intervals(shard.x, suffix_array(shard.x, _starts(shard, h, some_words), 2), 2, 2))
-        at, n = (found[0][1], found[0][2]) if found else (np.array([], np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(pair_keys(h, shard.x, at).view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
-
-    pairs = _by_shard(rows, count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    some_pairs = bloom(pairs.select("key"))
+    filters = [bloom(words.where(F.col("f") >= least).select("key"))]
+    while len(filters) < min(FILTERED, longest):
+        pairs = _by_shard(rows, _keyed(list(filters)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        filters.append(bloom(pairs.select("key")))
 
     def count_phrases(lang: str, shard: Shard) -> pa.RecordBatch:
-        h, x = shard.hashes(lang), shard.x
-        at = _starts(shard, h, some_words)
-        at = at[among(some_pairs, pair_keys(h, x, at))]
-        runs = np.zeros(len(x), np.int32)  # ids of the runs of pairs that may be frequent
-        runs[at], runs[at + 1] = x[at], x[at + 1]
-        linked = np.zeros(len(x) + 1, bool)
-        linked[at + 1] = True
-        cut = np.flatnonzero((runs > 0) & ~linked[:-1])  # a run begins here: an end goes before it
-        place = np.arange(len(x)) + np.searchsorted(cut, np.arange(len(x)), "right")
-        spread = np.zeros(len(x) + len(cut) + 1, np.int32)
-        spread[place] = runs
-        phrases, sizes, counts = [], [], []
-        for d, first, n in intervals(spread, suffix_array(spread, place[at], longest), 2, longest):
-            phrases += [b" ".join([shard.words[i] for i in row]) for row in spread[first[:, None] + np.arange(d)].tolist()]
-            sizes += [d] * len(first)
-            counts.append(n)
-        n = pa.array(np.concatenate(counts) if counts else np.array([], np.int64), pa.int64())
+        h, phrases, sizes, counts = shard.hashes(lang), [], [], [np.zeros(0, np.int64)]
+        for m in range(2, len(filters) + 1):
+            y = runs(shard.x, _starts(shard, h, filters[:m]), m)
+            most = longest if m == len(filters) else m
+            for d, first, n in intervals(y, suffix_array(y, most), m, most):
+                phrases += [b" ".join([shard.words[i] for i in row]) for row in y[first[:, None] + np.arange(d)].tolist()]
+                sizes += [d] * len(first)
+                counts.append(n)
+        n = pa.array(np.concatenate(counts), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), n], ["lang", "phrase", "words", "n"])
 
     counted = _by_shard(rows, count_phrases, "lang string, phrase string, words int, n long")

@@ -59,14 +59,20 @@ def test_suffixes_are_sorted_and_counted():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 4, 400).astype(np.int32)
     x[-1] = 0
-    starts = np.flatnonzero(x)
-    order = co.suffix_array(x, starts, 5)
+    order = co.suffix_array(x, 5)
     key = lambda i: tuple(x[i : i + 5])
-    assert [key(i) for i in order] == sorted(key(i) for i in starts)
+    assert [key(i) for i in order] == sorted(key(i) for i in np.flatnonzero(x))
     want = Counter(tuple(x[i : i + d]) for d in (2, 3, 4, 5) for i in range(len(x) - d + 1) if (x[i : i + d] > 0).all())
     assert {tuple(x[i : i + d].tolist()): int(n) for d, at, counts in co.intervals(x, order, 2, 5) for i, n in zip(at, counts, strict=True)} == {tuple(map(int, k)): n for k, n in want.items()}
 
 
+def test_runs_hold_the_phrases_that_begin_there():
+    x = np.array([5, 6, 7, 8, 9, 1, 2, 0], np.int32)
+    assert co.runs(x, np.array([0, 1, 4]), 2).tolist() == [5, 6, 7, 0, 9, 1, 0]
+    assert co.runs(x, np.array([0, 2]), 3).tolist() == [5, 6, 7, 0, 7, 8, 9, 0]
+    assert co.runs(x, np.array([], np.int64), 2).tolist() == []
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     words = spark.createDataFrame([("en", "a", 1, 3 * 10**12), ("en", "b", 1, 7 * 10**11)], "lang string, phrase string, words int, f long")
     grams = spark.createDataFrame([("en", "a b", 2, 6 * 10**11)], "lang string, phrase string, words int, f long")
