@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
@@ -78,4 +79,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_suffix_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier, op11_collocations, op12_prefix_trie)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = span_list(F.filter("spans", lambda x: x["kind"].isin(*pii.KINDS[: pii.BASE])))
+    return out.select("doc_id", *[of(k) for k in pii.KINDS[: pii.BASE]], F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_suffix_dedup, op6_mixing, op7_secret_scans, op8_simhash, op9_quality_rules, op10_quality_classifier, op11_collocations, op12_prefix_trie, op13_pii)}
