@@ -266,9 +266,11 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         terms = Terms()
         for b in batches:
             x = np.array([pooled(t.as_py() or "", model.vectors, terms) for t in b.column(text)], np.float32).reshape(-1, 2 * DIMS + 1)
-            yield b.filter(pa.array(model.network.scores(x) >= threshold))
+            kept = b.filter(pa.array(model.network.scores(x) >= threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(names)])  # an Arrow operator would read a dot as a path
+    return plain.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
