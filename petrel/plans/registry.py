@@ -259,26 +259,6 @@ def ngram_patterns(spark, d):
 _DIM = ", ".join(f"({op}, '{m}', '{mode}', {isa.SIZE[mode]})" for op, (m, mode) in sorted(isa.opcodes().items()))
 
 
-def _image(spark, d):
-    return spark.range(4096).select(F.lit("synthetic").alias("dump_id"), F.col("id").cast("int").alias("addr"), ((F.col("id") * 7 + F.floor(F.col("id") / 13) * 5 + 13) % 256).cast("int").alias("b"))
-
-
-@_register(f"""WITH dim(opcode, mnemonic, mode, size) AS (VALUES {_DIM}), r AS (SELECT CAST(i AS INT) AS addr, CAST((i * 7 + (i // 13) * 5 + 13) % 256 AS INT) AS b FROM range(4096) t(i)),
-l AS (SELECT *, lead(b) OVER (ORDER BY addr) AS b1, lead(b, 2) OVER (ORDER BY addr) AS b2 FROM r)
-SELECT 'synthetic' AS dump_id, addr, mnemonic, mode, size, CAST(addr + size AS INT) AS next_addr FROM l JOIN dim ON b = opcode WHERE size = 1 OR (size = 2 AND b1 IS NOT NULL) OR b2 IS NOT NULL""")
-def opcode_decode(spark, d):
-    return decode.decode_all(_image(spark, d)).drop("op_str")
-
-
-@_register(f"""WITH dim(opcode, mnemonic, mode, size) AS (VALUES {_DIM}), r AS (SELECT CAST(i AS INT) AS addr, CAST((i * 7 + (i // 13) * 5 + 13) % 256 AS INT) AS b FROM range(4096) t(i)),
-l AS (SELECT *, lead(b) OVER (ORDER BY addr) AS b1, lead(b, 2) OVER (ORDER BY addr) AS b2 FROM r),
-c AS (SELECT addr AS src, CASE WHEN mode IN ('abs', 'absx', 'absy', 'ind') THEN b1 + 256 * b2 ELSE b1 END AS dst, CASE WHEN mnemonic IN ('sta', 'stx', 'sty') THEN 'w' WHEN mnemonic IN ('inc', 'dec', 'asl', 'lsr', 'rol', 'ror') THEN 'rmw' ELSE 'r' END AS access, mode
-  FROM l JOIN dim ON b = opcode WHERE mnemonic IN ('sta', 'stx', 'sty', 'inc', 'dec', 'asl', 'lsr', 'rol', 'ror', 'lda', 'ldx', 'ldy', 'cmp', 'cpx', 'cpy', 'bit', 'and', 'ora', 'eor', 'adc', 'sbc') AND mode NOT IN ('imm', 'acc') AND (b2 IS NOT NULL OR (size = 2 AND b1 IS NOT NULL)))
-SELECT 'synthetic' AS dump_id, src, CAST(dst AS INT) AS dst, access, CASE WHEN mode IN ('absx', 'zpx', 'indx') THEN 'x' WHEN mode IN ('absy', 'zpy', 'indy') THEN 'y' END AS "index", mode IN ('indx', 'indy', 'ind') AS indirect FROM c""")
-def data_refs(spark, d):
-    return heuristics.data_refs(decode.decode_all(_image(spark, d)))
-
-
 @_register("SELECT doc_id, CAST(instr(lower(text), 'ing the') - 1 AS INT) AS match_at FROM documents WHERE contains(lower(text), 'ing the') ORDER BY doc_id LIMIT 10")
 def text_phrase(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
@@ -450,12 +430,6 @@ def name_promotion(spark, d):
     return fold.promote_names(r, h)
 
 
-@_register()
-def recursive_listing(spark, d):
-    cells = _image(spark, d)
-    entries = spark.createDataFrame([("synthetic", i) for i in range(64)], "dump_id string, entry int")
-    return decode.recursive(decode.decode_all(cells), cells, entries, vectors_too=False)
-
-
 from petrel.plans import catalog  # noqa: E402, F401  (registers its queries here)
 from petrel.plans import lookups  # noqa: E402, F401
+from petrel.plans import asked, dumps, listings  # noqa: E402, F401
