@@ -83,23 +83,26 @@ def annotations_to_views(ann: DataFrame) -> dict[str, DataFrame]:
 
 
 def survivors(log: DataFrame, invalidations: DataFrame, source: str = "source_file") -> DataFrame:
-    """Rows that no later invalidation of their source removes (P6). ``log_pos`` names a row.
+    """Rows that no later invalidation of their source removes.
 
-    ``invalidations``: ``pattern, inv_pos``; a pattern may use ``%`` and ``_``.  Plain names
-    meet by equality, patterns by what stands before their first sign: prefixes of the lengths
-    that occur (a few numbers).  Only patterns that begin with a sign are compared with all rows.
+    ``invalidations``: ``pattern, inv_pos``; a pattern may use ``%`` and ``_``.  Patterns meet
+    the distinct sources, not the log: plain names by equality, others by what stands before their
+    first sign (prefixes of the lengths that occur, collected: a few numbers), and only
+    those that begin with a sign are compared with all sources.  Each source is left with
+    its last invalidation, and the log meets that by one equi-join.
     """
     last = invalidations.groupBy("pattern").agg(F.max("inv_pos").alias("inv_pos")).withColumn("head", F.regexp_extract("pattern", "^[^%_]*", 0))
-    plain = last.where(~F.col("pattern").contains("%")).select("pattern", "inv_pos")
-    left = log.join(plain, (log[source] == plain["pattern"]) & (log["log_pos"] < plain["inv_pos"]), "left_anti")
-    wild = last.where(F.col("pattern").contains("%"))
+    sources = log.select(F.col(source).alias("_s")).where(F.col(source).isNotNull()).distinct()
+    wild = last.where(F.col("pattern").contains("%") | F.col("pattern").contains("_"))
+    hits = last.where(~F.col("pattern").contains("%")).select(F.col("pattern").alias("_s"), "inv_pos")
     lengths = [r[0] for r in wild.where("head <> ''").select(F.length("head")).distinct().collect()]
     if lengths:
-        heads = left.select("log_pos", F.col(source).alias("_s"), F.explode(F.array(*[F.substring(source, 1, n) for n in lengths])).alias("head")).distinct()
-        gone = heads.join(wild, "head").where(F.like("_s", F.col("pattern")) & (F.col("log_pos") < F.col("inv_pos"))).select("log_pos").distinct()
-        left = left.join(gone, "log_pos", "left_anti").select(*log.columns)
-    loose = wild.where("head = ''").select("pattern", "inv_pos")
-    return left.join(loose, F.like(left[source], loose["pattern"]) & (left["log_pos"] < loose["inv_pos"]), "left_anti")
+        heads = sources.select("_s", F.explode(F.array_distinct(F.array(*[F.substring("_s", 1, n) for n in lengths]))).alias("head"))
+        hits = hits.unionByName(heads.join(wild, "head").where(F.like("_s", F.col("pattern"))).select("_s", "inv_pos"))
+    loose = wild.where("head = ''")
+    hits = hits.unionByName(sources.join(loose, F.like("_s", F.col("pattern"))).select("_s", "inv_pos"))
+    gone = hits.groupBy("_s").agg(F.max("inv_pos").alias("_gone"))
+    return log.join(gone, log[source] == gone["_s"], "left").where(F.col("_gone").isNull() | (F.col("log_pos") >= F.col("_gone"))).select(*[log[c] for c in log.columns])
 
 
 def promote_names(routines: DataFrame, hypotheses: DataFrame) -> DataFrame:

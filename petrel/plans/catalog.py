@@ -103,11 +103,11 @@ def step_states(spark, d):
     return ledger.step_status(*_ledger(spark, d)).select("plan_id", "step_id", "fails", "succeeded", "pending")
 
 
-@_register(r"""WITH r AS (SELECT conv_id, turn, substr(sha256('s' || (conv_id % 5)::VARCHAR || chr(1) || role || chr(1) || substr(text, 1, 1)), 1, 20) AS h, conv_id * 100 + turn AS p FROM conversations),
+@_register(r"""WITH r AS (SELECT conv_id, turn, substr(sha256('s' || (conv_id % 5)::VARCHAR || chr(1) || role || chr(1) || substr(md5(text), 1, 1)), 1, 20) AS h, conv_id * 100 + turn AS p FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY p) AS n FROM r) SELECT conv_id, turn, h || CASE WHEN n > 1 THEN '_' || n::VARCHAR ELSE '' END AS result_id FROM n""")
 def result_ids(spark, d):
     c = _t(spark, d, "conversations")
-    r = c.select("conv_id", "turn", F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string")).alias("step_id"), F.col("role").alias("tool"), F.substring("text", 1, 1).alias("data"), (F.col("conv_id") * 100 + F.col("turn")).alias("result_pos"))
+    r = c.select("conv_id", "turn", F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string")).alias("step_id"), F.col("role").alias("tool"), F.substring(F.md5(F.col("text").cast("binary")), 1, 1).alias("data"), (F.col("conv_id") * 100 + F.col("turn")).alias("result_pos"))
     return ledger.result_identity(r).select("conv_id", "turn", "result_id")
 
 

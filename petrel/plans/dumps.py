@@ -8,10 +8,10 @@ from petrel.operators import decode, heuristics
 from petrel.plans.registry import _DIM, _register, _t
 
 _CELLS = """doc AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents), place AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM doc),
-cells AS (SELECT doc_id::VARCHAR || ':' || (i // 65536)::VARCHAR AS dump_id, CAST(i % 65536 AS INT) AS addr, CAST((('0x' || substr(h, 2 * i + 1, 2))::INT * 7 + i % 65536 * 13 + 5) % 256 AS INT) AS b FROM place)"""
+cells AS MATERIALIZED (SELECT doc_id::VARCHAR || ':' || (i // 65536)::VARCHAR AS dump_id, CAST(i % 65536 AS INT) AS addr, CAST((('0x' || substr(h, 2 * i + 1, 2))::INT * 7 + i % 65536 * 13 + 5) % 256 AS INT) AS b FROM place)"""
 _CODE = f"""dim(opcode, mnemonic, mode, size) AS (VALUES {_DIM}), {_CELLS},
 l AS (SELECT *, lead(b) OVER w AS b1, lead(b, 2) OVER w AS b2 FROM cells WINDOW w AS (PARTITION BY dump_id ORDER BY addr)),
-code AS (SELECT dump_id, addr, b1, b2, mnemonic, mode, size, CAST(addr + size AS INT) AS next_addr FROM l JOIN dim ON b = opcode WHERE size = 1 OR (size = 2 AND b1 IS NOT NULL) OR b2 IS NOT NULL)"""
+code AS MATERIALIZED (SELECT dump_id, addr, b1, b2, mnemonic, mode, size, CAST(addr + size AS INT) AS next_addr FROM l JOIN dim ON b = opcode WHERE size = 1 OR (size = 2 AND b1 IS NOT NULL) OR b2 IS NOT NULL)"""
 
 
 def _dumps(spark, d):
@@ -55,7 +55,7 @@ def linear_listing(spark, d):
     return decode.linear(_code(spark, d), 0, 200).select("dump_id", "ord", "addr", "mnemonic")
 
 
-@_register(f"""WITH RECURSIVE {_CODE}, step AS (
+@_register(f"""WITH RECURSIVE {_CODE}, step AS MATERIALIZED (
   SELECT dump_id, addr, next_addr AS dst FROM code WHERE mnemonic NOT IN ('rts', 'rti', 'brk', 'jmp')
   UNION ALL SELECT dump_id, addr, CASE WHEN mode = 'rel' THEN (addr + 2 + (b1 + 128) % 256 - 128 + 65536) % 65536 WHEN mode = 'abs' THEN b1 + 256 * b2 END FROM code WHERE mode = 'rel' OR (mnemonic IN ('jsr', 'jmp') AND mode = 'abs')
   UNION ALL SELECT c.dump_id, c.addr, nullif(lo.b + 256 * hi.b, 0) FROM code c JOIN cells lo ON lo.dump_id = c.dump_id AND lo.addr = c.b1 + 256 * c.b2 JOIN cells hi ON hi.dump_id = c.dump_id AND hi.addr = lo.addr + 1 WHERE c.mode = 'ind'

@@ -293,23 +293,24 @@ def operands_canonical(spark, d):
     return _t(spark, d, "part").select("p_partkey", one.alias("operand"), T.label_ref(one).alias("symbol"))
 
 
-_IMAGE = "img AS (SELECT CAST(p_size % 3 AS VARCHAR) AS dump_id, CAST(p_partkey % 4096 AS INT) AS addr, CAST(CASE WHEN p_partkey % 7 = 0 THEN 141 WHEN p_partkey % 7 = 1 THEN 33 WHEN p_partkey % 7 = 2 THEN 208 ELSE p_partkey % 256 END AS INT) AS b FROM part WHERE p_partkey < 4096)"
+_IMAGE = "img AS (SELECT CAST(p_partkey // 4096 * 3 + p_size % 3 AS VARCHAR) AS dump_id, CAST(p_partkey % 4096 AS INT) AS addr, CAST(CASE WHEN p_partkey % 7 = 0 THEN 141 WHEN p_partkey % 7 = 1 THEN 33 WHEN p_partkey % 7 = 2 THEN 208 ELSE p_partkey % 256 END AS INT) AS b FROM part)"
 
 
 def _image(spark, d):
     k = F.col("p_partkey")
     b = F.when(k % 7 == 0, 141).when(k % 7 == 1, 33).when(k % 7 == 2, 208).otherwise(k % 256).cast("int")
-    return _t(spark, d, "part").where("p_partkey < 4096").select(_text(F.col("p_size") % 3).alias("dump_id"), (k % 4096).cast("int").alias("addr"), b.alias("b"))
+    image = (F.floor(k / 4096) * 3 + F.col("p_size") % 3).cast("string")
+    return _t(spark, d, "part").select(image.alias("dump_id"), (k % 4096).cast("int").alias("addr"), b.alias("b"), k)
 
 
-@_register(f"""WITH {_IMAGE}, c AS (SELECT p_partkey AS case_id, CAST(p_size % 3 AS VARCHAR) AS dump_id, CAST(p_partkey % 4096 AS INT) AS want FROM part WHERE p_partkey < 4096 AND p_partkey % 10 = 0)
+@_register(f"""WITH {_IMAGE}, c AS (SELECT p_partkey AS case_id, CAST(p_partkey // 4096 * 3 + p_size % 3 AS VARCHAR) AS dump_id, CAST(p_partkey % 4096 AS INT) AS want FROM part WHERE p_partkey % 10 = 0)
 SELECT case_id, want AS addr, true AS in_range, (SELECT coalesce(bool_or(i.b NOT IN (0, 255)), false) FROM img i WHERE i.dump_id = c.dump_id AND i.addr BETWEEN want AND want + 15) AS alive, case_id % 20 = 0 AS listed_ok FROM c""")
 def anchors_checked(spark, d):
     img = _image(spark, d)
-    at = img.where("addr % 10 = 0")
+    at = img.where("p_partkey % 10 = 0")
     own = F.lpad(F.hex("b"), 2, "0")
-    listing = at.select("dump_id", "addr", F.when(F.col("addr") % 20 == 0, own).otherwise(F.concat(F.lit("zz "), own)).alias("bytes_hex"))
-    return memdiff.validate_anchors(at.select(F.col("addr").cast("long").alias("case_id"), "dump_id", "addr"), img, listing).select("case_id", "addr", "in_range", "alive", "listed_ok")
+    listing = at.select("dump_id", "addr", F.when(F.col("p_partkey") % 20 == 0, own).otherwise(F.concat(F.lit("zz "), own)).alias("bytes_hex"))
+    return memdiff.validate_anchors(at.select(F.col("p_partkey").alias("case_id"), "dump_id", "addr"), img, listing).select("case_id", "addr", "in_range", "alive", "listed_ok")
 
 
 @_register("SELECT CAST(user_id % 3 AS INT) AS high, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id <= 2000 GROUP BY 1")
@@ -337,6 +338,6 @@ def stores_to_address(spark, d):
 @_register(f"""WITH {_ROUTINES}, {_EDGES}, r AS (SELECT * FROM routines WHERE 100 BETWEEN "start" AND "end" ORDER BY "end" - "start", "start" LIMIT 1)
 SELECT DISTINCT e.src, e.dst, e.edge FROM edges e, r WHERE e.dst BETWEEN r."start" AND r."end" AND NOT (e.src BETWEEN r."start" AND r."end")""")
 def callers_of_window(spark, d):
-    code = spark.range(0, 4096, 2).select(F.col("id").cast("int").alias("addr"))
-    refs = spark.createDataFrame([], "src int, dst int, access string")
+    code = _t(spark, d, "part").select(F.col("p_partkey").cast("int").alias("addr"))
+    refs = _t(spark, d, "lineitem").select(F.col("l_partkey").cast("int").alias("src"), (53248 + F.col("l_suppkey")).cast("int").alias("dst"), F.lit("r").alias("access"))
     return graph.routine_window(code, _routines(spark, d), _edges(spark, d), refs, 100)["callers"]

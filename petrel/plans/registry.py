@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrel.functions import isa
@@ -346,23 +346,32 @@ def keep_last_payloads(spark, d):
     return ledger.bound_payloads(c, most=20).select("conv_id", "turn", F.length("data").alias("kept_chars"))
 
 
-_STEPS = [("p", "s1", 1, "kb", "{}", []), ("p", "s2", 2, "disasm", "{}", ["s1"]), ("p", "s3", 3, "kb", "{}", ["s9"]), ("p", "s4", 4, "kb", "{}", []), ("p", "s5", 5, "memdiff", "{}", ["s1"]), ("p", "s6", 6, "emulator", "{}", ["s4"])]
-_RESULTS = [("p", "s1", 1, True, None, None, "done"), ("p", "s4", 2, False, True, None, "timeout"), ("p", "s4", 3, False, True, None, "timeout"), ("p", "s2", 4, False, True, None, "timeout")]
+_CHAIN = """o AS (SELECT CAST(o_custkey AS VARCHAR) AS plan_id, o_orderkey AS k, 's' || o_orderkey AS step_id, 's' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 5 AS p FROM orders),
+dep AS (SELECT plan_id, step_id, k, prev AS dep, CASE p WHEN 0 THEN 'satisfied' WHEN 1 THEN 'exhausted' WHEN 4 THEN 'inconclusive' ELSE 'pending' END AS state FROM o WHERE prev IS NOT NULL UNION ALL SELECT plan_id, step_id, k, 'gone' || k, 'missing' FROM o WHERE k % 11 = 0)"""
 
 
-def _plan(spark):
-    steps = spark.createDataFrame(_STEPS, "plan_id string, step_id string, pos int, tool string, args string, depends_on array<string>")
-    return steps, spark.createDataFrame(_RESULTS, "plan_id string, step_id string, result_pos int, ok boolean, retryable boolean, rejection string, outcome string")
+def _plan(spark, d):
+    """Orders as steps of their customer's plan: each depends on the one before, some on a step that isn't there; by key they have succeeded, failed twice or once, not been tried, or ended without a result."""
+    k = F.col("o_orderkey")
+    before = F.lag(k).over(Window.partitionBy("o_custkey").orderBy(k))
+    deps = F.array_compact(F.array(F.concat(F.lit("s"), before.cast("string")), F.when(k % 11 == 0, F.concat(F.lit("gone"), k.cast("string")))))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("plan_id"), F.concat(F.lit("s"), k.cast("string")).alias("step_id"), k, deps.alias("depends_on"))
+    steps = o.select("plan_id", "step_id", k.alias("pos"), F.lit("kb").alias("tool"), F.lit("{}").alias("args"), "depends_on")
+    tries = F.when(k % 5 == 1, F.array(F.lit(0), F.lit(1))).when(k % 5 == 3, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    results = o.select("plan_id", "step_id", k, F.explode(tries).alias("n"))
+    outcome = F.when(k % 5 == 4, "inconclusive").when(k % 5 == 0, "done").otherwise("timeout")
+    return steps, results.select("plan_id", "step_id", (k * 2 + F.col("n")).alias("result_pos"), (k % 5 == 0).alias("ok"), F.lit(True).alias("retryable"), F.lit(None).cast("string").alias("rejection"), outcome.alias("outcome"))
 
 
-@_register("SELECT * FROM (VALUES ('p', 's5', CAST(0 AS BIGINT), CAST(1 AS INT)), ('p', 's2', 1, 2)) t(plan_id, step_id, fails, turn)")
+@_register(f"""WITH {_CHAIN}, ready AS (SELECT plan_id, step_id, k, CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END::BIGINT AS fails FROM o WHERE k % 5 IN (2, 3) AND NOT EXISTS (SELECT 1 FROM dep WHERE dep.plan_id = o.plan_id AND dep.step_id = o.step_id AND state <> 'satisfied'))
+SELECT plan_id, step_id, fails, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY fails, k) AS INT) AS turn FROM ready""")
 def runnable_steps(spark, d):
-    return ledger.runnable(*_plan(spark)).select("plan_id", "step_id", "fails", "turn")
+    return ledger.runnable(*_plan(spark, d)).select("plan_id", "step_id", "fails", "turn")
 
 
-@_register("SELECT * FROM (VALUES ('p', 's3', 's9', 'dependency s9 is missing'), ('p', 's6', 's4', 'dependency s4 is exhausted')) t(plan_id, step_id, dep, reason)")
+@_register(f"WITH {_CHAIN} SELECT plan_id, step_id, dep, 'dependency ' || dep || ' is ' || state AS reason FROM dep WHERE k % 5 IN (2, 3) AND state <> 'satisfied'")
 def blocked_steps(spark, d):
-    return ledger.blocked(*_plan(spark))
+    return ledger.blocked(*_plan(spark, d))
 
 
 @_register("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
