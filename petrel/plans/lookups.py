@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from petrel.functions import text as T
-from petrel.operators import fold, graph, ledger, memdiff, retrieval
+from petrel.operators import fold, graph, ledger, memdiff, postings, retrieval
 from petrel.plans.catalog import _RESULTS, _STEPS, _ledger
 from petrel.plans.registry import _EDGES, _ROUTINES, _edges, _register, _routines, _t
 
@@ -341,3 +341,10 @@ def callers_of_window(spark, d):
     code = _t(spark, d, "part").select(F.col("p_partkey").cast("int").alias("addr"))
     refs = _t(spark, d, "lineitem").select(F.col("l_partkey").cast("int").alias("src"), (53248 + F.col("l_suppkey")).cast("int").alias("dst"), F.lit("r").alias("access"))
     return graph.routine_window(code, _routines(spark, d), _edges(spark, d), refs, 100)["callers"]
+
+
+@_register("SELECT doc_id, CAST(instr(lower(text), 'ening the') - 1 AS INT) AS match_at FROM documents WHERE contains(lower(text), 'ening the')")
+def text_by_trigrams(spark, d):
+    """All documents with a phrase, by the postings of its trigrams."""
+    docs = _t(spark, d, "documents")
+    return postings.containing(docs, postings.postings(docs, "doc_id", "text"), "ENing the", "doc_id", "text")
