@@ -37,6 +37,26 @@ def snapshot_diff(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("dump_id"
     return d.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
+def named_diff(cells: DataFrame, pairs: DataFrame, shown: int = 256, exclude_io: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Composite diffs of named snapshots (Z10): a summary row per pair, and the first ``shown`` changes of each by address.
+
+    ``cells``: ``name, addr, b``; ``pairs``: ``pair_id, a, b``, names.  The summary has ``pair_id,
+    problem, changed`` and the counts ``by_region`` over all changes; a pair that names a snapshot
+    that isn't there has a problem and no changes.
+    """
+    names = cells.select("name").distinct()
+    there = pairs.join(names.select(F.col("name").alias("a"), F.lit(True).alias("_a")), "a", "left").join(names.select(F.col("name").alias("b"), F.lit(True).alias("_b")), "b", "left")
+    problem = F.when(F.col("_a").isNull(), F.concat(F.lit("no snapshot "), "a")).when(F.col("_b").isNull(), F.concat(F.lit("no snapshot "), "b"))
+    good = there.where("_a and _b").select("pair_id", "a", F.col("b").alias("to"))
+    left = good.join(cells.withColumnRenamed("name", "a"), "a").select("pair_id", "addr", "b")
+    right = good.join(cells.select(F.col("name").alias("to"), "addr", "b"), "to").select("pair_id", "addr", "b")
+    diff = snapshot_diff(left, right, ("pair_id",), None, exclude_io, 0x10000)
+    counts = region_histogram(diff, ("pair_id",)).groupBy("pair_id").agg(F.sum("n").alias("changed"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "n")))).alias("by_region"))
+    summary = there.select("pair_id", problem.alias("problem")).join(counts, "pair_id", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("addr"))
+    return summary, diff.withColumn("_n", place).where(F.col("_n") <= shown).drop("_n")
+
+
 def monotonic_scan(series: DataFrame, delta: int = -1, keys: tuple[str, ...] = ("dump_id",), regions: tuple[str, ...] = STATE_REGIONS) -> DataFrame:
     """Addresses that change by ``delta`` from every snapshot to the next.
 

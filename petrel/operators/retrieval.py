@@ -38,6 +38,27 @@ def search_text(docs: DataFrame, query: str, limit: int = 10, chars: int = 240,
     return top.select(key, at.alias("match_at"), "words", T.snippet(F.col(content), anchor, chars).alias("snippet"))
 
 
+def term_hits(docs: DataFrame, terms: Sequence[str], most: int = 20, key: str = "path", content: str = "content") -> DataFrame:
+    """``key, distinct_terms, occurrences, score`` of documents with any of the terms (G10): 100 per distinct term, and an occurrence each up to ``most``.
+
+    Occurrences don't overlap; case doesn't matter; terms that are equal then count once.
+    """
+    wanted = F.array_distinct(F.array(*[F.lit(t.lower()) for t in terms if t]).cast("array<string>"))
+    low = F.lower(F.coalesce(content, F.lit("")))
+    count = lambda t: ((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t)).cast("long")
+    rows = docs.select(key, low.alias("_low")).withColumn("_n", F.transform(wanted, count))
+    sums = F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n)
+    rows = rows.select(key, F.size(F.filter("_n", lambda n: n > 0)).alias("distinct_terms"), sums.alias("occurrences")).where("distinct_terms > 0")
+    return rows.withColumn("score", 100 * F.col("distinct_terms") + F.least(F.col("occurrences"), F.lit(most)))
+
+
+def preview(rows: DataFrame, columns: Sequence[str], chars: int = 200, addresses: Sequence[str] = ()) -> DataFrame:
+    """The columns asked for, texts cut to a preview, and ``<c>_hex`` beside each address, null where it is (F8)."""
+    types = dict(rows.dtypes)
+    shown = [F.substring(F.col(f"`{c}`"), 1, chars).alias(c) if types[c] == "string" else F.col(f"`{c}`") for c in columns]
+    return rows.select(*shown, *[T.hex_label(F.col(f"`{c}`")).alias(f"{c}_hex") for c in addresses])
+
+
 def search_notes(docs: DataFrame, terms: Sequence[str], limit: int = 10, key: str = "path", content: str = "content") -> DataFrame:
     """First hit of each term per document, each place once (R2)."""
     t = docs.select(key, content, F.explode(F.array(*[F.lit(x.lower()) for x in terms])).alias("term"))

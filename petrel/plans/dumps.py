@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from petrel.operators import decode, heuristics
+from petrel.operators import decode, heuristics, memdiff
 from petrel.plans.registry import _DIM, _register, _t
 
 _CELLS = """doc AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents), place AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM doc),
@@ -82,3 +82,16 @@ def memory_dump(spark, d):
     """Sixteen bytes a line."""
     rows = decode.memory_lines(_cells(spark, d))
     return rows.select("dump_id", "addr", F.trim(F.regexp_extract(F.regexp_replace("line", r"^\S+\s+", ""), r"^((?:[0-9A-F]{2}(?: |$))+)", 1)).alias("bytes"))
+
+
+@_register(f"""WITH {_CELLS}, names AS (SELECT DISTINCT dump_id FROM cells), pairs AS (SELECT doc_id AS pair_id, doc_id::VARCHAR || ':0' AS a, (doc_id + 1)::VARCHAR || ':0' AS b FROM documents),
+d AS (SELECT pair_id, x.addr FROM pairs JOIN cells x ON x.dump_id = a JOIN cells y ON y.dump_id = pairs.b AND y.addr = x.addr WHERE x.b <> y.b AND NOT (x.addr BETWEEN 53248 AND 55295 OR x.addr BETWEEN 56320 AND 57343)),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY addr) AS k FROM d), s AS (SELECT pair_id, count(*) AS changed, max(addr) FILTER (k <= 256)::INT AS last_shown FROM n GROUP BY 1)
+SELECT p.pair_id, CASE WHEN p.a NOT IN (FROM names) THEN 'no snapshot ' || p.a WHEN p.b NOT IN (FROM names) THEN 'no snapshot ' || p.b END AS problem, coalesce(changed, 0) AS changed, last_shown FROM pairs p LEFT JOIN s USING (pair_id)""")
+def named_diffs(spark, d):
+    """Each document's image against the next one's: all changes counted, the first 256 shown."""
+    cells = _cells(spark, d).withColumnRenamed("dump_id", "name")
+    k = F.col("doc_id")
+    pairs = _t(spark, d, "documents").select(k.alias("pair_id"), F.concat(k.cast("string"), F.lit(":0")).alias("a"), F.concat((k + 1).cast("string"), F.lit(":0")).alias("b"))
+    summary, shown = memdiff.named_diff(cells, pairs)
+    return summary.join(shown.groupBy("pair_id").agg(F.max("addr").alias("last_shown")), "pair_id", "left").select("pair_id", "problem", "changed", "last_shown")

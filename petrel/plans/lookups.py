@@ -348,3 +348,15 @@ def text_by_trigrams(spark, d):
     """All documents with a phrase, by the postings of its trigrams."""
     docs = _t(spark, d, "documents")
     return postings.containing(docs, postings.postings(docs, "doc_id", "text"), "ENing the", "doc_id", "text")
+
+
+@_register("""WITH t(term) AS (VALUES ('ing'), ('the '), ('zzzq'), ('über')), h AS (SELECT doc_id, term, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS n FROM documents, t)
+SELECT doc_id, count_if(n > 0)::INT AS distinct_terms, sum(n)::BIGINT AS occurrences, (100 * count_if(n > 0) + least(sum(n), 20))::BIGINT AS score FROM h GROUP BY doc_id HAVING count_if(n > 0) > 0""")
+def terms_counted(spark, d):
+    return retrieval.term_hits(_t(spark, d, "documents"), ["ING", "the ", "zzzq", "über", "ing"], key="doc_id", content="text")
+
+
+@_register("SELECT p_partkey, substr(p_name, 1, 7) AS p_name, p_size, '$' || printf('%04X', p_partkey % 65536) AS addr_hex FROM part")
+def parts_previewed(spark, d):
+    rows = _t(spark, d, "part").withColumn("addr", (F.col("p_partkey") % 65536).cast("int"))
+    return retrieval.preview(rows, ["p_partkey", "p_name", "p_size"], 7, ["addr"])

@@ -225,3 +225,21 @@ def test_stream_equals_batch(spark, tmp_path, rows):
         incremental.fold_batches(log, f"{tmp_path}/view", f"{tmp_path}/check", keys).awaitTermination()
     got = incremental.current_view(spark, f"{tmp_path}/view", spark.createDataFrame([], schema).schema, keys)
     assert rows(got.select("addr", "log_pos")) == rows(fold.strongest_write(spark.createDataFrame(data, schema), keys).select("addr", "log_pos"))
+
+
+def test_term_hits_and_previews(spark, rows):
+    d = spark.createDataFrame([("a", "Aaa aa ABC"), ("b", None), ("c", "abc " * 30), ("d", "")], "path string, content string")
+    assert rows(retrieval.term_hits(d, ["AA", "abc", "abc", ""])) == [("a", 2, 3, 203), ("c", 1, 30, 120)]
+    t = spark.createDataFrame([("long text", 0xD020, 1), (None, None, 2)], "t string, addr int, n int")
+    assert rows(retrieval.preview(t, ["t", "n"], 4, ["addr"])) == [("long", 1, "$D020"), (None, 2, None)]
+
+
+def test_named_diffs(spark, rows):
+    from petrel.operators import memdiff
+
+    cells = spark.createDataFrame([("a", i, 0) for i in range(600)] + [("b", i, i % 2) for i in range(600)] + [("b", 0xD000, 1), ("a", 0xD000, 0)], "name string, addr int, b int")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "nope"), (3, "gone", "b"), (4, "a", "a")], "pair_id int, a string, b string")
+    summary, shown = memdiff.named_diff(cells, pairs, shown=10)
+    assert rows(summary.select("pair_id", "problem", "changed")) == [(1, None, 300), (2, "no snapshot nope", 0), (3, "no snapshot gone", 0), (4, None, 0)]
+    assert summary.where("pair_id = 1").first()["by_region"]["zero_page"] == 127
+    assert [r["addr"] for r in shown.orderBy("addr").collect()] == list(range(1, 20, 2))
