@@ -85,7 +85,8 @@ def memory_dump(spark, d):
 
 
 @_register(f"""WITH {_CELLS}, names AS (SELECT DISTINCT dump_id FROM cells), pairs AS (SELECT doc_id AS pair_id, doc_id::VARCHAR || ':0' AS a, (doc_id + 1)::VARCHAR || ':0' AS b FROM documents),
-d AS (SELECT pair_id, x.addr FROM pairs JOIN cells x ON x.dump_id = a JOIN cells y ON y.dump_id = pairs.b AND y.addr = x.addr WHERE x.b <> y.b AND NOT (x.addr BETWEEN 53248 AND 55295 OR x.addr BETWEEN 56320 AND 57343)),
+x AS MATERIALIZED (SELECT pair_id, addr, cells.b FROM pairs JOIN cells ON dump_id = a), y AS MATERIALIZED (SELECT pair_id, addr, cells.b FROM pairs JOIN cells ON dump_id = pairs.b),
+d AS (SELECT pair_id, addr FROM x JOIN y USING (pair_id, addr) WHERE x.b <> y.b AND NOT (addr BETWEEN 53248 AND 55295 OR addr BETWEEN 56320 AND 57343)),
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY addr) AS k FROM d), s AS (SELECT pair_id, count(*) AS changed, max(addr) FILTER (k <= 256)::INT AS last_shown FROM n GROUP BY 1)
 SELECT p.pair_id, CASE WHEN p.a NOT IN (FROM names) THEN 'no snapshot ' || p.a WHEN p.b NOT IN (FROM names) THEN 'no snapshot ' || p.b END AS problem, coalesce(changed, 0) AS changed, last_shown FROM pairs p LEFT JOIN s USING (pair_id)""")
 def named_diffs(spark, d):
