@@ -332,23 +332,23 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _neighbours(keys: DataFrame, reach: int, *order: Column | str) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes that share a key, at most ``reach`` nodes apart in its ``order``."""
+    """Distinct pairs ``a < b`` of nodes of ``key, node, part`` that share a key but no part, at most ``reach`` nodes apart in its ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 2
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             fresh = len(held[0])
-            key, node = (np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
+            key, node, part = (np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
             again = np.zeros(len(key), bool)  # a node that several tasks gave
             again[max(1, fresh) :] = ((key[1:] == key[:-1]) & (node[1:] == node[:-1]))[max(1, fresh) - 1 :]
-            key, node = key[~again], node[~again]
+            key, node, part = key[~again], node[~again], part[~again]
             for o in range(1, reach + 1):
                 i = np.arange(max(0, fresh - o), len(node) - o)
-                i = i[key[i] == key[i + o]]
+                i = i[(key[i] == key[i + o]) & (part[i] != part[i + o])]
                 if len(i):
                     a, b = node[i], node[i + o]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            held = [key[-reach:], node[-reach:]]
+            held = [key[-reach:], node[-reach:], part[-reach:]]
 
     rows = keys.repartition("key").sortWithinPartitions("key", *order)
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -410,17 +410,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     rows = saved(_sketches(docs), "sketches")
     keys = rows.where("keys is not null").select("node", "keys")
-    chain = saved(_neighbours(keys.select(F.explode("keys").alias("key"), "node"), 1, "node"), "chain")
+    chain = saved(_neighbours(keys.select(F.explode("keys").alias("key"), "node", F.col("node").alias("part")), 1, "node"), "chain")
     ends = saved(chain.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     holders = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("o").alias("o"))
     sets = saved(_shingle_sets(docs, holders), "sets")
     links = saved(_similar(chain, sets), "links")
     parts = saved(connected_components(links, "a", "b"), "parts")
-    some = keys.join(ends, "node", "left_semi").select(F.explode("keys").alias("key"), "node")
-    pairs = _neighbours(some, STAGE_REACH, F.xxhash64("key", "node"))
-    for end in "ab":
-        pairs = pairs.join(parts.withColumnsRenamed({"node": end, "component": f"p{end}"}), end, "left")
-    pairs = saved(pairs.where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b").join(chain, ["a", "b"], "left_anti"), "pairs")
+    some = keys.join(ends, "node", "left_semi").join(parts.withColumnRenamed("component", "part"), "node", "left")
+    some = some.select(F.explode("keys").alias("key"), "node", F.coalesce("part", "node").alias("part"))  # linked ones need not meet again
+    pairs = saved(_neighbours(some, STAGE_REACH, F.xxhash64("key", "node")).join(chain, ["a", "b"], "left_anti"), "pairs")
     links = saved(links.unionByName(_similar(pairs, sets)), "links")
     parts = saved(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "parts")
     nodes = rows.groupBy("node").agg(F.min("o").alias("least")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
