@@ -48,9 +48,15 @@ def prose_addresses(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(ranges, singles), lambda x: F.conv(x, 16, 10).cast("int")))
 
 
+def hex_digits(number: Column, digits: int) -> Column:
+    """Capital hex digits, so many at least; larger numbers keep all of theirs, which a plain ``lpad`` would cut."""
+    h = F.hex(number.cast("long"))
+    return F.lpad(h, F.greatest(F.length(h), F.lit(digits)), "0")
+
+
 def hex_label(addr: Column, digits: int = 4) -> Column:
     """``$C000`` style."""
-    return F.concat(F.lit("$"), F.lpad(F.hex(addr.cast("long")), digits, "0"))
+    return F.concat(F.lit("$"), hex_digits(addr, digits))
 
 
 def signed_delta(new: Column, old: Column) -> Column:

@@ -43,7 +43,7 @@ def routines(code: DataFrame, labels: DataFrame, gaps: DataFrame, key: str = "so
     )
     first_of = lambda a: F.when(F.size(a) > 0, a[0]["name"])
     own = F.coalesce("_first", F.array().cast("array<struct<ord:int,name:string>>"))
-    name = F.coalesce(first_of(F.filter(own, lambda x: _boundary_name(x["name"]))), first_of(own), F.concat(F.lit("sub_"), F.lower(F.lpad(F.hex("start_addr"), 4, "0"))))
+    name = F.coalesce(first_of(F.filter(own, lambda x: _boundary_name(x["name"]))), first_of(own), F.concat(F.lit("sub_"), F.lower(T.hex_digits(F.col("start_addr"), 4))))
     return g.select(key, "start_addr", "end_addr", name.alias("name"), F.when(F.size("_entries") > 0, F.col("_entries")).otherwise(F.array("start_addr")).alias("entries"), "exits")
 
 
