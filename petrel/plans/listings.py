@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from petrel.functions import text as T
 from petrel.operators import layer0
 from petrel.plans.registry import _register, _t
 from petrel.sources import files
@@ -21,7 +22,7 @@ def _rows(spark, d):
 
 
 def _hex(c, n):
-    return F.lpad(F.hex(c), n, "0")
+    return T.hex_digits(F.col(c) if isinstance(c, str) else c, n)
 
 
 def _listing(spark, d):

@@ -48,7 +48,8 @@ def split_lines(docs: DataFrame, key: str, content: str = "content") -> DataFram
 
 _INSTRUCTION = r"^\s*\$?([0-9a-fA-F]{4})\s*:?\s+((?:[0-9a-fA-F]{2}\s){0,3}[0-9a-fA-F]{2})\s+([A-Za-z]{2,4})(?:\s+(.*?))?\s*$"
 _LABEL = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(?:;.*)?$"
-_GAP = r"(?i)gap[: \t]*\$?([0-9a-f]{4})\s*[-–—]\s*\$?([0-9a-f]{4})"
+# Ends of a gap are read whole where they are numbers of five to seven digits, which writers of four digits at least make of ends beyond $FFFF.
+_GAP = r"(?i)gap[: \t]*\$?([0-9a-f]{4,7})\s*[-–—]\s*\$?([0-9a-f]{4,7}\b|[0-9a-f]{4})"
 
 
 def classify_lines(lines: DataFrame, key: str = "source_file") -> DataFrame:

@@ -10,3 +10,8 @@ from petrel.sources import files
 def test_addresses_of_five_digits_stay_whole(spark):
     r = spark.createDataFrame([(0x10110,), (0xD0,)], "a long").select(T.hex_label(F.col("a")).alias("h"), T.hex_label(F.col("a"), 2).alias("two")).collect()
     assert [tuple(x) for x in r] == [("$10110", "$10110"), ("$00D0", "$D0")]
+
+
+def test_gaps_beyond_the_image_are_read_whole(spark, rows):
+    lines = spark.createDataFrame([("f", 1, "; gap $FFF0-$10010"), ("f", 2, "; gap $1000-$2000bytes"), ("f", 3, "; gap $2000-$1000")], "source_file string, line_no long, line string")
+    assert rows(files.parse_listing(lines)["gaps"].select("gap_start", "gap_end")) == [(0x1000, 0x2000), (0xFFF0, 0x10010)]
