@@ -31,13 +31,19 @@ def strongest_write(log: DataFrame, keys: Sequence[str], confidence: str = "conf
 def number_log(log: DataFrame, *order: str) -> DataFrame:
     """``log_pos`` 1..N in append order, an id that comes again keeping its number.
 
-    Appends are numbered from per-partition counts, so no task holds the whole log.
+    ``order`` is total. Rows are dealt to ranges by bounds that are values, so that counts and places
+    refer to the same ranges however often, and on whatever partitions, Spark computes them; bounds
+    only balance the ranges, and no task holds the whole log.
     """
     once = first_write(log.withColumn("_k", F.struct(*order)), ["id"], "_k").drop("_k")
-    ranged = once.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    return ranged.join(base, "_part").withColumn("log_pos", F.col("_base") + F.col("_at") - F.col("_from") + 1).drop("_part", "_at", "_n", "_from", "_base")
+    firsts = log.select(F.struct(*order).alias("_k")).repartitionByRange("_k").groupBy(F.spark_partition_id()).agg(F.min("_k").alias("_k")).select("_k")
+    bounds = log.sparkSession.createDataFrame(firsts.collect(), firsts.schema)  # a row per partition
+    ranges = F.broadcast(bounds.agg(F.array_sort(F.collect_list("_k")).alias("_bounds")))
+    ranged = once.crossJoin(ranges).withColumn("_range", F.size(F.filter("_bounds", lambda x: x <= F.struct(*order)))).drop("_bounds")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    base = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row per range
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_at", at).join(F.broadcast(base), "_range").withColumn("log_pos", F.col("_base") + F.col("_at")).drop("_range", "_at", "_base")
 
 
 def views(events: DataFrame) -> dict[str, DataFrame]:

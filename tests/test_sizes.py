@@ -15,3 +15,17 @@ def test_addresses_of_five_digits_stay_whole(spark):
 def test_gaps_beyond_the_image_are_read_whole(spark, rows):
     lines = spark.createDataFrame([("f", 1, "; gap $FFF0-$10010"), ("f", 2, "; gap $1000-$2000bytes"), ("f", 3, "; gap $2000-$1000")], "source_file string, line_no long, line string")
     assert rows(files.parse_listing(lines)["gaps"].select("gap_start", "gap_end")) == [(0x1000, 0x2000), (0xFFF0, 0x10010)]
+
+
+def test_numbers_are_one_to_n_in_order_over_many_partitions(spark):
+    log = spark.range(0, 40_000, 1, 16).select(F.col("id").cast("string").alias("id"), F.pmod(F.col("id") * 7919, F.lit(40_009)).alias("at"))
+    late = log.where("at % 9 = 0").withColumn("at", F.col("at") + 100_000)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set(key, "false")
+    try:
+        got = sorted((r["log_pos"], r["at"]) for r in fold.number_log(log.unionByName(late), "at").select("log_pos", "at").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset(key)
+    assert [n for n, _ in got] == list(range(1, 40_001)) and [a for _, a in got] == sorted(a for _, a in got)
