@@ -164,8 +164,8 @@ def hypothesis_states(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
     rest = rest.where(F.length("ref") >= 4)
     lengths = [r[0] for r in rest.select(F.length("ref")).distinct().collect()]  # lengths of ids: a few numbers
     heads = F.array_distinct(F.array(*[F.substring("hyp_id", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    prefixed = rest.join(hypotheses.select("hyp_id", F.explode(heads).alias("ref")), "ref")
-    prefixed = prefixed.withColumn("n", F.count("*").over(Window.partitionBy("ref", "log_pos"))).where("n = 1").withColumn("rank", F.lit(2))
+    fits = hypotheses.select("hyp_id", F.explode(heads).alias("ref")).groupBy("ref").agg(F.min("hyp_id").alias("hyp_id"), F.max("hyp_id").alias("_last"))
+    prefixed = rest.join(fits.where("hyp_id = _last"), "ref").withColumn("rank", F.lit(2))  # a prefix that fits many ids meets none of them
     cols = ["hyp_id", "status", "evidence", "log_pos", "rank"]
     one = Window.partitionBy("hyp_id", "log_pos").orderBy("rank")
     hits = exact.select(*cols).unionByName(prefixed.select(*cols)).withColumn("turn", F.row_number().over(one)).where("turn = 1")
