@@ -71,10 +71,11 @@ def parse_listing(lines: DataFrame, key: str = "source_file") -> dict[str, DataF
     A label belongs to the next instruction, one after the last instruction to that one.
     """
     c = classify_lines(lines, key)
-    w = Window.partitionBy(key).orderBy("line_no")
+    ahead, behind = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.desc("line_no"), F.asc("line_no")))  # growing frames only: one that shrinks is summed anew for each line
     size = F.size(F.split("bytes_hex", r"\s+"))
     code = c.where("type = 'instruction'").select(key, "line_no", "addr", "bytes_hex", "mnemonic", T.canonical_operand(F.col("raw_operand")).alias("operand"), "raw_operand", size.alias("size"))
-    placed = c.withColumns({"_next": F.first("addr", True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_last": F.last("addr", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    placed = c.where("type in ('instruction', 'label')").select(key, "line_no", "type", "addr", "label")
+    placed = placed.withColumn("_next", F.last("addr", True).over(ahead)).withColumn("_last", F.last("addr", True).over(behind))
     labels = placed.where("type = 'label'").select(key, F.coalesce("_next", "_last").alias("addr"), F.col("label").alias("name"), F.col("line_no").alias("ord")).where("addr is not null")
     gaps = c.where("gap_start is not null and gap_end >= gap_start").select(key, "gap_start", "gap_end")
     counters = c.groupBy(key).agg(F.count("*").alias("total_lines"), F.count_if(F.col("type") == "skipped").alias("skipped_lines"))

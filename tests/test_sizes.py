@@ -40,3 +40,10 @@ def test_a_prefix_that_fits_many_makes_no_pairs(spark):
     assert {r["hyp_id"]: r["status"] for r in made.where("status <> 'open'").collect()} == {"hyp-2999": "kept", "hyp-299": "exact"}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(ref" not in plan  # what a prefix fits is settled before it meets updates, not on their pairs
+
+
+def test_labels_of_a_long_listing_are_placed_by_growing_frames(spark, rows):
+    lines = spark.createDataFrame([("f", 1, "a:"), ("f", 2, "; note"), ("f", 3, "b:"), ("f", 4, "1000 60 rts"), ("f", 5, "c:"), ("g", 1, "d:")], "source_file string, line_no long, line string")
+    labels = files.parse_listing(lines)["labels"]
+    assert rows(labels.select("name", "addr", "ord")) == [("a", 0x1000, 1), ("b", 0x1000, 3), ("c", 0x1000, 5)]
+    assert "unboundedfollowing" not in labels._jdf.queryExecution().optimizedPlan().toString().lower()
