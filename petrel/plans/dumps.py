@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from petrel.operators import decode, heuristics, memdiff
 from petrel.plans.registry import _DIM, _register, _t
@@ -27,6 +30,19 @@ def _cells(spark, d):
     return decode.dump_bytes(_dumps(spark, d)).withColumn("b", ((F.col("b") * 7 + F.col("addr") * 13 + 5) % 256).cast("int"))
 
 
+@F.pandas_udf(BinaryType())
+def _shifted(content: pd.Series) -> pd.Series:
+    def shift(raw: bytes) -> bytes:
+        b = np.frombuffer(raw, np.uint8).astype(np.int64)
+        return ((b * 7 + np.arange(len(b)) * 13 + 5) % 256).astype(np.uint8).tobytes()
+
+    return content.map(shift)
+
+
+def _shifted_images(spark, d):
+    return decode.images(_dumps(spark, d)).withColumn("content", _shifted("content"))
+
+
 def _code(spark, d):
     return decode.decode_all(_cells(spark, d))
 
@@ -91,8 +107,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY addr) AS k FROM
 SELECT p.pair_id, CASE WHEN p.a NOT IN (FROM names) THEN 'no snapshot ' || p.a WHEN p.b NOT IN (FROM names) THEN 'no snapshot ' || p.b END AS problem, coalesce(changed, 0) AS changed, last_shown FROM pairs p LEFT JOIN s USING (pair_id)""")
 def named_diffs(spark, d):
     """Each document's image against the next one's: all changes counted, the first 256 shown."""
-    cells = _cells(spark, d).withColumnRenamed("dump_id", "name")
     k = F.col("doc_id")
     pairs = _t(spark, d, "documents").select(k.alias("pair_id"), F.concat(k.cast("string"), F.lit(":0")).alias("a"), F.concat((k + 1).cast("string"), F.lit(":0")).alias("b"))
-    summary, shown = memdiff.named_diff(cells, pairs)
-    return summary.join(shown.groupBy("pair_id").agg(F.max("addr").alias("last_shown")), "pair_id", "left").select("pair_id", "problem", "changed", "last_shown")
+    found = memdiff.image_diffs(_shifted_images(spark, d), pairs)
+    return found.select("pair_id", "problem", "changed", F.try_element_at("shown", F.lit(-1))["addr"].alias("last_shown"))
