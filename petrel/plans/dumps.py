@@ -79,9 +79,8 @@ def linear_listing(spark, d):
 SELECT dump_id, count(*) AS n, sum(addr)::BIGINT AS addrs FROM seen GROUP BY ALL""")
 def recursive_listing(spark, d):
     """What is reached from the first byte of every image, over calls, jumps and branches."""
-    cells = _cells(spark, d)
     entries = _dumps(spark, d).select("dump_id", F.lit(0).alias("entry"))
-    code = decode.recursive(decode.decode_all(cells), cells, entries, most=decode.IMAGE, vectors_too=False)
+    code = decode.recursive_images(_shifted_images(spark, d), entries, most=decode.IMAGE, vectors_too=False)
     return code.groupBy("dump_id").agg(F.count("*").alias("n"), F.sum("addr").alias("addrs"))
 
 
