@@ -95,7 +95,7 @@ def stores_into_code(spark, d):
 @_register(f"""WITH {_CELLS} SELECT dump_id, CAST(addr // 16 * 16 AS INT) AS addr, string_agg(printf('%02X', b), ' ' ORDER BY cells.addr) AS bytes FROM cells GROUP BY dump_id, addr // 16""")
 def memory_dump(spark, d):
     """Sixteen bytes a line."""
-    rows = decode.memory_lines(_cells(spark, d))
+    rows = decode.image_lines(_shifted_images(spark, d))
     return rows.select("dump_id", "addr", F.trim(F.regexp_extract(F.regexp_replace("line", r"^\S+\s+", ""), r"^((?:[0-9A-F]{2}(?: |$))+)", 1)).alias("bytes"))
 
 
