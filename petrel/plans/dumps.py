@@ -68,7 +68,7 @@ def data_refs(spark, d):
 UNION ALL SELECT c.dump_id, ord + 1, c.addr, c.mnemonic, c.next_addr FROM walk w JOIN code c ON c.dump_id = w.dump_id AND c.addr = w.next_addr WHERE ord < 199)
 SELECT dump_id, CAST(ord AS INT) AS ord, addr, mnemonic FROM walk""")
 def linear_listing(spark, d):
-    return decode.linear(_code(spark, d), 0, 200).select("dump_id", "ord", "addr", "mnemonic")
+    return decode.linear_images(_shifted_images(spark, d), 0, 200).select("dump_id", "ord", "addr", "mnemonic")
 
 
 @_register(f"""WITH RECURSIVE {_CODE}, step AS MATERIALIZED (
