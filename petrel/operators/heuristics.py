@@ -16,10 +16,20 @@ VIC, SID = (0xD000, 0xD3FF), (0xD400, 0xD7FF)
 
 
 def _stream(code: DataFrame) -> DataFrame:
-    f = T.operand_facts(F.col("op_str"))
+    f = _mode_facts() if "points_to" in code.columns else T.operand_facts(F.col("op_str"))
     return code.withColumns({"mnemonic": F.lower("mnemonic"), "dst": f["addr"], "index": f["index"], "indirect": f["indirect"]})
 
 
+def _mode_facts() -> dict[str, Column]:
+    """``T.operand_facts`` of code that still has its modes and operands as numbers, whose text needs no parsing."""
+    mode = F.col("mode")
+    memory = ~mode.isin("imm", "acc", "imp")
+    return {
+        "addr": F.when(memory, F.col("points_to")), "index": F.when(mode.isin("zpx", "absx", "indx"), "x").when(mode.isin("zpy", "absy", "indy"), "y"),
+        "indirect": F.when(memory, mode.isin("ind", "indx", "indy")),
+    }
+
+
 def _order(dump: str = "dump_id") -> Window:
     return Window.partitionBy(dump).orderBy("addr")
 
@@ -31,12 +41,23 @@ def data_refs(code: DataFrame) -> DataFrame:
 
 
 def self_modifying(code: DataFrame) -> DataFrame:
-    """Stores into known instruction starts; otherwise indexed stores into program RAM."""
+    """Stores into known instruction starts; otherwise indexed stores into program RAM.
+
+    Code of ``decode.decode_images`` knows the starts of its image, so nothing is joined.
+    """
+    if "into_start" in code.columns:
+        f = _mode_facts()
+        target = F.when(F.col("mode").isin("abs", "absx", "absy") & (F.col("points_to") > 0xFF), F.col("points_to"))
+        s = code.where(F.lower("mnemonic").isin(*isa.STORES)).withColumns({"target": target, "index": f["index"], "hit": F.col("into_start"), "wide": F.col("mode").isin("absx", "absy")})
+        return _smc_sites(s.where("target is not null"))
     s = code.where(F.lower("mnemonic").isin(*isa.STORES)).withColumns({"target": T.store_target(F.col("op_str")), "index": T.operand_facts(F.col("op_str"))["index"]})
     starts = code.select("dump_id", F.col("addr").alias("target"), F.lit(True).alias("hit")).distinct()
     s = s.join(starts, ["dump_id", "target"], "left")
-    wide = F.col("op_str").rlike(r"^(?:0[xX]|\$)[0-9A-Fa-f]{3,4}\s*,\s*[xyXY]$")
-    kind = F.when(F.col("hit"), "absolute_into_code").when(wide & F.col("target").between(0x0800, 0xCFFF), "indexed_into_program_ram")
+    return _smc_sites(s.withColumn("wide", F.col("op_str").rlike(r"^(?:0[xX]|\$)[0-9A-Fa-f]{3,4}\s*,\s*[xyXY]$")))
+
+
+def _smc_sites(s: DataFrame) -> DataFrame:
+    kind = F.when(F.col("hit"), "absolute_into_code").when(F.col("wide") & F.col("target").between(0x0800, 0xCFFF), "indexed_into_program_ram")
     return s.withColumn("kind", kind).where("kind is not null").select("dump_id", F.col("addr").alias("site"), F.lower("mnemonic").alias("mnemonic"), F.col("target").alias("writes_to"), "index", "kind")
 
 

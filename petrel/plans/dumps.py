@@ -26,10 +26,6 @@ def _dumps(spark, d):
     return docs.select(F.concat_ws(":", "doc_id", "k").alias("dump_id"), F.substring("raw", F.col("k") * decode.IMAGE + 1, F.lit(decode.IMAGE)).alias("content"))
 
 
-def _cells(spark, d):
-    return decode.dump_bytes(_dumps(spark, d)).withColumn("b", ((F.col("b") * 7 + F.col("addr") * 13 + 5) % 256).cast("int"))
-
-
 @F.pandas_udf(BinaryType())
 def _shifted(content: pd.Series) -> pd.Series:
     def shift(raw: bytes) -> bytes:
@@ -44,7 +40,7 @@ def _shifted_images(spark, d):
 
 
 def _code(spark, d):
-    return decode.decode_all(_cells(spark, d))
+    return decode.decode_images(_shifted_images(spark, d))
 
 
 @_register(f"WITH {_CODE} SELECT dump_id, mnemonic, mode, count(*) AS n, sum(addr)::BIGINT AS addrs, sum(next_addr)::BIGINT AS ends FROM code GROUP BY ALL")

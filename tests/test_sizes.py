@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from petrel.functions import text as T
-from petrel.operators import fold
+from petrel.operators import decode, fold, heuristics, memdiff
 from petrel.sources import files
 
 
@@ -47,3 +47,45 @@ def test_labels_of_a_long_listing_are_placed_by_growing_frames(spark, rows):
     labels = files.parse_listing(lines)["labels"]
     assert rows(labels.select("name", "addr", "ord")) == [("a", 0x1000, 1), ("b", 0x1000, 3), ("c", 0x1000, 5)]
     assert "unboundedfollowing" not in labels._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def image_rows(spark, image):
+    short = bytes(range(256)) * 3 + b"\x4c"  # ends inside an instruction
+    return spark.createDataFrame([("d0", bytearray(image)), ("d1", bytearray(short)), ("d2", bytearray(b"")), ("d3", bytearray(b"\x8d\x00"))], "dump_id string, content binary")
+
+
+def exchanges(df):
+    """Shuffles by address or of single bytes would be exchanges of the plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+
+
+def test_images_decode_as_their_bytes_do_without_a_shuffle(spark, rows, image):
+    d = image_rows(spark, image)
+    by_bytes, whole = decode.decode_all(decode.dump_bytes(d)), decode.decode_images(d)
+    assert rows(whole.drop("points_to", "into_start")) == rows(by_bytes) and exchanges(whole) == 0
+    assert rows(heuristics.data_refs(whole)) == rows(heuristics.data_refs(by_bytes))
+    assert rows(heuristics.self_modifying(whole)) == rows(heuristics.self_modifying(by_bytes)) and exchanges(heuristics.self_modifying(whole)) == 0
+
+
+def test_walks_of_images_equal_those_of_decoded_rows(spark, rows, image):
+    d = image_rows(spark, image)
+    cells = decode.dump_bytes(d)
+    by_bytes = decode.decode_all(cells)
+    entries = spark.createDataFrame([("d0", 0xC000), ("d0", 0x0801), ("d1", 0), ("d3", 0)], "dump_id string, entry int")
+    for start in (0, 0xC000):
+        assert rows(decode.linear_images(d, start, 50)) == rows(decode.linear(by_bytes, start, 50)) and exchanges(decode.linear_images(d, start, 50)) == 0
+    for more in ({}, {"most": 3}, {"vectors_too": False, "most": decode.IMAGE}):
+        assert rows(decode.recursive_images(d, entries, **more)) == rows(decode.recursive(by_bytes, cells, entries, **more))
+    assert rows(decode.image_lines(d)) == rows(decode.memory_lines(cells)) and exchanges(decode.image_lines(d)) == 0
+
+
+def test_diffs_of_images_equal_those_of_their_bytes(spark, rows, image):
+    other = bytearray(image)
+    for at in (0x10, 0x11, 0x0400, 0xD020, 0xDD00, 0xFFFF):
+        other[at] ^= 0x81
+    d = spark.createDataFrame([("a", bytearray(image)), ("b", other), ("c", bytearray(image[:0x11]))], "dump_id string, content binary")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "a", "a"), (4, "a", "gone"), (5, "gone", "b")], "pair_id long, a string, b string")
+    summary, shown = memdiff.named_diff(decode.dump_bytes(d).withColumnRenamed("dump_id", "name"), pairs, shown=3)
+    found = memdiff.image_diffs(d, pairs, shown=3)
+    assert sorted(tuple(r) for r in found.drop("shown").collect()) == sorted(tuple(r) for r in summary.select("pair_id", "problem", "changed", "by_region").collect())
+    assert rows(found.select("pair_id", F.explode("shown").alias("s")).select("pair_id", "s.*")) == rows(shown.select("pair_id", "addr", "old", "new"))
