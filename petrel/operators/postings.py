@@ -7,24 +7,25 @@ groups that may hold the trigram.  Texts are read for the candidates only.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Buckets of the postings: as many folders.
 BUCKETS = 64
-N = 3
+#: Texts of an Arrow batch.
+BATCH = 500
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct runs of three code points of a text in small letters; none if it is shorter."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+@F.pandas_udf(ArrayType(StringType()))
+def _runs(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: ["".join(g) for g in dict.fromkeys(zip(t, t[1:], t[2:], strict=False))], na_action="ignore")
 
-    def runs(c: Column) -> Column:
-        n = F.greatest(F.size(c) - N + 1, F.lit(0))
-        pairs = F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda a, b: F.concat(a, b))
-        return F.array_distinct(F.zip_with(pairs, F.slice(c, 3, n), lambda a, b: F.concat(a, b)))
 
-    return F.element_at(F.transform(F.array(chars), runs), 1)
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three code points of a text in small letters; none if it is shorter, null if it is null."""
+    return _runs(F.lower(text))
 
 
 def bucket(gram: Column, buckets: int = BUCKETS) -> Column:
@@ -33,6 +34,9 @@ def bucket(gram: Column, buckets: int = BUCKETS) -> Column:
 
 def postings(docs: DataFrame, key: str = "path", content: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """``gram, key, bucket``: each trigram of each document once. Null texts have none."""
+    conf, limit = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit, "10000")) <= BATCH:
+        conf.set(limit, BATCH)
     rows = docs.select(F.col(key).alias("key"), F.explode(trigrams(F.coalesce(content, F.lit("")))).alias("gram"))
     return rows.select("gram", "key", bucket(F.col("gram"), buckets).alias("bucket"))
 

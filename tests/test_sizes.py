@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from petrel.functions import text as T
-from petrel.operators import decode, fold, heuristics, memdiff
+from petrel.operators import decode, fold, heuristics, memdiff, postings
 from petrel.sources import files
 
 
@@ -89,3 +89,10 @@ def test_diffs_of_images_equal_those_of_their_bytes(spark, rows, image):
     found = memdiff.image_diffs(d, pairs, shown=3)
     assert sorted(tuple(r) for r in found.drop("shown").collect()) == sorted(tuple(r) for r in summary.select("pair_id", "problem", "changed", "by_region").collect())
     assert rows(found.select("pair_id", F.explode("shown").alias("s")).select("pair_id", "s.*")) == rows(shown.select("pair_id", "addr", "old", "new"))
+
+
+def test_trigrams_are_cut_once_per_text(spark):
+    texts = [("Abcabc",), ("ab",), ("",), (None,), ("a\n\U0001f600Ü",)]
+    made = spark.createDataFrame(texts, "t string").select(postings.trigrams(F.col("t")).alias("g"))
+    assert [r["g"] for r in made.collect()] == [["abc", "bca", "cab"], [], [], None, ["a\n\U0001f600", "\n\U0001f600ü"]]
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()  # five passes over a text by interpreted functions
