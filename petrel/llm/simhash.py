@@ -35,8 +35,10 @@ from .components import connected_components
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: A key's fingerprints are compared directly up to this number.
 CROWD = 24
-#: The pipeline's stage has its own: words of a shingle, percent of Jaccard similarity, fingerprints, nodes of a key that meet, nodes that a task remembers.
-STAGE_WORDS, STAGE_PERCENT, STAGE_PRINTS, STAGE_REACH, STAGE_MEMO = 5, 80, 4, 32, 200_000
+#: The pipeline's stage has its own: words of a shingle, percent of Jaccard similarity, fingerprints, nodes that a task remembers.
+STAGE_WORDS, STAGE_PERCENT, STAGE_PRINTS, STAGE_MEMO = 5, 80, 4, 200_000
+#: Bits of a set's parity sketch; nodes of a key that are compared in one task, larger keys are split without loss.
+PARITY_BITS, STAGE_CROWD = 1024, 4096
 #: Parts into which finer keys cut a fingerprint, by level; three of them are hidden.
 LEVEL_PARTS = (0, 12, 24, 64)
 #: Generator polynomial of the Golay code.
@@ -311,56 +313,170 @@ def stage_keys(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray])
     return np.concatenate(out)
 
 
+def short_hashes(h: np.ndarray) -> np.ndarray:
+    """The set of 32-bit hashes by which sets of shingles are compared."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bits (as longs) that are set where an odd number of the hashes falls: sets that differ in n hashes differ in n bits at most."""
+    odd = np.bincount(h % np.uint32(PARITY_BITS), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``o, node, keys`` of every row; a task gives the keys of a node once, as long as it remembers it, and no keys to texts without words."""
+    """``o, node, keys, n, bits`` of every row: shingles and their parity; a task gives the keys of a node once, as long as it remembers it, and no keys to texts without words."""
     rows = _owned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, known = golay_tables(), set()
         for b in batches:
-            nodes, keys = [], []
+            nodes, keys, sizes, bits = [], [], [], []
             for t in b.column(1):
                 node, h = shingles(t.as_py())
+                fresh = len(h) and node not in known
+                short = short_hashes(h) if fresh else None
                 nodes.append(node)
-                keys.append(stage_keys(h, tables).view(np.int64) if len(h) and node not in known else None)
+                keys.append(stage_keys(h, tables).view(np.int64) if fresh else None)
+                sizes.append(len(short) if fresh else None)
+                bits.append(parity(short) if fresh else None)
                 known.add(node)
             if len(known) > STAGE_MEMO:
                 known = set()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["o", "node", "keys"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(sizes, pa.int64()), pa.array(bits, longs)], ["o", "node", "keys", "n", "bits"])
 
-    return rows.mapInArrow(run, rows.select("o", F.lit(0).cast("long").alias("node"), F.lit(None).cast("array<long>").alias("keys")).schema)
+    none = F.lit(None)
+    return rows.mapInArrow(run, rows.select("o", F.lit(0).cast("long").alias("node"), none.cast("array<long>").alias("keys"), none.cast("long").alias("n"), none.cast("array<long>").alias("bits")).schema)
 
 
-def _neighbours(keys: DataFrame, reach: int, *order: Column | str) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes of ``key, node, part`` that share a key but no part, at most ``reach`` nodes apart in its ``order``."""
+def _sharing(keys: DataFrame) -> DataFrame:
+    """Distinct nodes of ``key, node`` that share a key with another node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            fresh = len(held[0])
-            key, node, part = (np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
-            again = np.zeros(len(key), bool)  # a node that several tasks gave
-            again[max(1, fresh) :] = ((key[1:] == key[:-1]) & (node[1:] == node[:-1]))[max(1, fresh) - 1 :]
-            key, node, part = key[~again], node[~again], part[~again]
-            for o in range(1, reach + 1):
-                i = np.arange(max(0, fresh - o), len(node) - o)
-                i = i[(key[i] == key[i + o]) & (part[i] != part[i + o])]
+        last = [np.zeros(0, np.int64)] * 2
+        for b in batches:
+            key, node = (np.concatenate((x, b.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(last))
+            i = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate((node[i], node[i + 1]))))], ["node"])
+            last = [key[-1:], node[-1:]]
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node long").distinct()
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ, row by row: a lower bound of the shingles that only one of the two has."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute value
+
+
+def _meetings(rows: DataFrame, forest: bool) -> DataFrame:
+    """Distinct pairs ``a < b`` of nodes of ``key, node, part, n, bits`` that share a key but no part and may have the similarity.
+
+    All pairs of a key are compared where they lie. Similar sets differ in at most a ninth of their shingles together (at 80 %), so a
+    pair with more differing bits can't be similar; no other is left out.  ``forest``: per key only pairs that link what earlier ones
+    have not, likely ones first; every node that has a pair is in one of these.
+    """
+    share = (100 - STAGE_PERCENT) / (100 + STAGE_PERCENT)
+
+    def pairs(node: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.arange(len(node))
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        for likely in (True, False) if forest else (False,):
+            at = np.arange(len(node))
+            for o in range(1, len(node)):
+                at = at[at + o < end[at]]
+                if not len(at):
+                    break
+                i = at[(part[at] != part[at + o]) & (group[at] != group[at + o])]
+                most = (n[i] + n[i + o]) * share
+                i, most = (x[np.abs(n[i] - n[i + o]) <= most] for x in (i, most))
+                if likely:  # as many bits as that many shingles change on average
+                    most = PARITY_BITS / 2 * -np.expm1(-2 * most / PARITY_BITS)
+                i = i[_differing(bits[i], bits[i + o]) <= most + 1e-6]
+                if forest and len(i):
+                    new = []
+                    for x in i.tolist():
+                        if (rx := root(x)) != (ry := root(x + o)):
+                            group[ry] = rx
+                            new.append(x)
+                    i = np.array(new, np.int64)
+                    while (group != group[group]).any():
+                        group = group[group]
                 if len(i):
-                    a, b = node[i], node[i + o]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            held = [key[-reach:], node[-reach:], part[-reach:]]
+                    x, y = node[i], node[i + o]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def ended(key: np.ndarray, node: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # a node that several tasks gave
+        key, node, *rest = (x[once] for x in (key, node, *rest))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        yield from pairs(node, *rest, np.repeat(starts + sizes, sizes))
 
-    rows = keys.repartition("key").sortWithinPartitions("key", *order)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not len(b):
+                continue
+            now = (*(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)), b.column(4).flatten().to_numpy().reshape(len(b), -1))
+            first = int(np.argmax(now[0] == now[0][-1]))  # where the last key begins
+            if held and (first or held[0][0][0] != now[0][0]):
+                yield from ended(*(np.concatenate(x) for x in zip(*held, tuple(x[:first] for x in now), strict=True)))
+                held = []
+            elif first:
+                yield from ended(*(x[:first] for x in now))
+            held.append(tuple(x[first:] for x in now))
+        if held:
+            yield from ended(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = rows.select("key", "node", "part", "n", "bits").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _uncrowded(docs: DataFrame, rows: DataFrame, holders: DataFrame, crowd: int) -> DataFrame:
+    """``rows`` (``key, node`` and more) with finer keys instead of those of more than ``crowd`` nodes, such that similar nodes of a key share one of its finer ones.
+
+    First a key with one of a text's rarest shingles: of n shingles, similar texts share n * 80 % or more, so at least one of the n * 20 % + 1
+    rarest. A finer key that is crowded too is dealt in blocks, and every two of its blocks meet.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd)
+    counts, path = scratch.save(counts, "crowds")
+    if counts.isEmpty():
+        scratch.drop(rows.sparkSession, path)
+        return rows
+    calm = rows.join(counts, "key", "left_anti")
+    many = rows.join(counts.drop("size"), "key")
+    nodes = many.select("node").distinct()
+    sets, _ = scratch.save(_shingle_sets(docs, holders.join(nodes, "node", "left_semi")), "crowd_sets")
+    each = sets.select("node", F.explode("h").alias("h"))
+    order = F.array_sort(F.collect_list(F.struct("held", "h")))
+    rare = each.join(each.groupBy("h").agg(F.count("*").alias("held")), "h").groupBy("node").agg(order.alias("h"))
+    first = F.size("h") - F.ceil(F.size("h") * F.lit(STAGE_PERCENT) / 100).cast("int") + 1
+    rare, _ = scratch.save(rare.select("node", F.slice("h.h", F.lit(1), first).alias("rare")), "rare")
+    finer = many.join(rare, "node").withColumn("key", F.explode(F.transform("rare", lambda x: F.xxhash64("key", x)))).drop("rare")
+    finer, _ = scratch.save(finer, "finer")
+    counts = finer.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd)
+    counts, _ = scratch.save(counts, "crowds")
+    blocks = F.ceil(F.col("size") * 4 / F.lit(crowd)).cast("long")
+    dealt = finer.join(counts.withColumn("blocks", blocks).drop("size"), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    dealt = dealt.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    names = rows.columns
+    return calm.select(names).unionByName(finer.join(counts, "key", "left_anti").select(names)).unionByName(dealt.select(names))
+
+
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, h`` (sorted 32-bit shingle hashes) of the nodes given, from one text each: ``nodes`` has ``o, node``. Texts are shuffled once."""
     rows = _owned(docs).join(nodes.hint("merge"), "o").select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique((shingles(t.as_py())[1] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            sets = [short_hashes(shingles(t.as_py())[1]).view(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "h"])
 
     return rows.mapInArrow(run, "node long, h array<int>").dropDuplicates(["node"])
@@ -388,12 +504,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     Candidates share a key: a Golay key of a 23-bit segment of one of several SimHash
     fingerprints, together with the least shingle under that segment's own order, which keeps
     keys apart at any corpus size.  Each of the eight segments meets a pair at 0.8 in about 0.4
-    of cases (more above it).  Every candidate pair is verified on its whole shingle sets, as
-    32-bit hashes; only texts that have a candidate are made into sets.
+    of cases (more above it).  All pairs of a key are candidates, however many nodes it has
+    (``_uncrowded`` splits large keys without loss), unless their parity bits rule the similarity
+    out; every candidate is verified on its whole shingle sets, as 32-bit hashes.
 
-    A first pass verifies the neighbours in each key, which links large groups; the second one
-    takes the pairs that are still apart.  In keys of more than ``STAGE_REACH`` texts it takes
-    neighbourhoods in the key's own order, so a crowd meets in other ones under other keys.
+    A first pass verifies per key the pairs that would link it, the second one all pairs that
+    are still apart after that.
 
     Texts of the same words (A-Z folded) are one node; those without words are one too.  Rows
     that repeat a doc_id are judged by their own texts.  Null doc_ids come last.  Empty table:
@@ -409,16 +525,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return df
 
     rows = saved(_sketches(docs), "sketches")
-    keys = rows.where("keys is not null").select("node", "keys")
-    chain = saved(_neighbours(keys.select(F.explode("keys").alias("key"), "node", F.col("node").alias("part")), 1, "node"), "chain")
-    ends = saved(chain.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    keys = rows.where("keys is not null").select("node", "keys", "n", "bits")
+    ends = saved(_sharing(keys.select(F.explode("keys").alias("key"), "node")), "ends")
     holders = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("o").alias("o"))
-    sets = saved(_shingle_sets(docs, holders), "sets")
-    links = saved(_similar(chain, sets), "links")
-    parts = saved(connected_components(links, "a", "b"), "parts")
-    some = keys.join(ends, "node", "left_semi").join(parts.withColumnRenamed("component", "part"), "node", "left")
-    some = some.select(F.explode("keys").alias("key"), "node", F.coalesce("part", "node").alias("part"))  # linked ones need not meet again
-    pairs = saved(_neighbours(some, STAGE_REACH, F.xxhash64("key", "node")).join(chain, ["a", "b"], "left_anti"), "pairs")
+    some = keys.join(ends, "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n", "bits")
+    some = _uncrowded(docs, some, holders, STAGE_CROWD)
+    near = saved(_meetings(some.withColumn("part", F.col("node")), True), "near")
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = saved(_shingle_sets(docs, holders.join(met, "node", "left_semi")), "sets")
+    links = saved(_similar(near, sets), "links")
+    parts = saved(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "parts")
+    apart = some.join(met, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    pairs = saved(_meetings(apart, False).join(near, ["a", "b"], "left_anti"), "pairs")  # linked ones need not meet again
     links = saved(links.unionByName(_similar(pairs, sets)), "links")
     parts = saved(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "parts")
     nodes = rows.groupBy("node").agg(F.min("o").alias("least")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))

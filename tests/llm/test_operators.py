@@ -383,6 +383,34 @@ def test_stage_keeps_one_of_similar_texts(spark):
     assert simhash.keep_one_similar(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [4096, 24])
+def test_texts_of_one_key_all_meet(spark, monkeypatch, crowd):
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(700)]
+    core = [rng.choice(vocabulary) for _ in range(70)]
+    texts = []
+    for k in range(110):  # all share a core, too little to be similar by it
+        base = core + [rng.choice(vocabulary) for _ in range(60)]
+        texts.append(" ".join(base))
+        for _ in range(k % 3):
+            near = list(base)
+            for _ in range(rng.randint(1, 4)):  # about 0.72 to 0.93
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    parts = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 10 * len(x & y) >= 8 * len(x | y) and parts[i] != parts[j]:
+                low, high = sorted((parts[i], parts[j]))
+                parts = [low if p == high else p for p in parts]
+    monkeypatch.setattr(simhash, "STAGE_CROWD", crowd)
+    monkeypatch.setattr(simhash, "stage_keys", lambda h, tables: np.array([7], np.uint64))  # closures carry it to the workers
+    got = {r["o"]["id"]: r["keep"]["id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == parts
+
+
 def test_one_of_equal_rows_stays(spark, odd):
     rows = [(2, odd[5]), (2, odd[5]), (2, odd[6]), (9, odd[5].upper()), (None, odd[16]), (None, odd[16]), (None, None), (3, "")]
     names = ("_stay", "o", "row", "n", "k", "node")
