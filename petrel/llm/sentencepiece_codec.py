@@ -153,7 +153,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
-        from tokenizers import normalizers
+        from tokenizers import decoders, normalizers
 
         model = parse_model(data)
         self.tokenizer = build(model)
@@ -162,7 +162,10 @@ class Codec:
             self.words = build(model)
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = None
+            self.words.decoder = decoders.Sequence([decoders.Metaspace(MARK, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse()])  # the first word's space stays
         self.memo: dict[str, bytes] = {}
+        #: Words that decode to something else, which is held here.
+        self.changed: dict[str, str] = {}
         self.plain = not model.charsmap and not model.fold_spaces and model.escape_spaces
         self.prefix = MARK if model.dummy_prefix else ""
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -179,17 +182,34 @@ class Codec:
         return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as 32-bit numbers. Where words are apart, each new word is encoded once (the memo is emptied when it is large)."""
-        pack = lambda e: array("i", e.ids).tobytes()
+        """Ids of every text as 32-bit numbers."""
+        return self.there_and_back(texts)[0]
+
+    def there_and_back(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids of every text as 32-bit numbers, and what they decode to. Where words are apart, each new word is encoded and decoded once (the memo is emptied when it is large)."""
+        pack = lambda ids: array("i", ids).tobytes()
         if self.words is None:
-            return [pack(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        memo = self.memo
-        split = [WORD.findall(self.normal(t)) for t in texts]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return list(map(pack, ids)), self.decode(ids)
+        memo, changed = self.memo, self.changed
+        normal = list(map(self.normal, texts))
+        split = list(map(WORD.findall, normal))
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list({w for words in split for w in words if w not in memo})
-        memo.update(zip(new, map(pack, self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+            changed.clear()
+        new = [w for w in set().union(*split) if w not in memo]
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        memo.update(zip(new, map(pack, ids), strict=True))
+        back = self.words.decode_batch(ids, skip_special_tokens=False)
+        changed.update((w, t) for w, t in zip(new, back, strict=True) if t != w.replace(MARK, " "))
+        decoded = []
+        for text, words in zip(normal, split, strict=True):
+            if changed and not changed.keys().isdisjoint(words):
+                text = "".join([changed.get(w, w.replace(MARK, " ")) for w in words])
+            else:  # every word decodes to itself
+                text = text.replace(MARK, " ")
+            decoded.append(text.removeprefix(" ") if self.prefix else text)
+        return [b"".join(map(memo.__getitem__, words)) for words in split], decoded
 
     def normal(self, text: str) -> str:
         if self.plain:  # what the normaliser does for a model without a character map
@@ -244,10 +264,10 @@ def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, ids
         for b in batches:
             done = 0
             for texts in _slices(b.column(len(keep)).to_pylist()):
-                packed = [np.frombuffer(g, np.int32) for g in codec.packed(texts)]
+                packed, back = codec.there_and_back(texts)
+                packed = [np.frombuffer(g, np.int32) for g in packed]
                 got = [g.tolist() for g in packed]
                 parity = [g == w for g, w in zip(got, codec.reference.encode(texts, num_threads=threads), strict=True)]
-                back = codec.decode(got)
                 columns = {
                     "n_tokens": pa.array([len(g) for g in got], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(",".join(map(codec.decimal.__getitem__, g)).encode()).hexdigest() for g in got]),

@@ -1,6 +1,8 @@
 import os
+import random
 import struct
 
+import numpy as np
 import pytest
 
 from petrel.llm import sentencepiece_codec as codec
@@ -68,3 +70,19 @@ def test_ids_are_those_of_the_rebuilt_tokenizer(spark, tmp_path):
     for i, t in enumerate(texts):
         assert list(got[i]["ids"]) == c.encode([t])[0] and got[i]["n_tokens"] == len(got[i]["ids"]) and got[i]["round_trip"]
         assert got[i]["parity"] == (i == 1)
+
+
+def test_texts_are_decoded_by_words(monkeypatch):
+    # each new word is decoded once, no text again; what comes back is what decoding all ids of the text gives
+    rng = random.Random(4)
+    texts = ["", " ", "   ", "  two  spaces ", "ab abc", "é", "a\u2581b", "\u2581", "\u2581\u2581 x", " é\n é", "x\ty", "日本語 🙂 ñ", "\x00 a", "<unk> <0x41> b"]
+    texts += ["".join(rng.choice("abc é▁\n🙂") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for data in [unigram_model()] + ([open(MODEL, "rb").read()] if os.path.exists(MODEL) else []):
+        c = codec.Codec(data, 1)
+        for part in (texts[:9], texts[9:], texts):
+            packed, back = c.there_and_back(part)
+            whole = codec.Codec.decode(c, [np.frombuffer(p, np.int32).tolist() for p in packed])
+            assert back == whole
+        if c.words is not None:
+            monkeypatch.setattr(c, "decode", None)
+            assert c.there_and_back(texts)[1] == back
