@@ -31,6 +31,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 FILTERED = 3
 #: Bytes of text of a shard (a longer text is a shard of its own), and bits of a Bloom filter.
 SHARD, BLOOM_BITS = 6 << 20, 26
+#: Phrases of its shards that a task of the last pass holds to add up their counts, about 60 bytes each.
+HELD_ROWS = 500_000
 _MASK = (1 << BLOOM_BITS) - 1
 #: A-Z become small; piece ends become a byte that UTF-8 never has; tabs become spaces.
 _END = b"\xff"
@@ -124,10 +126,37 @@ def among(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def _by_shard(rows: DataFrame, count: Callable[[str, Shard], pa.RecordBatch], schema: str) -> DataFrame:
-    """``count`` of every shard and language of ``lang, text``."""
+def added_up(parts: Iterator[pa.RecordBatch], held_rows: int) -> Iterator[pa.RecordBatch]:
+    """The parts with ``n`` summed over equal rows, as far as ``held_rows`` rows reach; nothing is left out."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def merged() -> pa.Table:
+        table = pa.Table.from_batches(held)
+        names = [c for c in table.column_names if c != "n"]
+        return table.group_by(names).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(table.column_names).combine_chunks()
+
+    for part in parts:
+        held.append(part)
+        rows += len(part)
+        if rows > held_rows:
+            whole = merged()
+            held, rows = whole.to_batches(), len(whole)
+            if 2 * rows > held_rows:  # little was equal
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches()
+
+
+def _by_shard(rows: DataFrame, count: Callable[[str, Shard], pa.RecordBatch], schema: str, held_rows: int = 0) -> DataFrame:
+    """``count`` of every shard and language of ``lang, text``; a task adds up its shards' counts if it may hold rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = counted(batches)
+        yield from added_up(parts, held_rows) if held_rows else parts
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = defaultdict(list)
         size = 0
         for b in batches:
@@ -197,7 +226,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
         n = pa.array(np.concatenate(counts), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), n], ["lang", "phrase", "words", "n"])
 
-    counted = _by_shard(rows, count_phrases, "lang string, phrase string, words int, n long")
+    counted = _by_shard(rows, count_phrases, "lang string, phrase string, words int, n long", HELD_ROWS)
     grams = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     grams, grams_at = scratch.save(grams, "phrases")
     return words.select("lang", "phrase", "words", "f"), grams, [words_at, grams_at]

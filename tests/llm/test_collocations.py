@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from petrel.llm import collocations as co
@@ -83,3 +84,19 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert co.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+@pytest.mark.parametrize("held", [5, 40, 10_000])
+def test_shards_of_a_task_are_added_up(held):
+    rng = random.Random(2)
+    parts = [pa.RecordBatch.from_pydict({"phrase": [rng.choice("abcdefgh") for _ in range(20)], "n": [rng.randint(1, 9) for _ in range(20)]}) for _ in range(30)]
+    want, got, rows = Counter(), Counter(), 0
+    for p in parts:
+        for r in p.to_pylist():
+            want[r["phrase"]] += r["n"]
+    for p in co.added_up(iter(parts), held):
+        rows += len(p)
+        for r in p.to_pylist():
+            got[r["phrase"]] += r["n"]
+    assert got == want and rows < 600 and (held < 40 or rows == 8)
+    assert list(co.added_up(iter([]), held)) == []
