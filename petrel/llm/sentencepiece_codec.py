@@ -3,8 +3,9 @@
 The model file is parsed here (a protobuf of pieces with scores, a trainer and a normaliser
 spec) and rebuilt from the library's parts: precompiled normaliser, white-space folding,
 metaspace marker, unigram scores or merges ranked by score, byte fallback, and the decoder
-that undoes them.  Batches are encoded on several threads inside each task.  The reference
-library re-encodes the texts to verify parity.
+that undoes them.  Where no piece runs across words, the model's tokens of each new word are
+remembered; else batches are encoded on several threads inside each task.  The reference
+library re-encodes the whole texts, on several threads too, to verify parity.
 """
 
 from __future__ import annotations
@@ -166,6 +167,8 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         #: Words that decode to something else, which is held here.
         self.changed: dict[str, str] = {}
+        #: What a piece stands for in a word; empty where only the decoder can tell (bytes, unknown, control).
+        self.spelt = [p if kind == NORMAL and not p.startswith("<0x") else "" for p, _, kind in model.pieces]
         self.plain = not model.charsmap and not model.fold_spaces and model.escape_spaces
         self.prefix = MARK if model.dummy_prefix else ""
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -197,11 +200,14 @@ class Codec:
         if len(memo) > MEMO_WORDS:
             memo.clear()
             changed.clear()
-        new = [w for w in set().union(*split) if w not in memo]
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        new = list(set().union(*split).difference(memo))
+        tokens = self.words.model.tokenize  # of a word that has neither normaliser nor splitting before it, so no encoding is built
+        ids = [[t.id for t in tokens(w)] for w in new]
         memo.update(zip(new, map(pack, ids), strict=True))
-        back = self.words.decode_batch(ids, skip_special_tokens=False)
-        changed.update((w, t) for w, t in zip(new, back, strict=True) if t != w.replace(MARK, " "))
+        spelt = self.spelt.__getitem__
+        other = [(w, g) for w, g in zip(new, ids, strict=True) if "".join(map(spelt, g)) != w]  # the rest are their pieces in turn
+        back = self.words.decode_batch([g for _, g in other], skip_special_tokens=False)
+        changed.update((w, t) for (w, _), t in zip(other, back, strict=True) if t != w.replace(MARK, " "))
         decoded = []
         for text, words in zip(normal, split, strict=True):
             if changed and not changed.keys().isdisjoint(words):
@@ -265,12 +271,11 @@ def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, ids
             done = 0
             for texts in _slices(b.column(len(keep)).to_pylist()):
                 packed, back = codec.there_and_back(texts)
+                parity = [g == w.tobytes() for g, w in zip(packed, codec.reference.encode(texts, num_threads=threads, out_type="numpy"), strict=True)]
                 packed = [np.frombuffer(g, np.int32) for g in packed]
-                got = [g.tolist() for g in packed]
-                parity = [g == w for g, w in zip(got, codec.reference.encode(texts, num_threads=threads), strict=True)]
                 columns = {
-                    "n_tokens": pa.array([len(g) for g in got], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(codec.decimal.__getitem__, g)).encode()).hexdigest() for g in got]),
+                    "n_tokens": pa.array([len(g) for g in packed], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(codec.decimal.__getitem__, g.tolist())).encode()).hexdigest() for g in packed]),
                     "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                     "round_trip": pa.array([a == t for a, t in zip(back, texts, strict=True)]), "parity": pa.array(parity),
                 }

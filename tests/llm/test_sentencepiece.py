@@ -86,3 +86,28 @@ def test_texts_are_decoded_by_words(monkeypatch):
         if c.words is not None:
             monkeypatch.setattr(c, "decode", None)
             assert c.there_and_back(texts)[1] == back
+
+
+def test_new_words_come_from_the_model_and_their_pieces(monkeypatch):
+    # a word costs neither an encoding nor the decoder, unless it holds bytes or unknown pieces; ids and texts are those of the whole pipeline
+    rng = random.Random(7)
+    texts = ["ab c", "abc abcab  bca", "é ab", "<0x41> ab", "▁a b", "<unk>"] + ["".join(rng.choice("abc é<0x41>\n") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    for data in [unigram_model()] + ([open(MODEL, "rb").read()] if os.path.exists(MODEL) else []):
+        c = codec.Codec(data, 1)
+        whole = [e.ids for e in c.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        back = c.decode(whole)
+        decoded = []
+
+        class Words:
+            """The tokenizer of words without its encodings."""
+
+            model = c.words.model
+
+            def decode_batch(self, ids, skip_special_tokens, inner=c.words):
+                decoded.extend(ids)
+                return inner.decode_batch(ids, skip_special_tokens=skip_special_tokens)
+
+        monkeypatch.setattr(c, "words", Words())
+        packed, got = c.there_and_back(texts)
+        assert [np.frombuffer(p, np.int32).tolist() for p in packed] == whole and got == back
+        assert decoded and len(decoded) < len(c.memo) and all(any(not c.spelt[i] for i in g) for g in decoded)
