@@ -6,16 +6,19 @@ the shard's n-grams with their counts.  Counts of all shards are added by key.
 
 Phrases occur as often as their rarest part at most, so what can't reach the least count is
 left out of the shards' results: a first pass adds up words, the next ones pairs of frequent
-words and triples of frequent pairs by a 64-bit key, the last all phrases that are left, by
-their text.  The filters between the passes are Bloom filters of a fixed size: they let some rare
-phrases through, whose true count then decides, and never hold back a frequent one, however
-many keys they carry.
+words and triples of frequent pairs, the last the longer phrases made of frequent triples.  Each
+length is counted in one pass only, by the 64-bit keys of its words, which are salted anew should
+any two words share one; texts are looked up for the phrases that stay.  The filters between the
+passes are Bloom filters of a fixed size: they let some rare phrases through, whose true count
+then decides, and never hold back a frequent one, however many keys they carry.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,9 @@ class Shard:
         self.x = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         self.words = list(ids)
 
-    def hashes(self, lang: str) -> np.ndarray:
+    def hashes(self, lang: str, salt: int = 0) -> np.ndarray:
         """64-bit keys of the words; the end's is zero."""
-        seed = xxhash.xxh64_intdigest(lang)
+        seed = xxhash.xxh64_intdigest(lang, salt)
         return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in self.words[1:])], np.uint64)
 
 
@@ -183,52 +186,88 @@ def _starts(shard: Shard, h: np.ndarray, filters: list[np.ndarray]) -> np.ndarra
     return at
 
 
-def _count_words(lang: str, shard: Shard) -> pa.RecordBatch:
-    n = np.bincount(shard.x, minlength=len(shard.words))[1:]
-    names = ["lang", "phrase", "n", "key"]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(shard.words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(shard.hashes(lang)[1:].view(np.int64))], names)
+def _words(salt: int) -> Callable[[str, Shard], pa.RecordBatch]:
+    """Counts of all words, with their keys."""
+
+    def count(lang: str, shard: Shard) -> pa.RecordBatch:
+        n = np.bincount(shard.x, minlength=len(shard.words))[1:]
+        names = ["lang", "phrase", "n", "key"]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(shard.words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(shard.hashes(lang, salt)[1:].view(np.int64))], names)
+
+    return count
 
 
-def _keyed(filters: list[np.ndarray]) -> Callable[[str, Shard], pa.RecordBatch]:
-    """Counts per key of the phrases one word longer than the last filter's."""
-    d = len(filters) + 1
+def _phrases(filters: list[np.ndarray], most: int, salt: int) -> Callable[[str, Shard], pa.RecordBatch]:
+    """Counts of the phrases longer than the last filter's, up to ``most`` words, by the keys of their words; zeros follow the last word's."""
+    m = len(filters)
 
     def count(lang: str, shard: Shard) -> pa.RecordBatch:
-        h = shard.hashes(lang)
-        y = runs(shard.x, _starts(shard, h, filters), d - 1)
-        found = list(intervals(y, suffix_array(y, d), d, d))
-        at, n = (found[0][1], found[0][2]) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(keys_of(h, y, at, d).view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+        h = shard.hashes(lang, salt)
+        y = runs(shard.x, _starts(shard, h, filters), m)
+        keys, counts = [np.zeros((0, most), np.uint64)], [np.zeros(0, np.int64)]
+        for d, first, n in intervals(y, suffix_array(y, most), m + 1, most):
+            keys.append(np.zeros((len(first), most), np.uint64))
+            keys[-1][:, :d] = h[y[first[:, None] + np.arange(d)]]
+            counts.append(n)
+        keys = np.concatenate(keys).view(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(most)), pa.array(np.concatenate(counts), pa.int64())], [*_keys(most), "n"])
 
     return count
 
 
+def _keys(d: int) -> list[str]:
+    return [f"k{i}" for i in range(1, d + 1)]
+
+
+def shared_keys(words: DataFrame) -> bool:
+    """Whether two words share a key, or one has the end's."""
+    return not words.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key = 0").isEmpty()
+
+
+def _joined(phrases: DataFrame, d: int) -> DataFrame:
+    """``key`` of each phrase of d words, as ``keys_of`` has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).view(np.uint64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(h, np.arange(len(h)), np.arange(0, len(h), d), d).view(np.int64))], ["key"])
+
+    return phrases.select(*_keys(d)).mapInArrow(run, "key long")
+
+
+def _spelt(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """``lang, phrase, words, f`` of ``keys, f``: each key is one word's."""
+    parts = phrases.select("keys", "f", F.posexplode("keys").alias("at", "key")).join(words.select("key", "lang", "phrase"), "key")
+    parts = parts.groupBy("keys", "f").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("parts"))  # as many as the phrase has words
+    return parts.select("lang", F.array_join("parts.phrase", " ").alias("phrase"), F.size("keys").alias("words"), "f")
+
+
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, list[str]]:
     """All words, and all phrases of 2 to ``longest`` words with ``least`` occurrences or more: saved tables ``lang, phrase, words, f``; their paths."""
     scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    totals = _by_shard(rows, _count_words, "lang string, phrase string, n long, key long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("key").alias("key"))
-    words, words_at = scratch.save(totals.withColumn("words", F.lit(1)), "words")
-    filters = [bloom(words.where(F.col("f") >= least).select("key"))]
-    while len(filters) < min(FILTERED, longest):
-        pairs = _by_shard(rows, _keyed(list(filters)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        filters.append(bloom(pairs.select("key")))
-
-    def count_phrases(lang: str, shard: Shard) -> pa.RecordBatch:
-        h, phrases, sizes, counts = shard.hashes(lang), [], [], [np.zeros(0, np.int64)]
-        for m in range(2, len(filters) + 1):
-            y = runs(shard.x, _starts(shard, h, filters[:m]), m)
-            most = longest if m == len(filters) else m
-            for d, first, n in intervals(y, suffix_array(y, most), m, most):
-                phrases += [b" ".join([shard.words[i] for i in row]) for row in y[first[:, None] + np.arange(d)].tolist()]
-                sizes += [d] * len(first)
-                counts.append(n)
-        n = pa.array(np.concatenate(counts), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), n], ["lang", "phrase", "words", "n"])
-
-    counted = _by_shard(rows, count_phrases, "lang string, phrase string, words int, n long", HELD_ROWS)
-    grams = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    grams, grams_at = scratch.save(grams, "phrases")
+    for salt in numbers():
+        totals = _by_shard(rows, _words(salt), "lang string, phrase string, n long, key long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("key").alias("key"))
+        words, words_at = scratch.save(totals.withColumn("words", F.lit(1)), "words")
+        if not shared_keys(words):
+            break
+        scratch.drop(docs.sparkSession, words_at)
+    often = words.where(F.col("f") >= least)
+    filters, found, keyed = [bloom(often.select("key"))], [], []
+    while len(filters) < longest:
+        d = len(filters) + 1
+        most = d if d <= FILTERED else longest
+        schema = ", ".join(f"{c} long" for c in [*_keys(most), "n"])
+        counted = _by_shard(rows, _phrases(list(filters), most, salt), schema, HELD_ROWS if d > FILTERED else 0)
+        counted = counted.groupBy(*_keys(most)).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        counted, at = scratch.save(counted, "keyed")
+        keyed.append(at)
+        found.append(counted.select(F.array_remove(F.array(*_keys(most)), F.lit(0).cast("long")).alias("keys"), "f"))
+        if most == longest:
+            break
+        filters.append(bloom(_joined(counted, d)))
+    grams, grams_at = scratch.save(_spelt(reduce(DataFrame.unionAll, found), often), "phrases")
+    scratch.drop(docs.sparkSession, *keyed)
     return words.select("lang", "phrase", "words", "f"), grams, [words_at, grams_at]
 
 

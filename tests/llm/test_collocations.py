@@ -100,3 +100,30 @@ def test_shards_of_a_task_are_added_up(held):
             got[r["phrase"]] += r["n"]
     assert got == want and rows < 600 and (held < 40 or rows == 8)
     assert list(co.added_up(iter([]), held)) == []
+
+
+def test_each_length_is_counted_in_one_pass(spark, texts, monkeypatch):
+    # the last pass gives out phrases beyond the filters' lengths only: pairs and triples are counted before it
+    passes = []
+    by_shard = co._by_shard
+
+    def kept(*a):
+        passes.append(by_shard(*a))
+        return passes[-1]
+
+    monkeypatch.setattr(co, "_by_shard", kept)
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    grams = co.frequent(df, 12)[1].collect()
+    lengths = [{sum(v != 0 for k, v in r.asDict().items() if k != "n") for r in rows.collect()} for rows in passes[1:]]
+    assert lengths == [{2}, {3}, {4, 5}]
+    assert {r["words"] for r in grams} == {2, 3, 4, 5} and all(len(r["phrase"].split(" ")) == r["words"] for r in grams)
+
+
+def test_words_that_share_a_key_are_salted_anew(spark, texts, monkeypatch):
+    words = lambda *keys: spark.createDataFrame([("en", str(i), k) for i, k in enumerate(keys)], "lang string, phrase string, key long")
+    assert not co.shared_keys(words(1, 2, -1)) and co.shared_keys(words(1, 2, 1)) and co.shared_keys(words(1, 0))
+    seen, real = [], co.shared_keys
+    monkeypatch.setattr(co, "shared_keys", lambda w: seen.append({r["key"] for r in w.collect()}) or len(seen) < 2 or real(w))
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    assert sorted(tuple(r) for r in co.collocations(df, top=40, least=12).collect()) == brute(texts, 12, 40)
+    assert len(seen) == 2 and not seen[0] & seen[1]
