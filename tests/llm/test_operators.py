@@ -677,3 +677,70 @@ def test_shards_and_frequent_passages(spark, monkeypatch):
             if first.setdefault(t[i : i + 50], d) < d:
                 want.add((d, i))
     assert got == want and max(shards) >= 5
+
+
+def repeated_bytes(rows):
+    """(bytes, removed, spans, kept) of each (doc, text), by brute force over all 50-byte strings; no doc counts as the largest."""
+    of = lambda d: (d is None, d or 0)
+    least = {}
+    for d, t in rows:
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(least.get(t[k : k + 50], of(d)), of(d))
+    out = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if least[t[k : k + 50]] < of(d):
+                gone[k : k + 50] = True
+        out.append((len(t), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), bytes(np.frombuffer(t, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("ids_repeat", [False, True])
+def test_whole_copies_are_set_aside(spark, monkeypatch, ids_repeat):
+    rng = random.Random(51)
+    para = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    base = [para(rng.randint(40, 300)) for _ in range(20)]
+    texts = base * 4 + [base[0] + para(70) + base[1], para(30) + base[2][20:] + base[3], "", para(49), "a" * 50, "a" * 50]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    ids[3] = None  # the largest, with copies of its text in other rows
+    ids[80] = 1000
+    rows = [*zip(ids, texts, strict=True), (1000, "short text of an id that loses bytes")]
+    if ids_repeat:
+        rows += [(ids[20], texts[20]), (ids[21], texts[22] + "x"), (ids[22], base[5]), (None, texts[3])]
+    rows = [(d, t.encode()) for d, t in rows]
+    sent, find = [], suffix_dedup.repeated_starts
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda x: sent.append(x.count()) or find(x))
+    got = suffix_dedup.suffix_dedup(docs(spark, [t.decode() for _, t in rows], ids=[d for d, _ in rows]))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["kept_sha256"], [tuple(s) for s in r["spans"]]) for r in got.collect()), key=key)
+    want = sorted(((d, *x) for (d, _), x in zip(rows, repeated_bytes(rows), strict=True)), key=key)
+    assert [r[:5] for r in got] == want
+    assert all(r[5] == hashlib.sha256(r[4]).hexdigest() and len(r[6]) == r[3] and sum(b - a for a, b in r[6]) == r[2] for r in got)
+    assert sent[0] <= 30  # of 80 copies and more, each text is sent once
+
+
+def test_merges_do_not_grow_with_a_bucket(monkeypatch):
+    rng = random.Random(52)
+    para = lambda n: bytes(rng.choices(b"abcdefghij ", k=n))
+    sizes, merge = [], suffix_dedup.merge_transforms
+    monkeypatch.setattr(suffix_dedup, "merge_transforms", lambda t, n: sizes.append(sum(map(len, t))) or merge(t, n))
+    passages = [para(110) for _ in range(1200)]
+    rows = [(d, para(60) + passages[d % 1200] + para(60)) for d in range(3000)]
+    blobs = [x for a in (0, 1500) for _, x in suffix_dedup._pack(*map(list, zip(*((d, 0, 0, t) for d, t in rows[a : a + 1500]), strict=True)), 1)]
+    flags = [suffix_dedup._unpack_runs(x) for x in blobs if x[:1] == suffix_dedup._RUNS] + [suffix_dedup._bucket_rows([x for x in blobs if x[:1] == suffix_dedup._FRAGMENTS])]
+    got = {(d, i) for d_, _, firsts, lasts in flags for d, a, b in zip(d_, firsts, lasts, strict=True) for i in range(a, b + 1)}
+    least, want = {}, set()
+    for d, t in rows:
+        for i in range(len(t) - 49):
+            if least.setdefault(t[i : i + 50], d) < d:
+                want.add((d, i))
+    assert got == want and sum(sizes) > 150_000 and max(sizes) < 80_000
+
+
+def test_runs_that_touch_are_one():
+    run = lambda *x: tuple(np.array(y, np.int64) for y in zip(*x, strict=True))
+    got = suffix_dedup._merged_runs(*run((0, 200, 210), (0, 0, 10), (0, 60, 70), (2, 5, 5), (2, 0, 100), (2, 151, 152)))
+    assert list(zip(*map(list, got), strict=True)) == [(0, 0, 120), (0, 200, 260), (2, 0, 150), (2, 151, 202)]
+    assert [len(x) for x in suffix_dedup._merged_runs(*[np.zeros(0, np.int64)] * 3)] == [0, 0, 0]
